@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import bpe, fingerprint, mixture, quality, shard
+from ridgeline.llm import bpe, fingerprint, mixture, pii, quality, shard, warc
 from ridgeline.llm.common import table
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.round_trip(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
@@ -32,5 +41,17 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+ORACLES = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+             q AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+                          max(page_id) OVER (PARTITION BY body) AS head FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND head <> page_id THEN head END AS refers_to
+        FROM q""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
