@@ -2,14 +2,13 @@
 
 Base kinds (email, ip, card, phone) are found by patterns and checks. Each distinct value is a protected entity. A word
 that stands on an entity's lines reveals it by PMI(entity; term) / IC(entity) = 1 + ln p(entity | term) / -ln p(entity),
-with p counted over the distinct texts of the whole corpus; terms that share at least `SUPPORT` distinct texts with an
-entity and whose disclosure is `DISCLOSURE` or more are spans too, wherever they occur, and are removed with the entities.
+with p counted over the documents of the whole corpus; terms that share at least `SUPPORT` distinct lines with an entity
+(copies of a line count once) and whose disclosure is `DISCLOSURE` or more are spans too, wherever they occur, and are removed with the entities.
 
 A match's place comes from the pieces between matches: their lengths add up to its start. The patterns below match as
 the plain ones do, but possessively and only at the start of a run, so that very long runs take linear time and no stack.
 
-Defined cases: null texts are empty (sanitised: null stays null); rows of equal ids get the same terms; exact copies count
-as one text; empty tables give empty results; extra columns are ignored by `find` and kept by `sanitize`.
+Defined cases: null texts are empty (sanitised: null stays null); rows of equal ids get the same terms; empty tables give empty results; extra columns are ignored by `find` and kept by `sanitize`.
 """
 
 from __future__ import annotations
@@ -76,29 +75,29 @@ def _with_base(docs: DataFrame, text: Column) -> DataFrame:
     return out.drop(*[f"_{x}_{k}" for k in PATTERNS for x in "mp"])
 
 
-def revealing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def revealing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(term, kind, disclosure): words that reveal a protected entity somewhere in the corpus."""
     text = blank(F.col(text_col))
     hit = F.lit(False)
     for k, p in PATTERNS.items():
         hit = hit | (F.contains(text, F.lit(NEEDS[k])) & text.rlike(p) if NEEDS[k] else text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"))
-    lines = docs.filter(hit).select(F.xxhash64(text).alias("_key"), F.explode(F.split(text, "\n")).alias("_line"))
+    lines = docs.filter(hit).select(F.xxhash64(F.col(id_col), text).alias("_key"), F.explode(F.split(text, "\n")).alias("_line"))
     lines = _with_base(lines.filter(F.col("_line").rlike("[0-9@]")), F.col("_line"))
     kinds = F.concat(*[F.transform(F.col(f"_{k}"), lambda x, k=k: F.struct(F.lit(k).alias("kind"), F.lower(x["m"]).alias("value"))) for k in PATTERNS])
     near = lines.select("_key", "_line", F.explode(F.array_distinct(kinds)).alias("_entity"))
-    seen = near.groupBy("_entity").agg(F.approx_count_distinct("_key").alias("_few")).filter(F.col("_few") >= support)  # a first sieve; exact counts follow
+    seen = near.groupBy("_entity").agg(F.count("*").alias("_few")).filter(F.col("_few") >= support)  # a first sieve; distinct lines are counted below
     near = cut(near.join(small_broadcast(seen.select("_entity")), "_entity", "left_semi"), "pii-lines")
     of = near.groupBy("_entity").agg(F.count_distinct("_key").alias("_n_entity"))
     term = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_line"), F.lit(TERM), F.lit(0)))).alias("term")
-    both = near.select("_entity", "_key", term).filter(~F.contains(F.col("_entity.value"), F.col("term")))
-    both = both.groupBy("_entity", "term").agg(F.count_distinct("_key").alias("_n_both")).filter(F.col("_n_both") >= support)
+    both = near.select("_entity", "_key", F.xxhash64("_line").alias("_line"), term).filter(~F.contains(F.col("_entity.value"), F.col("term")))
+    both = both.groupBy("_entity", "term").agg(F.count_distinct("_key").alias("_n_both"), F.count_distinct("_line").alias("_lines")).filter(F.col("_lines") >= support)
     both = cut(both.join(of, "_entity"), "pii-pairs")
-    words = docs.select(F.xxhash64(text).alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
     words = words.join(small_broadcast(both.select("term").distinct()), "term", "left_semi")
-    df = words.groupBy("term").agg(F.count_distinct("_key").alias("_n_term"))
-    n = docs.agg(F.count_distinct(F.xxhash64(text))).first()[0]
+    df = words.groupBy("term").agg(F.count("*").alias("_n_term"))
+    n = docs.count()
     ic = F.log(F.lit(float(max(n, 1))) / F.col("_n_entity"))
-    share = F.when(ic > 0, 1 + F.log(F.col("_n_both") / F.col("_n_term")) / ic).otherwise(0.0)
+    share = F.when(ic > 0, 1 + F.log(F.least(F.lit(1.0), F.col("_n_both") / F.col("_n_term"))) / ic).otherwise(0.0)
     out = both.join(df, "term").withColumn("disclosure", share).filter(F.col("disclosure") >= disclosure)
     return out.groupBy("term").agg(F.max_by("_entity.kind", F.struct("disclosure", "_entity.kind")).alias("kind"), F.max("disclosure").alias("disclosure"))
 
@@ -126,7 +125,7 @@ def _joined(kind: str, spans: str) -> str:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
     rows = docs.select(id_col, text_col)
-    rows = _with_terms(_with_base(rows, blank(F.col(text_col))), revealing_terms(docs, text_col), id_col, text_col)
+    rows = _with_terms(_with_base(rows, blank(F.col(text_col))), revealing_terms(docs, id_col, text_col), id_col, text_col)
     base = ", ".join(_joined(k, f"_{k}") for k in PATTERNS)
     return rows.select(
         id_col,
@@ -139,7 +138,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with base spans generalised to their kind, as [EMAIL], and revealing terms removed."""
-    rows = _with_terms(_with_base(docs, blank(F.col(text_col))), revealing_terms(docs, text_col), id_col, text_col)
+    rows = _with_terms(_with_base(docs, blank(F.col(text_col))), revealing_terms(docs, id_col, text_col), id_col, text_col)
     tagged = ", ".join(f"transform({s}, x -> struct(x.s as s, x.e as e, '{w}' as w))" for s, w in [*((f"_{k}", f"[{k.upper()}]") for k in PATTERNS), ("_terms", "")])
     rows = rows.withColumn("_all", F.expr(f"array_sort(concat({tagged}))"))
     last = "element_at(a, -1)"
