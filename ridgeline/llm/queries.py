@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import ann, bpe, fingerprint, mixture, pii, quality, shard, warc
+from ridgeline.llm import ann, bpe, fingerprint, mixture, neardup, pii, quality, shard, warc
 from ridgeline.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), ids=False, digests=True)
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
