@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import ann, bpe, fingerprint, mixture, neardup, pii, quality, shard, warc
+from ridgeline.llm import ann, bpe, fingerprint, mixture, neardup, pii, quality, repeats, shard, warc
 from ridgeline.llm.common import table
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.filter("vec_id % 20 = 0"))
