@@ -100,6 +100,13 @@ def scan(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, th long, n long, cls long, sig binary, sketch binary")
 
 
+def _keys_of(sig: np.ndarray, salt: int, places: list[int]) -> np.ndarray:
+    packed = np.zeros(len(sig), np.uint64)
+    for p in places:
+        packed = (packed << np.uint64(B)) | sig[:, p].astype(np.uint64)
+    return mix(packed + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64))
+
+
 def index(classes: DataFrame) -> DataFrame:
     """(key, cls): every class under all its keys."""
 
@@ -107,13 +114,10 @@ def index(classes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = _unblob(batch.column(1), np.uint16).astype(np.uint64)
+            sig = _unblob(batch.column(1), np.uint16)
             keys = np.empty((len(sig), len(KEYS)), np.uint64)
             for k, (salt, places) in enumerate(KEYS):
-                packed = np.zeros(len(sig), np.uint64)
-                for p in places:
-                    packed = (packed << np.uint64(B)) | sig[:, p]
-                keys[:, k] = mix(packed + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64))
+                keys[:, k] = _keys_of(sig, salt, places)
             for s in range(0, len(sig), 512):
                 part = keys[s : s + 512]
                 yield pa.RecordBatch.from_arrays([pa.array(part.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(s, s + len(part)), len(KEYS))))], names=["key", "cls"])
@@ -173,13 +177,40 @@ def _distance(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def _possible(sig: np.ndarray, sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which index pairs may reach the likeness, by signature, set sizes and sketch.
+
+    A sketch bin differs only if an element of the symmetric difference fell into it, so the distance is at most that
+    difference, (a + b) (1 - J) / (1 + J); for large sets it is also within 5.5 deviations of its mean.
+    """
+    least = percent / 100
+    ok = _distance(sig, i, j) <= DISTANCE
+    ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    at = np.flatnonzero(ok)
+    most = np.minimum((n[i[at]] + n[j[at]]) * (1 - least) / (1 + least), SKETCH * (1 - least) + 5.5 * np.sqrt(SKETCH * least * (1 - least)))
+    ok[at] = _distance(sketch, i[at], j[at]) <= most
+    return ok
+
+
+def _first_key(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first of the keys that two rows share (as `index` makes them)."""
+    out = np.zeros(len(i), np.uint64)
+    open_ = np.ones(len(i), bool)
+    for salt, places in KEYS:
+        at = np.flatnonzero(open_)
+        at = at[(sig[i[at]][:, places] == sig[j[at]][:, places]).all(1)]
+        out[at] = _keys_of(sig[i[at]], salt, places)
+        open_[at] = False
+    return out.view(np.int64)
+
+
 SMALL = 24
 
 
-def _propose(batches):
+def _propose(batches, percent: int):
     """(x, y, far): each row's two nearest partners of a bucket by sketch, and the bucket's most central row."""
     for t in _groups(batches):
-        cls, sig, sketch = t.column("cls").to_numpy(), _unblob(t.column("sig"), np.uint16), _unblob(t.column("sketch"), np.uint8)
+        cls, n, sig, sketch = t.column("cls").to_numpy(), t.column("n").to_numpy(), _unblob(t.column("sig"), np.uint16), _unblob(t.column("sketch"), np.uint8)
         bounds = _bounds(t)
         i, j = _near_pairs(bounds, SMALL)
         found = [np.stack([np.append(i, j), np.append(j, i)])]
@@ -194,7 +225,7 @@ def _propose(batches):
             found += [np.stack([rows[:-d], rows[d:]]) for d in range(1, 9)]
         x, y = np.concatenate(found, 1)
         x, y = x[x != y], y[x != y]
-        ok = _distance(sig, x, y) <= DISTANCE
+        ok = _possible(sig, sketch, n, x, y, percent)
         x, y = x[ok], y[ok]
         far = _distance(sketch, x, y)
         order = np.lexsort([cls[y], far, x])
@@ -204,10 +235,11 @@ def _propose(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cls[x[take]]), pa.array(cls[y[take]]), pa.array(far[take])], names=["x", "y", "far"])
 
 
-def _across(batches):
-    """(x, y): all pairs of a bucket at most DISTANCE apart whose components differ; x < y."""
+def _across(batches, percent: int):
+    """(x, y): the pairs of a bucket that may be linked and whose components differ, each in its first bucket; x < y."""
     for t in _groups(batches):
-        cls, comp, sig, half = t.column("cls").to_numpy(), t.column("comp").to_numpy(), _unblob(t.column("sig"), np.uint16), t.column("own").to_numpy()
+        cls, comp, half, n, key = (t.column(c).to_numpy() for c in ("cls", "comp", "own", "n", "key"))
+        sig, sketch = _unblob(t.column("sig"), np.uint16), _unblob(t.column("sketch"), np.uint8)
         lo, hi = t.column("lo").to_numpy(), t.column("hi").to_numpy()
         bounds = _bounds(t)
         i, j = _near_pairs(bounds, SMALL)
@@ -219,11 +251,13 @@ def _across(batches):
                     other = rows[r - a + 1 :]
                     other = other[comp[other] != comp[r]]
                     if len(other):
-                        other = other[(sig[other] != sig[r]).sum(1) <= DISTANCE]
+                        other = other[(sketch[other] != sketch[r]).sum(1) <= (n[other] + n[r]) * (100 - percent) / (100 + percent)]
                         found.append((np.full(len(other), r), other))
         i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         i, j = (x[(lo[i] == hi[i]) | (half[i] != half[j])] for x in (i, j))  # pairs of one block are its own group's
-        ok = _distance(sig, i, j) <= DISTANCE
+        ok = _possible(sig, sketch, n, i, j, percent)
+        i, j = i[ok], j[ok]
+        ok = _first_key(sig, i, j) == key[i]
         x, y = cls[i[ok]], cls[j[ok]]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
 
@@ -289,18 +323,18 @@ def label(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_
     seen = cut(scan(docs, id_col, text_col, size), "neardup-scan")
     classes = seen.filter("cls IS NOT NULL")
     reps = classes.groupBy("cls").agg(F.min(F.struct("id", "th")).alias("rep"))
-    one = cut(classes.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "neardup-classes")
+    one = cut(classes.groupBy("cls").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.first("n").alias("n")), "neardup-classes")
     keys = index(one)
     shared = cut(keys.groupBy("key").agg(F.count("*").alias("n_rows")).filter("n_rows > 1"), "neardup-keys")
     near = cut(keys.join(shared.select("key"), "key", "left_semi").join(one, "cls"), "neardup-buckets")
-    proposed = _buckets(near, shared, False).mapInArrow(_propose, "x long, y long, far int").groupBy("x", "y").agg(F.min("far").alias("far"))
+    proposed = _buckets(near, shared, False).mapInArrow(lambda b: _propose(b, percent), "x long, y long, far int").groupBy("x", "y").agg(F.min("far").alias("far"))
     nth = F.row_number().over(Window.partitionBy("x").orderBy("far", "y"))
     proposed = cut(proposed.withColumn("nth", nth).filter("nth <= 3").select("x", "y"), "neardup-proposed")
     links = cut(confirm(proposed, reps, docs, id_col, text_col, size, percent), "neardup-links")
     comp = components(links).withColumnRenamed("v", "cls")
-    rest = near.join(comp, "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label", "sketch")
+    rest = near.join(comp, "cls", "left").withColumn("comp", F.coalesce("label", "cls")).drop("label")
     mixed = rest.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n_rows")).filter("a <> b").select("key", "n_rows")
-    across = _buckets(rest, mixed, True).mapInArrow(_across, "x long, y long").distinct()
+    across = _buckets(rest, mixed, True).mapInArrow(lambda b: _across(b, percent), "x long, y long").distinct()
     tried = proposed.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     across = cut(across.join(tried, ["x", "y"], "left_anti"), "neardup-across")
     if across.limit(1).count():
