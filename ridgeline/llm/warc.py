@@ -30,6 +30,7 @@ REVISIT_BYTES = 1000
 SHARD_IDS = 4096
 ROLL_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MANIFEST = pa.schema([("shard", pa.int64()), ("roll", pa.int64()), ("temporary", pa.string()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -86,7 +87,7 @@ def write(records: DataFrame, to: str, roll_bytes: int = ROLL_BYTES) -> DataFram
 
         def close():
             out.close()
-            return pa.RecordBatch.from_pylist([row | {"sha256": row["sha256"].hexdigest()}])
+            return pa.RecordBatch.from_pylist([row | {"sha256": row["sha256"].hexdigest()}], schema=MANIFEST)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
