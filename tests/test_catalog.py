@@ -3,9 +3,11 @@
 import glob
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from ridgeline.plans import catalog
+from ridgeline.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,8 +25,10 @@ def duck():
 
 def rows(frame):
     def cell(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
+        if isinstance(v, (bool, np.bool_)):
+            return str(bool(v))
         if isinstance(v, float) or hasattr(v, "dtype") or type(v).__name__ == "int":
             return f"{float(v):.9g}" if not hasattr(v, "isoformat") else v.isoformat()
         return str(v)[:19].removesuffix(" 00:00:00")
@@ -33,8 +37,8 @@ def rows(frame):
     return sorted(tuple(map(cell, r)) for r in frame.astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_matches_sql(spark, duck, name):
-    got, want = catalog.QUERIES[name](spark, SF).toPandas(), duck.sql(catalog.SQL[name]).df()
+    got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.sql(registry.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
