@@ -105,7 +105,7 @@ def _partly_hidden(spark: SparkSession, d: str) -> DataFrame:
 
 
 def solve_chain_fixpoint(spark: SparkSession, d: str) -> DataFrame:
-    return solver.fixpoint(_partly_hidden(spark, d), ["agency_id", "month"]).filter("equation IS NOT NULL").select("agency_id", "month", "metric", F.round("value", 4).alias("value"), "equation")
+    return solver.fixpoint(_partly_hidden(spark, d), ["agency_id", "month"]).filter("equation IS NOT NULL").select("agency_id", "month", "metric", "value", "equation")
 
 
 def cross_check_failures(spark: SparkSession, d: str) -> DataFrame:
@@ -291,14 +291,15 @@ def mode_set_parity(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_suppkey", F.array_join("a", ",").alias("unreturned"), F.col("a").eqNullSafe(F.col("b")).alias("same"))
 
 
-_solve = lambda: """SELECT agency_id, month, metric, round(value, 4) AS value, equation FROM (
-    SELECT agency_id, month, unnest([{'metric': 'ridership', 'value': CASE WHEN hide THEN opex / (opex / trips) END, 'equation': 'cost_per_trip'},
+_solve = lambda: """SELECT agency_id, month, metric, value, equation FROM (
+    SELECT agency_id, month, unnest([{'metric': 'ridership', 'value': CASE WHEN hide THEN trips END, 'equation': 'cost_per_trip'},
         {'metric': 'cost_per_trip', 'value': CASE WHEN NOT hide AND trips <> 0 THEN opex / trips END, 'equation': 'cost_per_trip'},
         {'metric': 'operating_expenses', 'value': CASE WHEN other THEN opex END, 'equation': 'expense_split'},
         {'metric': 'operating_deficit', 'value': CASE WHEN NOT other THEN opex - fares END, 'equation': 'expense_split'},
         {'metric': 'recovery_ratio', 'value': CASE WHEN opex <> 0 THEN fares / opex END, 'equation': 'recovery_ratio'},
         {'metric': 'trips_per_hour', 'value': trips / hours, 'equation': 'trips_per_hour'}], recursive := true)
-    FROM (SELECT agency_id, month, month(month) % 3 = 0 AS hide, agency_id % 4 = 0 AND month(month) % 3 <> 0 AS other, ridership AS trips, farebox_revenue AS fares, operating_expenses AS opex, revenue_service_hours AS hours FROM (""" + M_SQL + "))) WHERE value IS NOT NULL"
+    FROM (SELECT agency_id, month, hide, other, fares, hours, CASE WHEN hide THEN opex / (opex / trips) ELSE trips END AS trips, CASE WHEN other THEN fares + (opex - fares) ELSE opex END AS opex
+    FROM (SELECT agency_id, month, month(month) % 3 = 0 AS hide, agency_id % 4 = 0 AND month(month) % 3 <> 0 AS other, ridership AS trips, farebox_revenue AS fares, operating_expenses AS opex, revenue_service_hours AS hours FROM (""" + M_SQL + ")))) WHERE value IS NOT NULL"
 
 SQL = {
     "promote_diff": f"WITH {LOADS_SQL} SELECT * FROM p",
