@@ -42,3 +42,20 @@ def csv_cell(text: Column) -> Column:
     """A cell quoted where it holds a quote, comma or line end; null is empty."""
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.coalesce(F.when(text.rlike('[",\\r\\n]'), quoted).otherwise(text), F.lit(""))
+
+
+def quote_supports(quote: Column, printed: Column) -> Column:
+    """supported, mismatch or missing: whether a quote holds a printed value as it stands, with a decimal comma, or by
+    its significant digits (two at least) in one of its numbers."""
+    bare = F.regexp_replace(quote, "[\\s\\u00A0\\u202F]", "")
+    digits = significant_digits(printed)
+    tokens = F.transform(F.regexp_extract_all(bare, F.lit("[0-9][0-9.,]*"), F.lit(0)), significant_digits)
+    held = bare.contains(printed) | bare.contains(F.replace(printed, F.lit("."), F.lit(","))) | ((F.length(digits) >= 2) & F.array_contains(tokens, digits))
+    return F.when(quote.isNull() | (bare == ""), "missing").when(held, "supported").otherwise("mismatch")
+
+
+def compact(value: Column) -> Column:
+    """'1.2M' and '120K' from 100,000 on, else two decimals, halves up."""
+    million = F.concat((F.floor(value / 100000) / 10).cast("string"), F.lit("M"))
+    thousand = F.concat(F.floor(value / 1000).cast("string"), F.lit("K"))
+    return F.when(value >= 1000000, million).when(value >= 100000, thousand).otherwise((F.floor(value * 100 + 0.5) / 100).cast("decimal(18,2)").cast("string"))

@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from ridgeline.plans import catalog, extended
+from ridgeline.plans import catalog, extended, review
 
-QUERIES = catalog.QUERIES | extended.QUERIES
-SQL = catalog.SQL | extended.SQL
+QUERIES = catalog.QUERIES | extended.QUERIES | review.QUERIES
+SQL = catalog.SQL | extended.SQL | review.SQL
