@@ -26,7 +26,9 @@ from pyspark.sql import types as T
 from ridgeline.llm.common import SpanHash, ship, text_slices
 
 LONG_PIECE = 512
-MAX_CACHED = 1_000_000
+#: Pieces that a worker remembers, and bytes of text that it encodes at once: both bound its memory.
+MAX_CACHED = 500_000
+SLICE = 1 << 18
 NONE = np.int32(2**31 - 1)
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: The code points of Unicode's White_Space property.
@@ -88,7 +90,8 @@ class PairTable:
 
 
 class Tables:
-    """What encoding and decoding need of a rank file; `cache` maps piece hashes to places in `arena`."""
+    """What encoding and decoding need of a rank file; `keys` are the sorted hashes of the pieces seen, whose tokens are
+    the `count` at `place` in `arena`."""
 
     def __init__(self, file: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in file.splitlines() if x)}
@@ -112,17 +115,29 @@ class Tables:
         self.forget()
 
     def forget(self) -> None:
-        self.cache: dict[int, tuple[int, int]] = {}
+        self.keys = np.zeros(0, np.uint64)
+        self.place = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int32)
         self.arena = np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def keep(self, ids: np.ndarray) -> int:
-        if self.used + len(ids) > len(self.arena):
-            self.arena = np.concatenate([self.arena, np.zeros(max(len(self.arena), len(ids)), np.int32)])
-        at = self.used
-        self.arena[at : at + len(ids)] = ids
-        self.used += len(ids)
-        return at
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys stand or would stand, and whether they are there."""
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        return at, known
+
+    def add(self, keys: np.ndarray, at: np.ndarray, tokens: list[np.ndarray]) -> None:
+        """Remember new pieces: sorted keys, where `find` puts them, and their tokens."""
+        count = np.array([len(x) for x in tokens], np.int32)
+        ids = np.concatenate(tokens)
+        end = self.used + np.cumsum(count, dtype=np.int64)
+        if end[-1] > len(self.arena):
+            self.arena = np.concatenate([self.arena[: self.used], np.zeros(max(int(end[-1]), len(self.arena) * 3 // 2) - self.used, np.int32)])
+        self.arena[self.used : end[-1]] = ids
+        self.used = int(end[-1])
+        self.keys, self.place, self.count = (np.insert(x, at, y) for x, y in ((self.keys, keys), (self.place, end - count), (self.count, count)))
 
 
 def split_pieces(points: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -248,7 +263,7 @@ def encode_pieces(t: Tables, pieces: list[bytes]) -> list[np.ndarray]:
         else:
             buckets.setdefault(len(p) if len(p) <= 16 else 1 << (len(p) - 1).bit_length(), []).append(i)
     for width, rows in buckets.items():
-        step = max(1, (1 << 19) // width)
+        step = max(1, (1 << 18) // width)
         for k in range(0, len(rows), step):
             part = rows[k : k + step]
             for i, ids in zip(part, merge_matrix(t, [pieces[i] for i in part]), strict=True):
@@ -268,19 +283,18 @@ def encode_slice(t: Tables, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     begin = place[starts]
     end = np.append(begin[1:], len(data))
     unique, first, inverse = np.unique(SpanHash(data).of(begin, end), return_index=True, return_inverse=True)
-    if len(t.cache) + len(unique) > MAX_CACHED:
+    if len(t.keys) + len(unique) > MAX_CACHED:
         t.forget()
-    keys = unique.tolist()
-    fresh = [i for i, h in enumerate(keys) if h not in t.cache]
-    if fresh:
+    where, known = t.find(unique)
+    if not known.all():
+        fresh = np.flatnonzero(~known)
         at = first[fresh]
-        for i, ids in zip(fresh, encode_pieces(t, [raw[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)]), strict=True):
-            t.cache[keys[i]] = (t.keep(ids), len(ids))
-    where = np.array([t.cache[h] for h in keys], np.int64).reshape(-1, 2)
-    count = where[inverse, 1]
+        t.add(unique[fresh], where[fresh], encode_pieces(t, [raw[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)]))
+        where, _ = t.find(unique)
+    count = t.count[where][inverse]
     total = np.zeros(len(count) + 1, np.int64)
     np.cumsum(count, out=total[1:])
-    ids = t.arena[np.repeat(where[inverse, 0] - total[:-1], count) + np.arange(total[-1])]
+    ids = t.arena[np.repeat(t.place[where][inverse] - total[:-1], count) + np.arange(total[-1])]
     return ids, total[np.searchsorted(begin, offsets)]
 
 
@@ -309,10 +323,10 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
+def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str | None = None, ids: bool = True, decoded: bool = True, digests: bool = False) -> DataFrame:
     """Encode every whole text and decode it again.
 
-    Returns the id column, n_tokens long, with `ids` the ids array<int> and decoded binary, with `digests` ids_sha256 and
+    Returns the id column, n_tokens long, with `ids` the ids array<int>, with `decoded` the decoded bytes, with `digests` ids_sha256 and
     decoded_sha256 (lowercase hex; ids as little-endian unsigned 32-bit integers). The rank file (about 1 MB, a fixed
     vocabulary) is read by the driver and broadcast.
     """
@@ -322,19 +336,22 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         file = spark.sparkContext.broadcast(f.read())
     fields = [df.schema[id_col], T.StructField("n_tokens", T.LongType())]
     if ids:
-        fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+    if decoded:
+        fields.append(T.StructField("decoded", T.BinaryType()))
     if digests:
         fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
     def run(batches):
         t = tables_of(file.value)
         for batch in batches:
-            for i, j, data, offsets in text_slices(batch.column(1)):
+            for i, j, data, offsets in text_slices(batch.column(1), SLICE):
                 got, first = encode_slice(t, data, offsets)
                 back, place = decode_slice(t, got, first)
                 columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(first), pa.int64())]
                 if ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(got, pa.int32())))
+                if decoded:
                     raw = back.tobytes()
                     columns.append(pa.array([raw[a:b] for a, b in zip(place[:-1], place[1:], strict=True)], pa.binary()))
                 if digests:

@@ -43,7 +43,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), ids=False, digests=True)
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), ids=False, decoded=False, digests=True)
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
