@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digests of ids and decoded bytes."""
-    return bpe.encode_decode(docs, digests=True).drop("decoded")
+    return bpe.encode_decode(docs, decoded=False, digests=True)
 
 
 STAGES = [
