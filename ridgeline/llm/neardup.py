@@ -181,17 +181,24 @@ def _possible(sig: np.ndarray, sketch: np.ndarray, n: np.ndarray, i: np.ndarray,
     """Which index pairs may reach the likeness, by signature, set sizes and sketch.
 
     A sketch bin differs only if an element of the symmetric difference fell into it, so the distance is at most that
-    difference, (a + b) (1 - J) / (1 + J); for large sets it is also within 5.5 deviations of its mean.
+    difference, (a + b) (1 - J) / (1 + J), which is compared in integers: a pair at exactly the likeness is possible. For
+    large sets the distance is also within 5.5 deviations of its mean.
     """
-    least = percent / 100
     ok = _distance(sig, i, j) <= DISTANCE
     ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
     at = np.flatnonzero(ok)
-    most = np.minimum((n[i[at]] + n[j[at]]) * (1 - least) / (1 + least), SKETCH * (1 - least) + 5.5 * np.sqrt(SKETCH * least * (1 - least)))
-    ok[at] = _distance(sketch, i[at], j[at]) <= most
+    far = _distance(sketch, i[at], j[at]).astype(np.int64)
+    ok[at] = _within(far, n[i[at]] + n[j[at]], percent)
+    mean = SKETCH * (100 - percent) / 100
+    ok[at] &= far <= mean + 5.5 * np.sqrt(mean * percent / 100)
     return ok
 
 
+def _within(far: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of `both` elements together may reach the likeness with `far` different sketch bins."""
+    return (100 + percent) * far <= (100 - percent) * both
+
+
 def _first_key(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The first of the keys that two rows share (as `index` makes them)."""
     out = np.zeros(len(i), np.uint64)
@@ -251,7 +258,7 @@ def _across(batches, percent: int):
                     other = rows[r - a + 1 :]
                     other = other[comp[other] != comp[r]]
                     if len(other):
-                        other = other[(sketch[other] != sketch[r]).sum(1) <= (n[other] + n[r]) * (100 - percent) / (100 + percent)]
+                        other = other[_within((sketch[other] != sketch[r]).sum(1), n[other] + n[r], percent)]
                         found.append((np.full(len(other), r), other))
         i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         i, j = (x[(lo[i] == hi[i]) | (half[i] != half[j])] for x in (i, j))  # pairs of one block are its own group's

@@ -291,6 +291,28 @@ def test_near_duplicates_in_small_blocks(docs, monkeypatch):
     assert sorted(map(tuple, neardup.near_duplicates(docs).collect())) == want
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of exactly 80 per cent: nested sets of 4 of 5, 8 of 10 and 16 of 20 shingles, and equal sizes that differ on both sides."""
+    for size, method in ((4, neardup.near_duplicates), (5, neardup.near_duplicates), (5, neardup.keep_one)):
+        rows, i = [], 0
+        for shared, total in ((4, 5), (8, 10), (16, 20)):
+            for both in (False, True):
+                for k in range(12):
+                    m = total - shared
+                    words = [f"w{shared}x{both:d}x{k}x{j}" for j in range(total + size - 1)]
+                    cut = m // 2 if both else 0
+                    pair = words[: len(words) - m + cut], words[cut:]
+                    rows += [(i + d, " ".join(t)) for d, t in enumerate(pair)]
+                    i += 2
+        _, top = brute_components(rows, size)
+        assert all(top[k] == k - k % 2 for k in top)
+        got = method(spark.createDataFrame(rows, "doc_id long, text string"), size=size).collect()
+        if method is neardup.keep_one:
+            assert sorted(r.doc_id for r in got) == sorted(set(top.values()))
+        else:
+            assert {r.doc_id: r.component_id for r in got} == top
+
+
 def test_pipeline(spark, docs, none, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
