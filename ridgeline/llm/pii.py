@@ -4,6 +4,7 @@ Base kinds (email, ip, card, phone) are found by patterns and checks. Each disti
 that stands on an entity's lines reveals it by PMI(entity; term) / IC(entity) = 1 + ln p(entity | term) / -ln p(entity),
 with p counted over the documents of the whole corpus; terms that share at least `SUPPORT` distinct lines with an entity
 (copies of a line count once) and whose disclosure is `DISCLOSURE` or more are spans too, wherever they occur, and are removed with the entities.
+Words within base spans are not counted, so a name beside its address is scored like any other word.
 
 A match's place comes from the pieces between matches: their lengths add up to its start. The patterns below match as
 the plain ones do, but possessively and only at the start of a run, so that very long runs take linear time and no stack.
@@ -75,6 +76,12 @@ def _with_base(docs: DataFrame, text: Column) -> DataFrame:
     return out.drop(*[f"_{x}_{k}" for k in PATTERNS for x in "mp"])
 
 
+def _words(text: Column) -> Column:
+    """The distinct words in lower case that stand outside of base spans; of these, only emails hold letters."""
+    rest = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(TERM), F.lit(0)))
+
+
 def revealing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(term, kind, disclosure): words that reveal a protected entity somewhere in the corpus."""
     text = blank(F.col(text_col))
@@ -88,11 +95,10 @@ def revealing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = near.groupBy("_entity").agg(F.count("*").alias("_few")).filter(F.col("_few") >= support)  # a first sieve; distinct lines are counted below
     near = cut(near.join(small_broadcast(seen.select("_entity")), "_entity", "left_semi"), "pii-lines")
     of = near.groupBy("_entity").agg(F.count_distinct("_key").alias("_n_entity"))
-    term = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_line"), F.lit(TERM), F.lit(0)))).alias("term")
-    both = near.select("_entity", "_key", F.xxhash64("_line").alias("_line"), term).filter(~F.contains(F.col("_entity.value"), F.col("term")))
+    both = near.select("_entity", "_key", F.xxhash64("_line").alias("_line"), F.explode(_words(F.col("_line"))).alias("term"))
     both = both.groupBy("_entity", "term").agg(F.count_distinct("_key").alias("_n_both"), F.count_distinct("_line").alias("_lines")).filter(F.col("_lines") >= support)
     both = cut(both.join(of, "_entity"), "pii-pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = docs.select(F.explode(_words(text)).alias("term"))
     words = words.join(small_broadcast(both.select("term").distinct()), "term", "left_semi")
     df = words.groupBy("term").agg(F.count("*").alias("_n_term"))
     n = docs.count()
@@ -142,7 +148,7 @@ def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tagged = ", ".join(f"transform({s}, x -> struct(x.s as s, x.e as e, '{w}' as w))" for s, w in [*((f"_{k}", f"[{k.upper()}]") for k in PATTERNS), ("_terms", "")])
     rows = rows.withColumn("_all", F.expr(f"array_sort(concat({tagged}))"))
     last = "element_at(a, -1)"
-    merge = f"case when size(a) = 0 or {last}.e <= x.s then concat(a, array(x)) else concat(slice(a, 1, size(a) - 1), array(struct({last}.s as s, greatest({last}.e, x.e) as e, {last}.w as w))) end"
+    merge = f"case when size(a) = 0 or {last}.e <= x.s then concat(a, array(x)) else concat(slice(a, 1, size(a) - 1), array(struct({last}.s as s, greatest({last}.e, x.e) as e, if({last}.w = '', x.w, {last}.w) as w))) end"
     rows = rows.withColumn("_all", F.expr(f"aggregate(_all, cast(array() as array<struct<s:int,e:int,w:string>>), (a, x) -> {merge})"))
     before = "if(i = 0, 0, element_at(_all, i).e)"
     parts = f"transform(_all, (x, i) -> concat(substr(_text, {before} + 1, x.s - {before}), x.w))"

@@ -144,6 +144,16 @@ def test_pii_terms(spark):
     assert "lorblax" not in pii.sanitize(df).filter("doc_id = 99").first().text.lower()
 
 
+def test_pii_names_beside_their_address(spark):
+    rows = [(i, f"note {i} from Jane Doe <jane.doe@acme.org> of Acme") for i in range(6)] + [(10 + i, f"a note {i} of another kind from us") for i in range(40)]
+    rows += [(98, "jane.doe@acme.org"), (99, "ask Jane or Mr Doe at Acme")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert got[99].spans == "term:4:8,term:15:18,term:22:26" and got[10].spans == ""
+    clean = {r.doc_id: r.text for r in pii.sanitize(df).collect()}
+    assert clean[99] == "ask  or Mr  at " and clean[98] == "[EMAIL]" and clean[0] == "note 0 from   <[EMAIL]> of "
+
+
 def test_warc(spark):
     big = "<p>é</p>" * 400
     rows = [(1, "u1", None), (2, None, ""), (3, "u3", "small"), (4, "u4", "small"), (5, "u5", big), (9, "u\r\n9", big), (7, "u7", big), (9, "u9", big), (10_000, "x", "y" * 3_000_000), (None, "n", "z" * 2000)]
