@@ -1,9 +1,10 @@
 """Personal data: base kinds by pattern, and terms that reveal them by corpus co-occurrence; DataFrame functions only.
 
 Base kinds (email, ip, card, phone) are found by patterns and checks. Each distinct value is a protected entity. A word
-that stands on an entity's lines reveals it by PMI(entity; term) / IC(entity) = 1 + ln p(entity | term) / -ln p(entity),
-with p counted over the documents of the whole corpus; terms that share at least `SUPPORT` distinct lines with an entity
-(copies of a line count once) and whose disclosure is `DISCLOSURE` or more are spans too, wherever they occur, and are removed with the entities.
+that stands on an entity's lines, or up to `WINDOW` lines above or below, reveals it by
+PMI(entity; term) / IC(entity) = 1 + ln p(entity | term) / -ln p(entity), with p counted over the documents of the whole
+corpus; terms that share at least `SUPPORT` documents with an entity (copies of a line count in each) and whose disclosure
+is `DISCLOSURE` or more are spans too, wherever they occur, and are removed with the entities.
 Words within base spans are not counted, so a name beside its address is scored like any other word.
 
 A match's place comes from the pieces between matches: their lengths add up to its start. The patterns below match as
@@ -28,8 +29,10 @@ PATTERNS = {
 #: What every text with a match of the kind holds; spares the pattern for most texts.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 SUPPORT = 3
+#: Lines above and below an entity's own that count as beside it.
+WINDOW = 3
 DISCLOSURE = 0.9
-TERM = r"\p{L}{3,}+"
+TERM = r"\p{L}++"
 _EMPTY = "cast(array() as array<struct<s:int,e:int,m:string>>)"
 
 
@@ -88,19 +91,20 @@ def revealing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hit = F.lit(False)
     for k, p in PATTERNS.items():
         hit = hit | (F.contains(text, F.lit(NEEDS[k])) & text.rlike(p) if NEEDS[k] else text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"))
-    lines = docs.filter(hit).select(F.xxhash64(F.col(id_col), text).alias("_key"), F.explode(F.split(text, "\n")).alias("_line"))
-    lines = _with_base(lines.filter(F.col("_line").rlike("[0-9@]")), F.col("_line"))
+    around = f"array_join(slice(_l, greatest(i + 1 - {WINDOW}, 1), i + 1 + {WINDOW} - greatest(i - {WINDOW}, 0)), '\\n')"
+    near = F.expr(f"filter(transform(_l, (x, i) -> struct(x as _line, if(x rlike '[0-9@]', {around}, null) as _around)), x -> x._around is not null)")
+    lines = docs.filter(hit).select(F.xxhash64(F.col(id_col), text).alias("_key"), F.split(text, "\n").alias("_l"))
+    lines = _with_base(lines.select("_key", F.inline(near)), F.col("_line"))
     kinds = F.concat(*[F.transform(F.col(f"_{k}"), lambda x, k=k: F.struct(F.lit(k).alias("kind"), F.lower(x["m"]).alias("value"))) for k in PATTERNS])
-    near = lines.select("_key", "_line", F.explode(F.array_distinct(kinds)).alias("_entity"))
-    seen = near.groupBy("_entity").agg(F.count("*").alias("_few")).filter(F.col("_few") >= support)  # a first sieve; distinct lines are counted below
+    near = lines.select("_key", "_around", F.explode(F.array_distinct(kinds)).alias("_entity"))
+    seen = near.groupBy("_entity").agg(F.count("*").alias("_few")).filter(F.col("_few") >= support)  # a first sieve; documents are counted below
     near = cut(near.join(small_broadcast(seen.select("_entity")), "_entity", "left_semi"), "pii-lines")
     of = near.groupBy("_entity").agg(F.count_distinct("_key").alias("_n_entity"))
-    both = near.select("_entity", "_key", F.xxhash64("_line").alias("_line"), F.explode(_words(F.col("_line"))).alias("term"))
-    both = both.groupBy("_entity", "term").agg(F.count_distinct("_key").alias("_n_both"), F.count_distinct("_line").alias("_lines")).filter(F.col("_lines") >= support)
+    both = near.select("_entity", "_key", _words(F.col("_around")).alias("_words"))
+    both = both.groupBy("_entity", "_key").agg(F.array_distinct(F.flatten(F.collect_list("_words"))).alias("_words"))  # a document counts once
+    both = both.select("_entity", F.explode("_words").alias("term")).groupBy("_entity", "term").agg(F.count("*").alias("_n_both")).filter(F.col("_n_both") >= support)
     both = cut(both.join(of, "_entity"), "pii-pairs")
-    words = docs.select(F.explode(_words(text)).alias("term"))
-    words = words.join(small_broadcast(both.select("term").distinct()), "term", "left_semi")
-    df = words.groupBy("term").agg(F.count("*").alias("_n_term"))
+    df = docs.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("_n_term"))
     n = docs.count()
     ic = F.log(F.lit(float(max(n, 1))) / F.col("_n_entity"))
     share = F.when(ic > 0, 1 + F.log(F.least(F.lit(1.0), F.col("_n_both") / F.col("_n_term"))) / ic).otherwise(0.0)

@@ -154,6 +154,16 @@ def test_pii_names_beside_their_address(spark):
     assert clean[99] == "ask  or Mr  at " and clean[98] == "[EMAIL]" and clean[0] == "note 0 from   <[EMAIL]> of "
 
 
+def test_pii_of_copied_and_neighbouring_lines(spark):
+    copied = "contact Zorblax at z@corp.example.org"  # word for word the same line in each document
+    block = "Best wishes\nQuix Li\nHead of Sales\nq@corp.example.org\nBrumwick"  # a name above the address and a place below
+    rows = [(i, f"note {i}\n{copied}\nend") for i in range(6)] + [(10 + i, f"far word{i}\n.\n.\n{block}") for i in range(6)]
+    rows += [(20 + i, "contact best wishes head of sales at note end far word") for i in range(60)] + [(99, "Zorblax Quix Li Brumwick far")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert got[99].spans == "term:0:7,term:8:12,term:13:15,term:16:24" and got[20].spans == ""
+
+
 def test_warc(spark):
     big = "<p>é</p>" * 400
     rows = [(1, "u1", None), (2, None, ""), (3, "u3", "small"), (4, "u4", "small"), (5, "u5", big), (9, "u\r\n9", big), (7, "u7", big), (9, "u9", big), (10_000, "x", "y" * 3_000_000), (None, "n", "z" * 2000)]
