@@ -1,10 +1,9 @@
-"""Sharding by a hierarchical weighted hash tree, with DataFrame functions only.
+"""Sharding by weighted rendezvous hashing over one flat set of shards, with DataFrame functions only.
 
-Regions hold racks, racks hold shards. A shard's draw for a row is -ln(u) / weight, u hashed from the row's key and the
-shard; a rack's draw is the least of its shards', a region's the least of its racks'. The least of exponential draws is
-itself exponential with the sum of the weights, so descending from the root by least draw picks every subtree in
-proportion to its weight, and a changed weight moves rows only into or out of the subtree that holds it: one more shard
-takes rows only into itself.
+A shard's draw for a row is -ln(u) / weight, u hashed from the row's key and the shard; the least draw of all shards wins,
+so shards are picked in proportion to their weights, and a changed weight moves rows only into or out of its shard: one
+more shard takes rows only into itself. Regions hold racks, racks hold shards, but they only name places: a shard's region
+and rack follow from its number, and have no draws or weights of their own (the nested least is the least of all).
 
 Defined cases: a null text is empty; rows with a null key are all dealt alike, to one shard; repeated rows get one slot
 each; an empty table gives an empty result; extra columns are ignored.
