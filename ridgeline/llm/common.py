@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass holds at once (a longer document is one pass of its own).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 WHITE = "\\x20\\x09-\\x0D"
 WORD = f"[^{WHITE}]+"
 
@@ -81,53 +81,95 @@ def text_slices(column, limit: int = SLICE_BYTES):
         i = j
 
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n + 1:
-        size = max(n + 1, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _POWERS[name] = np.multiply.accumulate(out)
-    return _POWERS["up"], _POWERS["down"]
+#: Values that are mixed at a time, in buffers that stay in the cache.
+_STEP = 1 << 14
+_SPARE = np.empty(_STEP, np.uint64)
+_M1, _M2, _M3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser of 64-bit integers (in place)."""
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    flat = h.reshape(-1)
+    for s in range(0, len(flat), _STEP):
+        x = flat[s : s + _STEP]
+        spare = _SPARE[: len(x)]
+        for shift, factor in ((32, _M1), (29, _M2), (32, None)):
+            np.right_shift(x, np.uint64(shift), out=spare)
+            x ^= spare
+            if factor is not None:
+                x *= factor
+    return h
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = np.empty(len(a), np.uint64)
+    for s in range(0, len(h), _STEP):
+        x = h[s : s + _STEP]
+        spare = _SPARE[: len(x)]
+        np.multiply(a[s : s + _STEP], _M3, out=x)
+        x += b[s : s + _STEP]
+        np.right_shift(x, np.uint64(32), out=spare)
+        x ^= spare
+        x *= _M1
+        np.right_shift(x, np.uint64(29), out=spare)
+        x ^= spare
     return h
 
 
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+
+
 class SpanHash:
-    """Hashes of spans of a sequence of integers by prefix sums of a polynomial modulo 2**64."""
+    """64-bit hashes of spans of a sequence of bytes (uint8) or of integers.
+
+    Level k holds a hash of every stretch of 2**k values, joined from its halves' hashes; a span's hash joins those of its
+    first and its last stretch of the largest level that fits, and its length. As each level mixes anew, regular sequences
+    (such as Thue-Morse words, of which polynomials modulo 2**64 cannot tell one from its complement) are told apart.
+    Bytes begin at level 3 with eight of them as one integer; a shorter span of them is hashed as the integer it is.
+    """
 
     def __init__(self, values: np.ndarray):
-        up, self.down = _powers(len(values))
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        terms = values.astype(np.uint64)
-        terms += np.uint64(1)
-        terms *= up[: len(values)]
-        np.cumsum(terms, out=self.sums[1:])
+        self.bytes = values.dtype == np.uint8
+        if self.bytes:
+            held = np.zeros(len(values) + 8, np.uint8)
+            held[: len(values)] = values
+            values = np.ndarray(len(values), "<u8", held, strides=(1,))
+        self.values = values
+        self._start()
+
+    def _start(self) -> None:
+        self.power = 3 if self.bytes else 0
+        self.level = mix(self.values[: max(0, len(self.values) - 7)].copy() if self.bytes else self.values.astype(np.uint64) + np.uint64(1))
+
+    def _at(self, power: int) -> np.ndarray:
+        if power < self.power:
+            self._start()
+        while self.power < power:  # only the last level is held
+            half = 1 << self.power
+            self.level, self.power = _join(self.level[:-half], self.level[half:]), self.power + 1
+        return self.level
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.down[start]
-        h += (np.asarray(end) - np.asarray(start)).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-        return mix(h)
+        """Hashes of the spans [start, end), none of them empty."""
+        size = np.asarray(end) - np.asarray(start)
+        power = np.frexp(size.astype(np.float64))[1] - 1
+        out = size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        if self.bytes:
+            at = np.flatnonzero(power < 3)
+            out[at] += self.values[start[at]] & _LOW_BYTES[size[at]]
+        for k in range(3 if self.bytes else 0, int(power.max(initial=-1)) + 1):
+            at = np.flatnonzero(power == k)
+            if len(at):
+                level = self._at(k)
+                out[at] += _join(level[start[at]], level[end[at] - (1 << k)])
+        return mix(out)
 
     def windows(self, size: int) -> np.ndarray:
-        """Of every window of size values, by its start."""
-        h = self.sums[size:] - self.sums[:-size]
-        h *= self.down[: len(h)]
-        return mix(h)
+        """Of every window of `size` values (eight or more bytes), by its start."""
+        power = size.bit_length() - 1
+        level = self._at(power)
+        last = size - (1 << power)
+        return mix(_join(level[: len(level) - last], level[last:]))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,6 +211,13 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np
     return SpanHash(word).of(at, at + np.minimum(counts, size)[row]), begin
 
 
-def small_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only if a count shows that df has few rows; else leave the join to Spark's skew handling."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 16 << 20) -> DataFrame:
+    """Hint a broadcast only if df is counted to hold few rows and few bytes; else leave the join to Spark's skew handling."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
+
+
+def nested(df: DataFrame, name: str = "_doc") -> Column:
+    """All columns of df as one struct, beside which working columns clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
