@@ -2,19 +2,23 @@
 
 Texts are UTF-8 bytes. Of each window of LENGTH bytes the leftmost least hash of its GRAM-byte grams is its anchor: equal
 windows choose the same anchor at the same place, so suffixes need be sorted only at anchors, and only those of anchors
-that occur twice. A run of windows with one anchor is a context. Contexts whose bytes all recur repeat wholly. The rest are
-gathered by anchor; their right-hand sides are sorted (suffix array) with their common prefixes, and a stack scan builds
-the interval tree bottom-up. Joining two intervals at a depth tests left-extension diversity: the members, held in order of
-their reversed left-hand sides, gain new neighbours, and each such pair is a maximal repeat of both members. A node's
-members with their common left extension form a maximal repeat group with all its occurrences (`repeat_groups`).
-
-Groups of up to MAX_GROUP distinct contexts are sorted in one task; a larger one is counted window by window instead, by
-hash over the cluster (exact, and without a group in one task). Contexts are pre-aggregated before any of this, so the
-copies of a passage cost one row.
+that occur twice. A run of windows with one anchor is a context. Equal contexts are one leaf of the tree with all their
+occurrences, and repeat wholly. Different ones are gathered by anchor; their right-hand sides are sorted (suffix array) with
+their common prefixes, and a stack scan builds the interval tree bottom-up. Joining two intervals at a depth tests
+left-extension diversity: the members, held in order of their reversed left-hand sides, gain new neighbours, and each such
+pair is a maximal repeat of both members. The members of an interval of the suffix array that also form an interval in order
+of their left-hand sides, with such a pair in it, are a maximal repeat group, which `repeat_groups` returns with all its occurrences; a repeat longer than a context (LENGTH to about
+2 LENGTH - GRAM bytes) comes as the chain of its overlapping stretches.
+
+A group of over MAX_GROUP different contexts is split before it is sorted: LENGTH equal bytes around an anchor hold half of
+what the gram leaves on its left or on its right, so the group falls into those of equal bytes on the right and those of
+equal bytes on the left, and so on until they are small; one whose whole window is equal is an interval as it stands.
+Contexts are pre-aggregated before any of this, so the copies of a passage cost one row.
 
 Defined cases: null and empty texts, and those of fewer than LENGTH bytes, lose nothing; matches never cross texts; a text
-may repeat itself, with overlaps; repeated rows are copies of each other; very long texts are taken whole; empty tables
-give empty results; extra columns are ignored. Equality of grams, contexts and rows is that of 64-bit hashes.
+may repeat itself, with overlaps; repeated rows are copies of each other; very long texts are taken whole, SEGMENT windows at
+a time; empty tables give empty results; extra columns are ignored, whatever their names. Equality of grams, contexts and
+rows is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import SpanHash, blank, cut, mix, ship, text_slices
+from ridgeline.llm.common import SpanHash, blank, cut, mix, ship, small_broadcast, text_slices
 
 LENGTH = 200
 GRAM = 50
-MAX_GROUP = 50_000
+MAX_GROUP = 20_000
+SEGMENT = 1 << 24
 _PLACE = np.uint64(2**28 - 1)
 
 
@@ -76,27 +81,32 @@ def _scan(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i, j, data, offsets in text_slices(batch.column(1)):
-                row, h, c, lo, a, hi = anchors(data, offsets, length, gram)
-                if len(row):
-                    pk = ((lo - offsets[row]) << 16) | ((a - lo) << 8) | (hi - lo)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(pk)], names=["h", "c", "rk", "pk"])
+                for s in range(0, max(1, len(data)), SEGMENT if j == i + 1 else max(1, len(data))):
+                    part = data[s : s + SEGMENT + length - 1] if j == i + 1 else data
+                    begin = np.array([0, len(part)]) if j == i + 1 else offsets
+                    row, h, c, lo, a, hi = anchors(part, begin, length, gram)
+                    if len(row):
+                        pk = ((lo - begin[row] + s) << 16) | ((a - lo) << 8) | (hi - lo)
+                        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(pk)], names=["h", "c", "rk", "pk"])
 
     return rows.select("rk", "t").mapInArrow(run, "h long, c long, rk long, pk long")
 
 
 def interval_tree(rank: list[int], lcp: list[int], want_nodes: bool = False):
-    """Stack scan of a suffix array: pairs (rank, rank, depth) that become left neighbours as intervals join, and nodes.
+    """Stack scan of a suffix array: pairs (rank, rank, depth) that become left neighbours as intervals join, and nodes
+    (depth, members, the node's pairs).
 
     rank: the members' places in order of their left-hand sides, in suffix order; lcp[i]: of i-1 and i, -1 between groups.
     """
     pairs: list[tuple[int, int, int]] = []
-    nodes: list[tuple[int, list[int]]] = []
-    stack: list[list] = []  # [members in order of rank, depth shared with the interval above]
+    nodes: list[tuple[int, list[int], list[tuple[int, int, int]]]] = []
+    stack: list[list] = []  # [members in order of rank, depth shared with the interval above, depth and pairs of its own]
 
     def join() -> None:
-        above, _ = stack.pop()
-        below, depth = stack[-1]
+        above = stack.pop()[0]
+        below, depth, (own_depth, own) = stack[-1]
         small, large = (above, below) if len(above) < len(below) else (below, above)
+        known = len(pairs)
         for r in small:
             k = bisect_left(large, r)
             if k:
@@ -104,9 +114,10 @@ def interval_tree(rank: list[int], lcp: list[int], want_nodes: bool = False):
             if k < len(large):
                 pairs.append((r, large[k], depth))
             large.insert(k, r)
-        stack[-1][0] = large
+        own = (own if own_depth == depth else []) + pairs[known:] if want_nodes else own
+        stack[-1][0], stack[-1][2] = large, (depth, own)
         if want_nodes and (len(stack) < 2 or stack[-2][1] < depth):
-            nodes.append((depth, list(large)))
+            nodes.append((depth, list(large), own))
 
     for r, depth in zip(rank, lcp, strict=True):
         while len(stack) > 1 and stack[-2][1] >= depth:
@@ -115,7 +126,7 @@ def interval_tree(rank: list[int], lcp: list[int], want_nodes: bool = False):
             stack.clear()
         elif stack:
             stack[-1][1] = depth
-        stack.append([[r], -1])
+        stack.append([[r], -1, (-1, [])])
     while len(stack) > 1:
         join()
     return pairs, nodes
@@ -144,6 +155,19 @@ def _common(m: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np
     return out
 
 
+def _intervals(common: list[int], least: int):
+    """(depth, first, last) of the intervals of at least that depth; common[i]: of i and i+1."""
+    stack: list[tuple[int, int]] = []
+    for i, depth in enumerate([*common, -1]):
+        first = i
+        while stack and stack[-1][0] > depth:
+            shared, first = stack.pop()
+            if shared >= least:
+                yield shared, first, i
+        if depth >= 0 and (not stack or stack[-1][0] < depth):
+            stack.append((depth, first))
+
+
 def suffix_groups(group: np.ndarray, left: list[bytes], right: list[bytes], length: int, want_nodes: bool = False):
     """Repeats among contexts of equal anchors: (x, y, left, right) of maximal pairs at least `length` long, and nodes.
 
@@ -162,11 +186,14 @@ def suffix_groups(group: np.ndarray, left: list[bytes], right: list[bytes], leng
     common = _common(l_bytes, l_size, x, y)
     ok = common + depth >= length
     found = []
-    for depth_of, members in nodes:  # members in order of their left-hand sides: the ends share least
+    for depth_of, members, own in nodes:
+        members = np.array(members)
         at = by_left[members]
-        shared = int(_common(l_bytes, l_size, at[:1], at[-1:])[0])
-        if shared + depth_of >= length:
-            found.append((shared, depth_of, at))
+        near = _common(l_bytes, l_size, at[:-1], at[1:])
+        p, q = np.sort(np.searchsorted(members, np.array(own)[:, :2]), axis=1).T
+        for shared, low, high in _intervals(near.tolist(), length - depth_of):
+            if ((p >= low) & (q <= high)).any():  # members of different intervals of the suffix array
+                found.append((shared, depth_of, at[low : high + 1]))
     return (x[ok], y[ok], common[ok], depth[ok]), found
 
 
@@ -180,8 +207,8 @@ def _whole_groups(batches, least: int = 20_000):
         size += batch.num_rows
         if size >= least:
             t = pa.Table.from_batches(held).combine_chunks()
-            h = t.column("h").to_numpy()
-            at = int(np.searchsorted(h, h[-1]))
+            key = t.column("key").to_numpy()
+            at = int(np.searchsorted(key, key[-1]))
             if at:
                 yield t.slice(0, at)
             held, size = t.slice(at).combine_chunks().to_batches(), t.num_rows - at
@@ -189,9 +216,9 @@ def _whole_groups(batches, least: int = 20_000):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _contexts(edges: DataFrame, rows: DataFrame, id_col: str, length: int) -> DataFrame:
-    """(h, n, m, rk, a, left, right): the bytes around the edges' anchors, one row a distinct context."""
-    asked = edges.groupBy("rk").agg(F.collect_list(F.struct("h", "n", "m", "pk")).alias("ask"))
+def _contexts(edges: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(h, c, n, m, rk, a, left, right): the bytes around the edges' anchors, one row a distinct context."""
+    asked = edges.groupBy("rk").agg(F.collect_list(F.struct("h", "c", "n", "m", "pk")).alias("ask"))
 
     def run(batches):
         for batch in batches:
@@ -203,71 +230,91 @@ def _contexts(edges: DataFrame, rows: DataFrame, id_col: str, length: int) -> Da
                     for x in ask:
                         lo = x["pk"] >> 16
                         a, end = lo + (x["pk"] >> 8 & 255), lo + (x["pk"] & 255) + length
-                        out.append((x["h"], x["n"], x["m"], rk, a, raw[lo:a], raw[a:end]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "n", "m", "rk", "a", "left", "right"])
-
-    kinds = [pa.int64()] * 5 + [pa.binary()] * 2
-    return rows.join(asked, "rk").select(id_col, "rk", "t", "ask").mapInArrow(run, "h long, n long, m long, rk long, a long, left binary, right binary")
+                        out.append((x["h"], x["c"], x["n"], x["m"], rk, a, raw[lo:a], raw[a:end]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "c", "n", "m", "rk", "a", "left", "right"])
+
+    kinds = [pa.int64()] * 6 + [pa.binary()] * 2
+    return rows.join(asked, "rk").select("rk", "t", "ask").mapInArrow(run, "h long, c long, n long, m long, rk long, a long, left binary, right binary")
+
+
+def _split(contexts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame | None]:
+    """Contexts by `key` in groups small enough to sort, and those of larger groups whose window is equal, with the bytes
+    `kl` on the left and `kr` after the gram that it holds. A member may be in several groups."""
+    contexts = contexts.withColumns({"key": F.col("h"), "kl": F.lit(0), "kr": F.lit(0)})
+    small, large, whole = contexts.filter(F.col("m") <= MAX_GROUP), contexts.filter(F.col("m") > MAX_GROUP), None
+    while True:
+        half = F.ceil((F.lit(length - gram) - F.col("kl") - F.col("kr")) / 2).cast("int")
+        large = large.withColumn("half", half)
+        right = large.filter(F.octet_length("right") >= F.lit(gram) + F.col("kr") + F.col("half"))
+        right = right.withColumns({"key": F.xxhash64("key", F.lit(1), F.substring("right", 1, F.lit(gram) + F.col("kr") + F.col("half"))), "kr": F.col("kr") + F.col("half")})
+        left = large.filter(F.octet_length("left") >= F.col("kl") + F.col("half"))
+        left = left.withColumns({"key": F.xxhash64("key", F.lit(2), F.substring("left", -(F.col("kl") + F.col("half")), F.col("kl") + F.col("half"))), "kl": F.col("kl") + F.col("half")})
+        parts = cut(right.unionByName(left).drop("m", "half"), "repeats-parts")
+        hot = parts.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > MAX_GROUP)  # at most a row for MAX_GROUP rows
+        parts = parts.join(small_broadcast(cut(hot, "repeats-hot")), "key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+        full = F.col("kl") + F.col("kr") >= length - gram
+        small = small.unionByName(parts.filter(F.col("m") <= MAX_GROUP))
+        equal = parts.filter((F.col("m") > MAX_GROUP) & full)
+        whole = equal if whole is None else whole.unionByName(equal)
+        large = parts.filter((F.col("m") > MAX_GROUP) & ~full)
+        if large.limit(1).count() == 0:
+            return small, whole
+
+
+def _groups_of(t: pa.Table, length: int, want_nodes: bool):
+    key = t.column("key").to_numpy()
+    group = np.cumsum(np.append(0, key[1:] != key[:-1]))
+    return suffix_groups(group, t.column("left").to_pylist(), t.column("right").to_pylist(), length, want_nodes)
 
 
 def _tree_marks(contexts: DataFrame, length: int) -> DataFrame:
+    """(rk, s, e): the maximal repeats of the contexts that occur once."""
+
     def run(batches):
         for t in _whole_groups(batches):
-            h = t.column("h").to_numpy()
-            group = np.cumsum(np.append(0, h[1:] != h[:-1]))
-            (x, y, left, right), _ = suffix_groups(group, t.column("left").to_pylist(), t.column("right").to_pylist(), length)
+            (x, y, left, right), _ = _groups_of(t, length, False)
             a, once, rk = t.column("a").to_numpy(), t.column("n").to_numpy() == 1, t.column("rk").to_numpy()
             who, left, right = np.append(x, y), np.append(left, left), np.append(right, right)
             take = once[who]
             who, left, right = who[take], left[take], right[take]
             yield pa.RecordBatch.from_arrays([pa.array(rk[who]), pa.array(a[who] - left), pa.array(a[who] + right)], names=["rk", "s", "e"])
 
-    ordered = contexts.repartition("h").sortWithinPartitions("h")
-    return ordered.mapInArrow(run, "rk long, s long, e long")
-
-
-def _window_marks(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for groups too large to sort: windows that occur twice, by (anchor, offset and window hash)."""
-
-    def run(batches):
-        for batch in batches:
-            for h, n, rk, a, left, right in zip(*(batch.column(c).to_pylist() for c in ("h", "n", "rk", "a", "left", "right")), strict=True):
-                got = SpanHash(np.frombuffer(left + right, np.uint8)).windows(length)
-                back = np.arange(len(got)) - len(left)
-                key = mix(got + np.uint64(h % 2**64) + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                k = len(key)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(k, rk)), pa.array(a + back), pa.array(np.full(k, n == 1))], names=["w", "rk", "s", "once"])
-
-    windows = cut(contexts.mapInArrow(run, "w long, rk long, s long, once boolean"), "repeats-windows")
-    again = windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
-    return windows.filter("once").join(again, "w", "left_semi").select("rk", "s", (F.col("s") + length).alias("e"))
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "rk long, s long, e long")
 
 
 def _prepare(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int):
-    """Rows, members of repeated anchors, their classes, and the classes that need their bytes compared."""
+    """Rows, members of repeated anchors, and their classes."""
     if not gram < length <= gram + 256:
         raise ValueError("length must exceed gram by 1 to 256")
     ship(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     found = _scan(rows, length, gram)
-    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeats-anchors")  # a written side lets Spark split a hot anchor
     members = cut(found.join(again, "h", "left_semi"), "repeats-members")
     classes = members.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rk", "pk")).alias("rep"))
-    classes = cut(classes.select("h", "c", "n", "rep.rk", "rep.pk"), "repeats-classes")
-    mixed = classes.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("few")).filter("m > 1 AND few = 1")
-    edges = classes.join(mixed.select("h", "m"), "h").select("h", "n", "m", "rk", "pk")
-    return rows, members, classes, edges, mixed.filter(F.col("m") > MAX_GROUP).limit(1).count() > 0
+    return rows, members, cut(classes.select("h", "c", "n", "rep.rk", "rep.pk"), "repeats-classes")
+
+
+def _mixed(classes: DataFrame, rows: DataFrame, length: int, gram: int, which: str) -> tuple[DataFrame, DataFrame | None]:
+    """The contexts of anchors with several ones, in groups small enough to sort, and what is equal in larger ones."""
+    mixed = classes.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("few")).filter("m > 1").filter(which).select("h", "m")
+    mixed = cut(mixed, "repeats-mixed")
+    contexts = _contexts(classes.join(mixed, "h").select("h", "c", "n", "m", "rk", "pk"), rows, length)
+    if mixed.filter(F.col("m") > MAX_GROUP).limit(1).count() == 0:
+        return contexts.withColumn("key", F.col("h")), None
+    return _split(cut(contexts, "repeats-contexts"), length, gram)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256, without every byte that a repeat of `length` bytes covers."""
-    rows, members, classes, edges, hot = _prepare(docs, id_col, text_col, length, gram)
+    rows, members, classes = _prepare(docs, id_col, text_col, length, gram)
     lo = F.shiftright("pk", 16)
-    whole = members.join(classes.filter("n > 1").select("h", "c"), ["h", "c"]).select("rk", lo.alias("s"), (lo + F.col("pk").bitwiseAND(255) + length).alias("e"))
-    contexts = _contexts(edges, rows, id_col, length)
-    marks = whole.unionByName(_tree_marks(contexts.filter(F.col("m") <= MAX_GROUP) if hot else contexts, length))
-    if hot:
-        marks = marks.unionByName(_window_marks(contexts.filter(F.col("m") > MAX_GROUP), length))
+    leaves = members.join(classes.filter("n > 1").select("h", "c"), ["h", "c"]).select("rk", lo.alias("s"), (lo + F.col("pk").bitwiseAND(255) + length).alias("e"))
+    contexts, whole = _mixed(classes, rows, length, gram, "few = 1")  # where all contexts recur, the leaves cover everything
+    marks = leaves.unionByName(_tree_marks(contexts, length))
+    if whole is not None:
+        start = F.col("a") - F.col("kl")
+        marks = marks.unionByName(whole.filter("n = 1").select("rk", start.alias("s"), (start + length).alias("e")))
     marks = marks.groupBy("rk").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
     fields = [docs.schema[id_col], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]
 
@@ -292,19 +339,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Maximal repeat groups: size (bytes), occurrences array<struct<rk, start>>, one row for each node of each anchor's tree
-    whose members (distinct contexts, one row key each; rk = xxhash64(id, text)) share `length` bytes or more."""
-    rows, _, _, edges, _ = _prepare(docs, id_col, text_col, length, gram)
+    """Maximal repeat groups, one row an occurrence: repeat_id, size (bytes), the id and start (byte). Each window of `length`
+    bytes that recurs is within a group that has all of its occurrences; a group's occurrences are equal in all `size` bytes."""
+    rows, members, classes = _prepare(docs, id_col, text_col, length, gram)
+    contexts, whole = _mixed(classes, rows, length, gram, "true")
 
     def run(batches):
         for t in _whole_groups(batches):
-            h = t.column("h").to_numpy()
-            group = np.cumsum(np.append(0, h[1:] != h[:-1]))
-            _, nodes = suffix_groups(group, t.column("left").to_pylist(), t.column("right").to_pylist(), length, True)
-            a, rk = t.column("a").to_pylist(), t.column("rk").to_pylist()
-            out = [(left + right, [{"rk": rk[i], "start": a[i] - left} for i in at]) for left, right, at in nodes]
+            _, found = _groups_of(t, length, True)
+            h, c, lefts, rights = (t.column(x).to_pylist() for x in ("h", "c", "left", "right"))
+            out = []
+            for left, right, at in found:
+                one = lefts[at[0]][len(lefts[at[0]]) - left :] + rights[at[0]][:right]
+                name = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True)
+                out += [(name, left + right, h[i], c[i], left) for i in at]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.struct({"rk": pa.int64(), "start": pa.int64()})))], names=["size", "occurrences"])
-
-    contexts = _contexts(edges.filter(F.col("m") <= MAX_GROUP), rows, id_col, length)
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "size long, occurrences array<struct<rk:long,start:long>>")
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["repeat_id", "size", "h", "c", "left"])
+
+    found = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "repeat_id long, size long, h long, c long, left long")
+    lo, a = F.shiftright("pk", 16), F.shiftright("pk", 8).bitwiseAND(255)
+    leaves = classes.filter("n > 1").select(F.col("c").alias("repeat_id"), (F.col("pk").bitwiseAND(255) + length).alias("size"), "h", "c", a.alias("left"))
+    found = found.unionByName(leaves)
+    if whole is not None:
+        found = found.unionByName(whole.select(F.col("key").alias("repeat_id"), F.lit(length).cast("long").alias("size"), "h", "c", F.col("kl").cast("long").alias("left")))
+    found = members.join(cut(found, "repeats-groups"), ["h", "c"]).select("repeat_id", "size", "rk", (lo + a - F.col("left")).alias("start"))
+    return found.join(rows.select("rk", id_col), "rk").select("repeat_id", "size", id_col, "start").distinct()
