@@ -6,9 +6,13 @@ codebooks), the best `RERANK` rows are scored exactly on the original vectors in
 merged at last. Lists are dealt in blocks of at most `BLOCK_ROWS` rows and `BLOCK_QUERIES` queries, so a list that holds a
 third of all rows is many small groups.
 
+A query whose probed lists hold fewer than k rows asks again in all lists, so k are found wherever there are as many.
+Vectors are sent once for each block of queries (a twentieth of the rows ask, so that moves less than sending both vectors
+of each reranked pair).
+
 Defined cases: null vectors, null or non-finite components, zero vectors and vectors of another length than the commonest
-take no part; of repeated query ids one vector (the least) asks; rows of the query's own id are no candidates; ties go to
-the smaller id; fewer candidates than k are all returned if their lists are probed (`probes=None`: all lists); empty
+(of which no inner product with most of the rows exists) take no part; of repeated query ids one vector (the least) asks;
+rows of the query's own id are no candidates; ties go to the smaller id; fewer candidates than k are all returned; empty
 tables give empty results; extra columns are ignored.
 """
 
@@ -144,23 +148,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_lists: int | N
                 codes = index.encode(x.astype(np.float32), at)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1)], names=["list", "id", "code", "vec"])
 
-    def probe(batches):
-        for b in batches:
-            if b.num_rows:
-                at = index.probe(_matrix(b.column(1)).astype(np.float32), n_probes)
-                take = pa.array(np.repeat(np.arange(b.num_rows), n_probes))
-                yield pa.RecordBatch.from_arrays([pa.array(at.ravel().astype(np.int32)), b.column(0).take(take), b.column(1).take(take)], names=["list", "id", "vec"])
-
     coded = cut(rows.mapInArrow(encode, "list int, id long, code binary, vec array<double>"), "ann-index")
-    probing = cut(asks.mapInArrow(probe, "list int, id long, vec array<double>"), "ann-probes")
-    # at most `lists` rows each
-    blocks = coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_rows"))
-    blocks = cut(blocks.join(F.broadcast(probing.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("_asks"))), "list"), "ann-blocks")
     own = lambda m: F.pmod(F.xxhash64("id", F.lit(5)), F.col(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    a = coded.join(F.broadcast(blocks), "list").select("list", own("_rows").alias("block"), every("_asks").alias("part"), F.lit(1).alias("kind"), "id", "code", "vec")
-    b = probing.join(F.broadcast(blocks), "list").select("list", every("_rows").alias("block"), own("_asks").alias("part"), F.lit(0).alias("kind"), "id", F.lit(None).cast("binary").alias("code"), "vec")
-
     def group(table: pa.Table) -> pa.Table:
         kind, ids = table.column("kind").to_numpy(), table.column("id").to_numpy()
         x = _matrix(table.column("vec").combine_chunks())
@@ -177,7 +167,55 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_lists: int | N
                         c.append(v)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64())), "scores": pa.array(out[2], pa.list_(pa.float64()))})
 
-    found = a.unionByName(b).groupBy("list", "block", "part").applyInArrow(group, "query_id long, ids array<long>, scores array<double>")
-    found = found.select("query_id", F.expr("transform(arrays_zip(ids, scores), x -> struct(-x.scores as s, x.ids as i))").alias("hits"))
-    best = found.groupBy("query_id").agg(F.expr(f"slice(array_sort(flatten(collect_list(hits))), 1, {k})").alias("hits"))  # n_probes * blocks * k hits at most
+    def hits(asks: DataFrame, n_probes: int) -> DataFrame:
+        """(query_id, hits): the k best rows of each query in its best lists."""
+
+        def probe(batches):
+            for b in batches:
+                if b.num_rows:
+                    at = index.probe(_matrix(b.column(1)).astype(np.float32), n_probes)
+                    take = pa.array(np.repeat(np.arange(b.num_rows), n_probes))
+                    yield pa.RecordBatch.from_arrays([pa.array(at.ravel().astype(np.int32)), b.column(0).take(take), b.column(1).take(take)], names=["list", "id", "vec"])
+
+        probing = cut(asks.mapInArrow(probe, "list int, id long, vec array<double>"), "ann-probes")
+        # at most `lists` rows each
+        blocks = coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_rows"))
+        blocks = cut(blocks.join(F.broadcast(probing.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("_asks"))), "list"), "ann-blocks")
+        a = coded.join(F.broadcast(blocks), "list").select("list", own("_rows").alias("block"), every("_asks").alias("part"), F.lit(1).alias("kind"), "id", "code", "vec")
+        b = probing.join(F.broadcast(blocks), "list").select("list", every("_rows").alias("block"), own("_asks").alias("part"), F.lit(0).alias("kind"), "id", F.lit(None).cast("binary").alias("code"), "vec")
+        found = a.unionByName(b).groupBy("list", "block", "part").applyInArrow(group, "query_id long, ids array<long>, scores array<double>")
+        found = found.select("query_id", F.expr("transform(arrays_zip(ids, scores), x -> struct(-x.scores as s, x.ids as i))").alias("hits"))
+        return found.groupBy("query_id").agg(F.expr(f"slice(array_sort(flatten(collect_list(hits))), 1, {k})").alias("hits"))  # n_probes * blocks * k hits at most
+
+    best = hits(asks, n_probes)
+    if n_probes < lists:
+        best = cut(best, "ann-best")
+        enough = best.filter(F.size("hits") == k)
+        short = cut(asks.join(enough.select(F.col("query_id").alias("id")), "id", "left_anti"), "ann-short")
+        if short.limit(1).count():
+            best = enough.unionByName(hits(short, lists))
     return best.select("query_id", F.posexplode("hits").alias("p", "hit")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("hit.i").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+
+
+def recall(vectors: DataFrame, queries: DataFrame, found: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, recall): the share of each query's k true nearest among those found, ties at the k-th score counting as
+    found. The stated query set is compared with all rows in blocks; for measuring on test tables, not for large ones."""
+    dim = queries.filter(F.col(vec_col).isNotNull()).select(F.size(vec_col)).first()
+    if dim is None:
+        return found.select("query_id", F.lit(1.0).alias("recall")).limit(0)
+    shape = lambda df: df.filter(valid(F.col(vec_col), dim[0])).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    asks = shape(queries).toArrow()
+    q_ids, q = asks.column("id").to_numpy(), _matrix(asks.column("vec").combine_chunks())
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                ids, score = b.column(0).to_numpy(), q @ _matrix(b.column(1)).T
+                score[q_ids[:, None] == ids[None, :]] = -np.inf
+                top = -np.sort(-score, axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, top.shape[1])), pa.array(top.ravel())], names=["query_id", "score"])
+
+    top = shape(vectors).mapInArrow(run, "query_id long, score double").filter(F.col("score") > float("-inf"))
+    nth = top.groupBy("query_id").agg(F.expr(f"slice(array_sort(collect_list(-score)), 1, {k})").alias("s")).select("query_id", (-F.element_at("s", -1)).alias("least"), F.size("s").alias("n"))
+    hit = F.when(F.col("score") >= F.col("least") - 1e-9, 1).otherwise(0)
+    return nth.join(found, "query_id", "left").groupBy("query_id", "n").agg(F.sum(F.coalesce(hit, F.lit(0))).alias("hit")).select("query_id", (F.col("hit") / F.col("n")).alias("recall"))
