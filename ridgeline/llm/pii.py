@@ -10,7 +10,11 @@ Words within base spans are not counted, so a name beside its address is scored
 A match's place comes from the pieces between matches: their lengths add up to its start. The patterns below match as
 the plain ones do, but possessively and only at the start of a run, so that very long runs take linear time and no stack.
 
-Defined cases: null texts are empty (sanitised: null stays null); rows of equal ids get the same terms; empty tables give empty results; extra columns are ignored by `find` and kept by `sanitize`.
+Entities in fewer than `SUPPORT` documents have no terms: a smaller `support` protects them, at the price of terms by chance.
+
+Defined cases: null texts are empty (sanitised: null stays null); very long texts are taken whole; equal disclosures tie by
+kind; rows of equal ids get the same terms; empty tables give empty results; extra columns are ignored by `find` and kept
+by `sanitize`, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import blank, cut, small_broadcast
+from ridgeline.llm.common import blank, cut, nested, small_broadcast
 
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -112,33 +116,38 @@ def revealing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.groupBy("term").agg(F.max_by("_entity.kind", F.struct("disclosure", "_entity.kind")).alias("kind"), F.max("disclosure").alias("disclosure"))
 
 
-def _with_terms(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds _terms, the spans of revealing terms; documents without any are not joined by id unless many have some."""
+def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Adds _terms, the spans of revealing terms, to rows of _id and _text; documents without any are not joined by id unless
+    many have some. The words of a document that are terms make up its pattern, so that is no longer than its text."""
     terms = cut(terms, "pii-terms")
     if terms.limit(1).count() == 0:
-        return docs.withColumn("_terms", F.expr(_EMPTY))
-    text = F.lower(blank(F.col(text_col)))
-    words = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("term"))
+        return rows.withColumn("_terms", F.expr(_EMPTY))
+    words = rows.select("_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
     mine = words.join(small_broadcast(terms), "term").groupBy("_id").agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("_any"))
-    mine = cut(mine, "pii-documents")
-    out = docs.join(small_broadcast(mine), F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    mine = cut(mine, "pii-documents").withColumnRenamed("_id", "_of")
+    out = rows.join(small_broadcast(mine), F.col("_id").eqNullSafe(F.col("_of")), "left").drop("_of")
     out = out.withColumn("_pattern", F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), "_any", F.lit(r")(?!\p{L})")))
     out = out.withColumn("_m", F.coalesce(F.regexp_extract_all("_text", F.col("_pattern"), F.lit(0)), F.expr("cast(array() as array<string>)")))
     out = out.withColumn("_p", F.when(F.size("_m") > 0, F.split("_text", F.col("_pattern"))))
     return out.withColumn("_terms", _spans("_text", "_m", "_p")).drop("_any", "_pattern", "_m", "_p")
 
 
+def _marked(docs: DataFrame, own: Column, id_col: str, text_col: str) -> DataFrame:
+    """_doc (own), _id, _text, and the spans of each kind and of terms; no column of docs stands beside them."""
+    rows = docs.select(own.alias("_doc"), F.col(id_col).alias("_id"), blank(F.col(text_col)).alias("_text"))
+    return _with_terms(_with_base(rows, F.col("_text")), revealing_terms(docs, id_col, text_col))
+
+
 def _joined(kind: str, spans: str) -> str:
     return f"transform({spans}, x -> concat('{kind}:', x.s, ':', x.e))"
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
-    rows = docs.select(id_col, text_col)
-    rows = _with_terms(_with_base(rows, blank(F.col(text_col))), revealing_terms(docs, id_col, text_col), id_col, text_col)
+    rows = _marked(docs, F.lit(None), id_col, text_col)
     base = ", ".join(_joined(k, f"_{k}") for k in PATTERNS)
     return rows.select(
-        id_col,
+        F.col("_id").alias(id_col),
         *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in PATTERNS],
         F.expr(f"sha2(array_join(concat({base}), ','), 256)").alias("base_sha256"),
         F.expr(f"array_join(concat({base}, {_joined('term', '_terms')}), ',')").alias("spans"),
@@ -148,7 +157,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with base spans generalised to their kind, as [EMAIL], and revealing terms removed."""
-    rows = _with_terms(_with_base(docs, blank(F.col(text_col))), revealing_terms(docs, id_col, text_col), id_col, text_col)
+    rows = _marked(docs, nested(docs), id_col, text_col)
     tagged = ", ".join(f"transform({s}, x -> struct(x.s as s, x.e as e, '{w}' as w))" for s, w in [*((f"_{k}", f"[{k.upper()}]") for k in PATTERNS), ("_terms", "")])
     rows = rows.withColumn("_all", F.expr(f"array_sort(concat({tagged}))"))
     last = "element_at(a, -1)"
@@ -157,5 +166,6 @@ def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     before = "if(i = 0, 0, element_at(_all, i).e)"
     parts = f"transform(_all, (x, i) -> concat(substr(_text, {before} + 1, x.s - {before}), x.w))"
     clean = F.expr(f"if(size(_all) = 0, _text, concat(array_join({parts}, ''), substr(_text, element_at(_all, -1).e + 1)))")
-    new = F.when(F.col(text_col).isNotNull(), clean)
-    return rows.select(*[new.alias(c) if c == text_col else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    own = lambda c: F.col("_doc").getField(c)
+    new = F.when(own(text_col).isNotNull(), clean)
+    return rows.select(*[new.alias(c) if c == text_col else F.length(new).cast("long").alias(c) if c == "n_chars" else own(c).alias(c) for c in docs.columns])
