@@ -1,14 +1,19 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted: a shard is a fixed range of record ids, ordered by id inside; a task writes the shards it holds
-into gzip-member archives that roll over by compressed size. Headers and SHA-1 digests are regenerated from the payload;
-equal payloads of at least `REVISIT_BYTES` are written once, the others as revisits. Every file is written under a
-temporary name of its attempt; the attempt's manifest rows name it, and only manifested files are renamed, so attempts of
-lost executors leave nothing in the archive. Renaming is idempotent, and the same rows give the same bytes.
-
-Defined cases: a null payload is empty and a null url is left out; null ids form a shard of their own; of repeated ids the
+Records are range-sorted: a shard is a range of record ids, of equal width for all shards, chosen so that a shard holds about
+`SHARD_BYTES` on average; a range that holds over twice that is cut further by the leading bits of its records' digests.
+Ranges of shards are dealt to tasks (`repartitionByRange`, as many as the bytes ask for), sorted by shard, id and digest; a
+task writes each shard into gzip-member archives that roll over by compressed size. Headers and SHA-1 digests are
+regenerated from the payload; equal payloads of at least `REVISIT_BYTES` are written once, the others as revisits.
+
+Every file is written under a temporary name of its attempt; the attempt's manifest rows name it, and only manifested files
+are renamed. Then what other attempts left in the shard's folder is removed. Renaming is idempotent (a file that is not
+there under its final name with the manifest's size stops the commit), and the same rows give the same bytes, however they
+are dealt to tasks. The reader checks each file's SHA-256 against the manifest, and each record's digests.
+
+Defined cases: a null payload is empty and a null url is left out; null ids form a range of their own; of repeated ids the
 rows are ordered by digest; with equal ids in a group of copies one row is the response and the rest revisit it; empty
-tables give an empty archive; very long payloads are written whole; extra columns are ignored.
+tables give an empty archive; very long payloads are written whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,35 +25,42 @@ import zlib
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import blank, cut, shared_dir, ship, small_broadcast
 
 REVISIT_BYTES = 1000
-#: Ids in a shard, and compressed bytes after which a file rolls over.
-SHARD_IDS = 4096
+#: Bytes of a shard and of a task on average, and compressed bytes after which a file rolls over.
+SHARD_BYTES = 16 << 20
+TASK_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = pa.schema([("shard", pa.int64()), ("roll", pa.int64()), ("temporary", pa.string()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
+MANIFEST = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("roll", pa.int64()), ("temporary", pa.string()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 DATE = "2024-01-01T00:00:00Z"
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(id, url, payload, size, digest, refers, shard): payload null and refers set for revisits."""
+def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(id, url, payload, size, digest, refers, twin, shard, part): payload null and refers set for revisits."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(blank(F.col(payload_col)), "UTF-8").alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    groups = rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("size", "digest").agg(F.max("id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    slim = cut(rows.select("id", "size", "digest", "url"), "warc-slim")
+    groups = slim.filter(F.col("size") >= REVISIT_BYTES).groupBy("size", "digest").agg(F.max("id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    groups = cut(groups, "warc-groups")
     rows = rows.join(small_broadcast(groups), ["size", "digest"], "left")
     # repeated rows of the head's own id: all but one revisit it
-    again = F.row_number().over(Window.partitionBy("size", "digest", "id").orderBy("url"))
-    twins = rows.filter("id = head").select("id", "size", "digest", "url").withColumn("nth", again).filter("nth > 1").select("id", "size", "digest").distinct()
+    twins = slim.join(small_broadcast(groups), ["size", "digest"]).filter("id = head").groupBy("id", "size", "digest").count().filter("count > 1").drop("count")
     rows = rows.join(small_broadcast(twins.withColumn("twin", F.lit(True))), ["id", "size", "digest"], "left")
+    low, high, total = slim.agg(F.min("id"), F.max("id"), F.sum("size")).first()
+    width = 1 if low is None else max(1, -(-(high - low + 1) * shard_bytes // max(total, shard_bytes)))
+    shard = lambda: F.coalesce(F.expr(f"cast((cast(id as decimal(20, 0)) - {low or 0}BD) div {width}BD as long)"), F.lit(-1)).alias("shard")
+    hot = slim.select(shard(), "size").groupBy("shard").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > 2 * shard_bytes)
+    hot = cut(hot.select("shard", F.least(F.lit(28), F.ceil(F.log2(F.col("bytes") / shard_bytes))).cast("int").alias("bits")), "warc-hot")
     refers = F.when(F.col("head").isNotNull() & ~F.col("id").eqNullSafe(F.col("head")), F.col("head"))
-    return rows.select(
-        "id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "size", "digest", refers.alias("refers"), F.coalesce("twin", F.lit(False)).alias("twin"),
-        F.floor(F.col("id") / SHARD_IDS).cast("long").alias("shard"),
-    )
+    rows = rows.select("id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "size", "digest", refers.alias("refers"), F.coalesce("twin", F.lit(False)).alias("twin"), shard())
+    rows = rows.join(small_broadcast(hot), "shard", "left")
+    part = F.expr("coalesce(shiftright(cast(conv(substr(digest, 1, 7), 16, 10) as long), 28 - bits), 0L)")
+    return rows.withColumn("part", part).drop("bits")
 
 
 def _record_id(page) -> str:
@@ -78,8 +90,8 @@ def write(records: DataFrame, to: str, roll_bytes: int = ROLL_BYTES) -> DataFram
     """Write and commit the archive; returns its manifest (shard, roll, temporary, name, records, bytes, sha256)."""
     spark = records.sparkSession
     ship(spark)
-    ordered = records.repartition("shard").sortWithinPartitions("shard", "id", "digest", F.col("refers").desc_nulls_last(), "url")
-    pa.fs.FileSystem.from_uri(to)[0].create_dir(pa.fs.FileSystem.from_uri(to)[1], recursive=True)
+    total = records.agg(F.sum("size")).first()[0] or 0
+    ordered = records.repartitionByRange(max(1, -(-total // TASK_BYTES)), "shard", "part").sortWithinPartitions("shard", "part", "id", "digest", F.col("refers").desc_nulls_last(), "url")
 
     def run(batches):
         fs, top = pa.fs.FileSystem.from_uri(to)
@@ -97,15 +109,17 @@ def write(records: DataFrame, to: str, roll_bytes: int = ROLL_BYTES) -> DataFram
                         payload, refers = None, r["id"]
                     last = (r["id"], r["digest"])
                     data = record_bytes(r["id"], r["url"], payload, r["size"], r["digest"], refers)
-                    if row is not None and (row["shard"] != r["shard"] or row["bytes"] + len(data) > roll_bytes):
+                    same = row is not None and (row["shard"], row["part"]) == (r["shard"], r["part"])
+                    if row is not None and not (same and row["bytes"] + len(data) <= roll_bytes):
                         yield close()
-                        roll = row["roll"] + 1 if row["shard"] == r["shard"] else 0
-                        row = None
-                    else:
+                        roll, row = row["roll"] + 1 if same else 0, None
+                    elif row is None:
                         roll = 0
                     if row is None:
-                        name = f"part-{'none' if r['shard'] is None else r['shard']}-{roll:05d}.warc.gz"
-                        row = {"shard": r["shard"], "roll": roll, "temporary": f".{name}.{attempt}.tmp", "name": name, "records": 0, "bytes": 0, "sha256": hashlib.sha256()}
+                        folder = f"shard-{'none' if r['shard'] < 0 else r['shard']}-{r['part']}"
+                        name = f"{folder}/{roll:05d}.warc.gz"
+                        row = {"shard": r["shard"], "part": r["part"], "roll": roll, "temporary": f"{folder}/.{roll:05d}.{attempt}.tmp", "name": name, "records": 0, "bytes": 0, "sha256": hashlib.sha256()}
+                        fs.create_dir(f"{top}/{folder}", recursive=True)
                         out = fs.open_output_stream(f"{top}/{row['temporary']}", compression=None)
                     out.write(data)
                     row["sha256"].update(data)
@@ -114,21 +128,49 @@ def write(records: DataFrame, to: str, roll_bytes: int = ROLL_BYTES) -> DataFram
         if row is not None:
             yield close()
 
-    manifest = cut(ordered.mapInArrow(run, "shard long, roll long, temporary string, name string, records long, bytes long, sha256 string"), "warc-manifest")
+    manifest = cut(ordered.mapInArrow(run, "shard long, part long, roll long, temporary string, name string, records long, bytes long, sha256 string"), "warc-manifest")
 
     def commit(batches):
         fs, top = pa.fs.FileSystem.from_uri(to)
         for batch in batches:
             for r in batch.to_pylist():
-                if fs.get_file_info(f"{top}/{r['temporary']}").type != pa.fs.FileType.NotFound:
+                there = fs.get_file_info([f"{top}/{r['temporary']}", f"{top}/{r['name']}"])
+                if there[0].type != pa.fs.FileType.NotFound:
                     fs.move(f"{top}/{r['temporary']}", f"{top}/{r['name']}")
+                    there[1] = fs.get_file_info(f"{top}/{r['name']}")
+                if there[1].size != r["bytes"]:
+                    raise ValueError(f"{r['name']} is not what the manifest says")
             yield batch
 
     done = cut(manifest.mapInArrow(commit, manifest.schema), "warc-commit")
+
+    def sweep(batches):
+        fs, top = pa.fs.FileSystem.from_uri(to)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                left = fs.get_file_info(pa.fs.FileSelector(f"{top}/{name.rpartition('/')[0]}"))
+                for file in left:
+                    if file.path.endswith(".tmp"):
+                        fs.delete_file(file.path)
+            yield batch
+
+    done.filter("roll = 0").select("name").mapInArrow(sweep, "name string").write.format("noop").mode("overwrite").save()  # what no manifest names
     done.select("name", "records", "bytes", "sha256").write.mode("overwrite").json(f"{to}/manifest")
     return done
 
 
+class Hashed:
+    """A stream that digests what is read of it."""
+
+    def __init__(self, stream):
+        self.stream, self.sha256 = stream, hashlib.sha256()
+
+    def read(self, size: int) -> bytes:
+        data = self.stream.read(size)
+        self.sha256.update(data)
+        return data
+
+
 def members(stream, size: int = 1 << 18):
     """Yield the bytes of each gzip member of a stream."""
     press, parts, rest = zlib.decompressobj(31), [], b""
@@ -152,6 +194,8 @@ def parse(record: bytes) -> dict:
     kind = fields["WARC-Type"]
     if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError(f"payload digest of {fields['WARC-Record-ID']} does not match")
+    if base64.b32encode(hashlib.sha1(block).digest()).decode() != fields["WARC-Block-Digest"].removeprefix("sha1:"):
+        raise ValueError(f"block digest of {fields['WARC-Record-ID']} does not match")
     page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
     return {
         "page_id": None if page is None else int(page), "url": fields.get("WARC-Target-URI"), "payload": payload if kind == "response" else None,
@@ -171,20 +215,22 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str, payloads: bool =
     def run(batches):
         fs, top = pa.fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, sha256 in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_stream(f"{top}/{name}", compression=None) as stream:
-                    rows, size = [], 0
+                    stream, rows, size = Hashed(stream), [], 0
                     for record in map(parse, members(stream)):
                         rows.append({c: record[c] for c in columns})
                         size += len(record["payload"] or b"") if payloads else 0
                         if len(rows) >= 1024 or size > 1 << 22:
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows, size = [], 0
+                    if stream.sha256.hexdigest() != sha256:
+                        raise ValueError(f"the digest of {name} is not the manifest's")
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("name").repartition(n).mapInArrow(run, ddl)
+    return manifest.select("name", "sha256").repartition(n).mapInArrow(run, ddl)
 
 
 def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
