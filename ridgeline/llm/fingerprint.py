@@ -7,7 +7,8 @@ densification). The low B bits of each bin, packed as hex, are the fingerprint;
 
 Defined cases: null counts as empty; a text of one to four words is one shingle; a text without words has the empty
 fingerprint '', likeness 1 to its like and 0 to others; equal texts have equal fingerprints; repeated ids follow one
-another by text; rows with a null id come last; of a single document the next is itself; extra columns are ignored.
+another by text; rows with a null id come last; of a single document the next is itself; very long texts are taken whole;
+empty tables give empty results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import blank, mix, ship, shingle_hashes, small_broadcast, text_slices
+from ridgeline.llm.common import blank, cut, mix, ship, shingle_hashes, small_broadcast, text_slices
 
 BINS = 256
 B = 8
@@ -48,6 +49,7 @@ def signatures(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tupl
         found = low[row, source] != _EMPTY
         out[row[found], hole[found]] = low[row[found], source[found]]
         row, hole, attempt = row[~found], hole[~found], attempt + 1
+    out += np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # copies of one value agree by chance in each bin anew
     return (mix(out) & np.uint64(2**B - 1)).astype(np.uint8), count > 0
 
 
@@ -68,10 +70,16 @@ def _in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     width = max(1, -(-(high - low + 1) * RANGE_ROWS // n)) if n else 1
     docs = docs.select(F.col(id_col).alias("_id"), blank(F.col(text_col)).alias("_text"))
     docs = docs.withColumn("_range", F.coalesce(F.expr(f"(CAST(_id AS DECIMAL(20,0)) - {low or 0}BD) DIV {width}BD"), F.lit(-1)).cast("long"))
-    heads = docs.groupBy("_range").agg(F.max("_id").alias("_head"))  # one row for each range
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("_range"))
-    after = F.coalesce(F.lead(F.struct("_range", "_head")).over(down), F.first(F.struct("_range", "_head")).over(down))
-    links = heads.select(F.col("_range").alias("_to"), after.alias("_n")).select("_to", F.col("_n._range").alias("_range"), F.col("_n._head").alias("_head"))
+    heads = docs.groupBy("_range").agg(F.max("_id").alias("_head")).withColumn("_block", F.floor(F.col("_range") / RANGE_ROWS))
+    heads = cut(heads, "fingerprint-heads")  # one row for each range
+    # the next range below: within blocks of ranges, and for a block's last one the first of the next block
+    blocks = heads.groupBy("_block").agg(F.max(F.struct("_range", "_head")).alias("_top"))
+    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("_block"))  # one row for RANGE_ROWS ** 2 documents
+    blocks = blocks.select("_block", F.coalesce(F.lead("_top").over(down), F.first("_top").over(down)).alias("_below"))
+    inner = F.lead(F.struct("_range", "_head")).over(Window.partitionBy("_block").orderBy(F.desc("_range")))
+    links = heads.select("_block", "_range", inner.alias("_n")).join(small_broadcast(cut(blocks, "fingerprint-blocks")), "_block")
+    links = links.select(F.col("_range").alias("_to"), F.coalesce("_n", "_below").alias("_n")).select("_to", F.col("_n._range").alias("_range"), F.col("_n._head").alias("_head"))
+    links = cut(links, "fingerprint-links")
     first = docs.join(small_broadcast(links), ["_range"]).filter(F.col("_id").eqNullSafe(F.col("_head")))
     first = first.groupBy("_to").agg(F.max("_text").alias("_text"), F.max("_id").alias("_id"))
     rows = docs.select("_range", F.lit(0).alias("_tail"), "_id", "_text").unionByName(first.select(F.col("_to").alias("_range"), F.lit(1).alias("_tail"), "_id", "_text"))
