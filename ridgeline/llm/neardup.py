@@ -13,8 +13,8 @@ blocks; pairs are confirmed grouped by a partner, in blocks too.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with nothing; a text of fewer words than a
 shingle is one shingle; equal sets are linked; repeated rows are rows of one class; a null id is never a component's id
-unless it is alone; very long texts are taken whole; empty tables give empty results; extra columns are ignored (`keep_one`
-keeps them).
+unless it is alone; very long texts are taken whole; of equal candidates the smaller class is tried first, which changes
+no result; empty tables give empty results; extra columns are ignored (`keep_one` keeps them), whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import blank, cut, lower_ascii, mix, shingle_hashes, ship, small_broadcast, text_slices
+from ridgeline.llm.common import blank, cut, lower_ascii, mix, nested, shingle_hashes, ship, small_broadcast, text_slices
 
 CHUNKS, WIDTH, ERRORS, B = 8, 4, 1, 16
 COMPONENTS = CHUNKS * WIDTH
@@ -181,16 +181,13 @@ def _possible(sig: np.ndarray, sketch: np.ndarray, n: np.ndarray, i: np.ndarray,
     """Which index pairs may reach the likeness, by signature, set sizes and sketch.
 
     A sketch bin differs only if an element of the symmetric difference fell into it, so the distance is at most that
-    difference, (a + b) (1 - J) / (1 + J), which is compared in integers: a pair at exactly the likeness is possible. For
-    large sets the distance is also within 5.5 deviations of its mean.
+    difference, (a + b) (1 - J) / (1 + J), which is compared in integers: a pair at exactly the likeness is possible.
     """
     ok = _distance(sig, i, j) <= DISTANCE
     ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
     at = np.flatnonzero(ok)
     far = _distance(sketch, i[at], j[at]).astype(np.int64)
     ok[at] = _within(far, n[i[at]] + n[j[at]], percent)
-    mean = SKETCH * (100 - percent) / 100
-    ok[at] &= far <= mean + 5.5 * np.sqrt(mean * percent / 100)
     return ok
 
 
@@ -212,6 +209,49 @@ def _first_key(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 SMALL = 24
+#: Rows of a bucket above which the rest of the signature is indexed too.
+LARGE = 512
+
+
+def _all_pairs(rows: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the rows whose components differ and whose sizes and sketches allow the likeness; rows in order of size."""
+    rows = rows[np.argsort(n[rows], kind="stable")]
+    upto = np.searchsorted(n[rows], 100 * n[rows] // percent, "right")
+    found = []
+    for k, r in enumerate(rows):
+        other = rows[k + 1 : upto[k]]
+        other = other[comp[other] != comp[r]]
+        if len(other):
+            other = other[_within((sketch[other] != sketch[r]).sum(1), n[other] + n[r], percent)]
+            found.append((np.full(len(other), r), other))
+    return found
+
+
+def _large_pairs(rows: np.ndarray, sig: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same for a large bucket, by pigeonhole over the chunks that its rows do not share anyway.
+
+    A pair within the guaranteed signature distance differs in at most WIDTH - 2 components of one of these chunks, if there
+    are enough of them, so it shares two components of it."""
+    shared = (sig[rows] == sig[rows[0]]).all(0).reshape(CHUNKS, WIDTH).sum(1) >= WIDTH - ERRORS
+    chunks = np.flatnonzero(~shared)
+    if len(rows) <= LARGE or CHUNKS * (ERRORS + 1) - 1 >= len(chunks) * (WIDTH - 1):
+        return _all_pairs(rows, comp, n, sketch, percent)
+    found = []
+    for c in chunks:
+        for p, q in combinations(range(c * WIDTH, (c + 1) * WIDTH), 2):
+            key = (sig[rows, p].astype(np.uint32) << np.uint32(B)) | sig[rows, q]
+            order = np.argsort(key, kind="stable")
+            bounds = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]]))
+            here = rows[order]
+            i, j = _near_pairs(bounds, SMALL)
+            found.append((here[i], here[j]))
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if b - a > SMALL:
+                    found += _all_pairs(here[a:b], comp, n, sketch, percent)
+    i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    take = comp[i] != comp[j]
+    pairs = np.unique(np.stack([np.minimum(i[take], j[take]), np.maximum(i[take], j[take])]), axis=1)
+    return [(pairs[0], pairs[1])]
 
 
 def _propose(batches, percent: int):
@@ -253,13 +293,7 @@ def _across(batches, percent: int):
         found = [(i[k], j[k]) for k in [(comp[i] != comp[j])]]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a > SMALL:
-                rows = np.arange(a, b)
-                for r in rows:
-                    other = rows[r - a + 1 :]
-                    other = other[comp[other] != comp[r]]
-                    if len(other):
-                        other = other[_within((sketch[other] != sketch[r]).sum(1), n[other] + n[r], percent)]
-                        found.append((np.full(len(other), r), other))
+                found += _large_pairs(np.arange(a, b), sig, comp, n, sketch, percent)
         i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         i, j = (x[(lo[i] == hi[i]) | (half[i] != half[j])] for x in (i, j))  # pairs of one block are its own group's
         ok = _possible(sig, sketch, n, i, j, percent)
@@ -354,7 +388,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     """Per document: id, n_shingles, component_id (the smallest id reachable), kept (it is its component's id)."""
     rows = cut(label(docs, size, percent, id_col, text_col), "neardup-rows")
     least = rows.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("least"))
-    rows = rows.join(least, "comp", "left")
+    rows = rows.join(cut(least, "neardup-least"), "comp", "left")  # a written side lets Spark split a large component
     first = F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), first.alias("component_id"), F.col("id").eqNullSafe(first).alias("kept"))
 
@@ -363,15 +397,13 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     """The documents without all but one of each group: the one of least id (then text hash) stays. Empty sets all stay."""
     rows = cut(label(docs, size, percent, id_col, text_col).filter("comp IS NOT NULL"), "neardup-rows")
     kept = rows.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("k"))
-    rows = rows.join(kept, "comp").withColumn("keep", F.col("id").eqNullSafe(F.col("k.id")) & (F.col("th") == F.col("k.th")))
+    rows = rows.join(cut(kept, "neardup-least"), "comp").withColumn("keep", F.col("id").eqNullSafe(F.col("k.id")) & (F.col("th") == F.col("k.th")))
     rows = cut(rows.groupBy("id", "th").agg(F.bool_or("keep").alias("keep"), F.count("*").alias("n")).filter("NOT keep OR n > 1"), "neardup-drop")
-    th = F.xxhash64(blank(F.col(text_col)))
-    drop = rows.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (th == F.col("_th"))
-    out = docs.join(small_broadcast(drop), same, "left_anti")
+    mine = docs.select(nested(docs), F.col(id_col).cast("long").alias("id"), F.xxhash64(blank(F.col(text_col))).alias("th"))
+    named = lambda t: small_broadcast(t.select(F.col("id").alias("its_id"), F.col("th").alias("its_th")))
+    same = F.col("id").eqNullSafe(F.col("its_id")) & (F.col("th") == F.col("its_th"))
+    out = mine.join(named(rows), same, "left_anti")
     twins = rows.filter("keep")  # kept rows that the table repeats
     if twins.limit(1).count():
-        twins = twins.select(F.col("id").alias("_id"), F.col("th").alias("_th"))
-        again = docs.join(small_broadcast(twins), same, "left_semi").withColumn("_th", th)
-        out = out.unionByName(again.dropDuplicates([id_col, "_th"]).drop("_th"))
-    return out
+        out = out.unionByName(mine.join(named(twins), same, "left_semi").dropDuplicates(["id", "th"]))
+    return out.select("_doc.*")
