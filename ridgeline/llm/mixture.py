@@ -11,8 +11,8 @@ is described by one hash threshold and one size bound for each source and pass,
 joined by id; sums run over hash buckets, and only the bucket that holds the threshold is ordered row by row.
 
 Defined cases: null or wordless texts have size 0 and take 0 words; null is a source of its own, apart from ''; a source
-of size 0 has target 0; repeated rows of one doc_id are taken or left together; an empty table gives an empty result;
-extra columns are ignored (`mix_documents` keeps them).
+of size 0 has target 0; very long texts are counted whole; ties of hash (repeated rows of one doc_id) are taken or left
+together; an empty table gives an empty result; extra columns are ignored (`mix_documents` keeps them), whatever their names.
 """
 
 from __future__ import annotations
