@@ -1,20 +1,21 @@
 """Byte-level BPE encoding and decoding on length-bucketed, padded numpy matrices.
 
 Texts are cut into pieces by whole-array rules on Unicode classes (the published split pattern, see `split_pieces`).
-Each distinct piece is merged once per task cache: pieces of like length form one padded matrix, and in every round each
-row merges its leftmost pair of minimum rank, found through a hashed pair table, and closes the gap (compaction).
-
-Defined cases: null and empty texts have no tokens; the digest of no ids is that of empty bytes; very long texts and very
-long pieces are handled whole (pieces of over `LONG_PIECE` bytes use a heap of pairs, with the same merge order, because
-the matrix would take rounds times length steps); repeated rows keep one result row each; extra columns are ignored;
-names of other columns never clash as only the id and the text are read.
+Each distinct piece is merged once while a worker remembers it: pieces of like length form one padded matrix, and in
+every round each row merges its leftmost pair of minimum rank, found through a hashed pair table, and closes the gap
+(compaction). A piece of over `LONG_PIECE` bytes is a matrix of one row, whose round merges the minimum rank at all of its
+places, as long as none of these merges makes a pair of lower rank: the same merges in fewer rounds.
+
+Pieces are told apart by their bytes: hashes only gather the like ones of a slice, and each is compared with its group's
+first. Defined cases: null and empty texts have no tokens; the digest of no ids is that of empty bytes; very long texts and
+very long pieces are handled whole; repeated rows keep one result row each; extra columns are ignored; names of other
+columns never clash as only the id and the text are read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import unicodedata
 
 import numpy as np
@@ -26,9 +27,13 @@ from pyspark.sql import types as T
 from ridgeline.llm.common import SpanHash, ship, text_slices
 
 LONG_PIECE = 512
-#: Pieces that a worker remembers, and bytes of text that it encodes at once: both bound its memory.
-MAX_CACHED = 500_000
-SLICE = 1 << 18
+#: Lengths in bytes up to which pieces share a matrix.
+WIDTHS = (4, 6, 8, 11, 16, 32, 64, 128, 256)
+#: Pieces (of up to KEPT_BYTES) in each of the two generations that a worker remembers, and bytes of text that it encodes at
+#: once: they bound its memory.
+MAX_CACHED = 120_000
+KEPT_BYTES = 64
+SLICE = 1 << 19
 NONE = np.int32(2**31 - 1)
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: The code points of Unicode's White_Space property.
@@ -90,8 +95,7 @@ class PairTable:
 
 
 class Tables:
-    """What encoding and decoding need of a rank file; `keys` are the sorted hashes of the pieces seen, whose tokens are
-    the `count` at `place` in `arena`."""
+    """What encoding and decoding need of a rank file, and the tokens (as bytes) of pieces seen lately."""
 
     def __init__(self, file: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in file.splitlines() if x)}
@@ -112,32 +116,25 @@ class Tables:
         self.token_at = np.concatenate([[0], np.cumsum(size)[:-1]])
         self.token_bytes = np.frombuffer(b"".join(t for _, t in known), np.uint8)
         self.classes = classes()
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int32)
-        self.arena = np.zeros(1 << 16, np.int32)
-        self.used = 0
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the keys stand or would stand, and whether they are there."""
-        at = np.searchsorted(self.keys, keys)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == keys[known]
-        return at, known
-
-    def add(self, keys: np.ndarray, at: np.ndarray, tokens: list[np.ndarray]) -> None:
-        """Remember new pieces: sorted keys, where `find` puts them, and their tokens."""
-        count = np.array([len(x) for x in tokens], np.int32)
-        ids = np.concatenate(tokens)
-        end = self.used + np.cumsum(count, dtype=np.int64)
-        if end[-1] > len(self.arena):
-            self.arena = np.concatenate([self.arena[: self.used], np.zeros(max(int(end[-1]), len(self.arena) * 3 // 2) - self.used, np.int32)])
-        self.arena[self.used : end[-1]] = ids
-        self.used = int(end[-1])
-        self.keys, self.place, self.count = (np.insert(x, at, y) for x, y in ((self.keys, keys), (self.place, end - count), (self.count, count)))
+        self.whole = {t: np.int32(r).tobytes() for t, r in self.ranks.items()}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def tokens(self, pieces: list[bytes]) -> list[bytes]:
+        """The token ids of each piece, as bytes of int32."""
+        out = [self.whole.get(p) or self.recent.get(p) for p in pieces]
+        fresh = []
+        for i, (p, x) in enumerate(zip(pieces, out, strict=True)):
+            if x is None and (x := self.older.get(p)) is None:
+                fresh.append(i)
+            else:
+                out[i] = x
+        for i, ids in zip(fresh, encode_pieces(self, [pieces[i] for i in fresh]), strict=True):
+            out[i] = ids
+        self.recent.update((p, x) for p, x in zip(pieces, out, strict=True) if 4 < len(x) and len(p) <= KEPT_BYTES)
+        if len(self.recent) > MAX_CACHED:
+            self.recent, self.older = {}, self.recent
+        return out
 
 
 def split_pieces(points: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -179,26 +176,27 @@ def split_pieces(points: np.ndarray, starts: np.ndarray, table: np.ndarray) -> n
     return np.flatnonzero(out)
 
 
-def merge_matrix(t: Tables, pieces: list[bytes]) -> list[np.ndarray]:
-    """Token ids of pieces of like length: all rows merge one pair a round."""
-    width = max(map(len, pieces))
+def merge_matrix(t: Tables, pieces: list[bytes]) -> list[bytes]:
+    """Token ids (as bytes of int32) of pieces of like length: all rows merge one pair a round."""
     size = np.array([len(p) for p in pieces])
+    width = int(size.max())
+    cols = np.arange(width)
     ids = np.full((len(pieces), width), -1, np.int32)
-    for i, p in enumerate(pieces):
-        ids[i, : len(p)] = t.byte[np.frombuffer(p, np.uint8)]
+    ids[cols < size[:, None]] = t.byte[np.frombuffer(b"".join(pieces), np.uint8)]
     rank = np.full((len(pieces), width), NONE, np.int32)
     rank[:, :-1] = t.pairs.get(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(pieces), width - 1)
     out: list = [None] * len(pieces)
     rows = np.arange(len(pieces))
-    cols = np.arange(width)
     while len(rows):
         j = rank.argmin(axis=1)
         k = np.arange(len(rows))
         best = rank[k, j]
         done = best == NONE
         if done.any():
-            for i in np.flatnonzero(done):
-                out[rows[i]] = ids[i, : size[i]].copy()
+            raw = ids[done][cols < size[done][:, None]].tobytes()
+            end = 4 * np.cumsum(size[done])
+            for i, a, b in zip(rows[done].tolist(), (end - 4 * size[done]).tolist(), end.tolist(), strict=True):
+                out[i] = raw[a:b]
             go = ~done
             rows, ids, rank, size, j, best = rows[go], ids[go], rank[go], size[go], j[go], best[go]
             if not len(rows):
@@ -213,55 +211,49 @@ def merge_matrix(t: Tables, pieces: list[bytes]) -> list[np.ndarray]:
         rank[:, -1] = NONE
         size -= 1
         right = np.where(j + 1 < width, ids[k, np.minimum(j + 1, width - 1)], -1)
-        rank[k, j] = t.pairs.get(ids[k, j], right)
         has = np.flatnonzero(j > 0)
-        rank[has, j[has] - 1] = t.pairs.get(ids[has, j[has] - 1], ids[has, j[has]])
+        new = t.pairs.get(np.append(best, ids[has, j[has] - 1]), np.append(right, best[has]))
+        rank[k, j] = new[: len(k)]
+        rank[has, j[has] - 1] = new[len(k) :]
     return out
 
 
-def merge_long(t: Tables, piece: bytes) -> np.ndarray:
-    """The same merges for one long piece, by a heap of (rank, place) over a linked list."""
-    ids = t.byte[np.frombuffer(piece, np.uint8)].tolist()
-    n = len(ids)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    first = t.pairs.get(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32))
-    heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-    heapq.heapify(heap)
-    ranks: dict[tuple[int, int], int] = {}
-
-    def push(i: int, j: int) -> None:
-        pair = (ids[i], ids[j])
-        if pair not in ranks:
-            ranks[pair] = int(t.pairs.get(np.array([pair[0]], np.int32), np.array([pair[1]], np.int32))[0])
-        if ranks[pair] != NONE:
-            heapq.heappush(heap, (ranks[pair], i, *pair))
-
-    while heap:
-        r, i, a, b = heapq.heappop(heap)
-        j = after[i] if ids[i] == a else n
-        if j >= n or ids[j] != b:
-            continue
-        ids[i], ids[j] = r, -1
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            push(i, after[i])
-        if before[i] >= 0:
-            push(before[i], i)
-    return np.array([x for x in ids if x >= 0], np.int32)
-
-
-def encode_pieces(t: Tables, pieces: list[bytes]) -> list[np.ndarray]:
+def merge_row(t: Tables, piece: bytes) -> np.ndarray:
+    """The same for one long piece. A round merges the minimum rank at its places from the left, neighbours without overlap,
+    up to the first merge that makes a pair of lower rank, which must come before the places to the right of it."""
+    ids = t.byte[np.frombuffer(piece, np.uint8)]
+    rank = np.append(t.pairs.get(ids[:-1], ids[1:]), NONE)
+    while (best := rank.min()) != NONE:
+        at = np.flatnonzero(rank == best)
+        nth = np.arange(len(at))
+        first = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, nth, 0))
+        at = at[(nth - first) % 2 == 0]
+        merged = np.diff(at, prepend=-2) == 2  # right after another merge
+        left = np.where(merged, best, np.where(at > 0, ids[at - 1], -1))
+        right = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+        here = np.full(len(at), best, np.int32)
+        lower = np.minimum(t.pairs.get(left, here), t.pairs.get(here, right)) < best
+        if lower.any():
+            at = at[: int(lower.argmax()) + 1]
+        ids[at] = best
+        ids, rank = np.delete(ids, at + 1), np.delete(rank, at + 1)
+        at = at - np.arange(len(at))
+        at = np.unique(np.concatenate([at, at[at > 0] - 1]))
+        rank[at] = t.pairs.get(ids[at], np.append(ids, np.int32(-1))[at + 1])
+    return ids
+
+
+def encode_pieces(t: Tables, pieces: list[bytes]) -> list[bytes]:
     out: list = [None] * len(pieces)
     buckets: dict[int, list[int]] = {}
     for i, p in enumerate(pieces):
-        whole = t.ranks.get(p)
+        whole = t.whole.get(p)
         if whole is not None:
-            out[i] = np.array([whole], np.int32)
+            out[i] = whole
         elif len(p) > LONG_PIECE:
-            out[i] = merge_long(t, p)
+            out[i] = merge_row(t, p).tobytes()
         else:
-            buckets.setdefault(len(p) if len(p) <= 16 else 1 << (len(p) - 1).bit_length(), []).append(i)
+            buckets.setdefault(next((w for w in WIDTHS if len(p) <= w), LONG_PIECE), []).append(i)
     for width, rows in buckets.items():
         step = max(1, (1 << 18) // width)
         for k in range(0, len(rows), step):
@@ -282,19 +274,19 @@ def encode_slice(t: Tables, data: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     starts = split_pieces(points, np.searchsorted(place, offsets[:-1]), t.classes)
     begin = place[starts]
     end = np.append(begin[1:], len(data))
-    unique, first, inverse = np.unique(SpanHash(data).of(begin, end), return_index=True, return_inverse=True)
-    if len(t.keys) + len(unique) > MAX_CACHED:
-        t.forget()
-    where, known = t.find(unique)
-    if not known.all():
-        fresh = np.flatnonzero(~known)
-        at = first[fresh]
-        t.add(unique[fresh], where[fresh], encode_pieces(t, [raw[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)]))
-        where, _ = t.find(unique)
-    count = t.count[where][inverse]
+    _, first, inverse = np.unique(SpanHash(data).of(begin, end), return_index=True, return_inverse=True)
+    size = end - begin
+    like = np.minimum(np.repeat(begin[first[inverse]] - begin, size) + np.arange(len(data)), len(data) - 1)
+    other = np.flatnonzero(np.logical_or.reduceat(data[like] != data, begin) | (size != size[first[inverse]]))
+    inverse[other] = len(first) + np.arange(len(other))  # equal in hash alone
+    first = np.append(first, other)
+    found = t.tokens([raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    arena, place = np.frombuffer(b"".join(found), np.int32), np.cumsum(sizes) - sizes
+    count = sizes[inverse]
     total = np.zeros(len(count) + 1, np.int64)
     np.cumsum(count, out=total[1:])
-    ids = t.arena[np.repeat(t.place[where][inverse] - total[:-1], count) + np.arange(total[-1])]
+    ids = arena[np.repeat(place[inverse] - total[:-1], count) + np.arange(total[-1])]
     return ids, total[np.searchsorted(begin, offsets)]
 
 
