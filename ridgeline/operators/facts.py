@@ -27,6 +27,21 @@ def fiscal_rollup(facts: DataFrame, agencies: DataFrame) -> DataFrame:
     return out.select("agency_id", "metric", fiscal_label(F.col("start_year"), F.col("fye")).alias("label"), "start_year", kind.alias("period_type"), "months", "value")
 
 
+def fiscal_rollup_wide(wide: DataFrame, agencies: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """`fiscal_rollup` of months with a column for each metric (null: not published): windows and sums run over a row a month,
+    and the years' rows are unpivoted."""
+    rows = wide.join(agencies.select("agency_id", "fye"), "agency_id")
+    rows = rows.withColumn("start_year", fiscal_start_year(F.col("month"), F.col("fye"))).withColumn("idx", fiscal_index(F.col("month"), F.col("fye")))
+    run = Window.partitionBy("agency_id", "start_year").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    in_run = {m: F.when(F.count(m).over(run) == F.col("idx"), F.col(m).cast("decimal(28,4)")).alias(m) for m in metrics}
+    rows = rows.select("agency_id", "start_year", "fye", *in_run.values())
+    out = rows.groupBy("agency_id", "start_year", "fye").agg(*[f for m in metrics for f in (F.sum(m).cast("double").alias(m), F.count(m).alias(f"n_{m}"))])
+    cells = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.col(f"n_{m}").alias("months")) for m in metrics]))
+    kind = F.when(F.col("months") == 12, "annual").otherwise("ytd")
+    out = out.select("agency_id", "start_year", "fye", cells).filter("months > 0")
+    return out.select("agency_id", "metric", fiscal_label(F.col("start_year"), F.col("fye")).alias("label"), "start_year", kind.alias("period_type"), "months", "value")
+
+
 def calendar_quarters(facts: DataFrame) -> DataFrame:
     """Quarters of which all three months are there."""
     out = facts.groupBy("agency_id", "metric", F.year("month").alias("year"), F.quarter("month").alias("quarter"))
@@ -34,33 +49,54 @@ def calendar_quarters(facts: DataFrame) -> DataFrame:
     return out.select("agency_id", "metric", F.concat_ws("-Q", "year", "quarter").alias("label"), "value")
 
 
-def competition_ranks(annual: DataFrame, agencies: DataFrame) -> DataFrame:
+def direction(metric: Column, lower: tuple[str, ...] = (), neutral: tuple[str, ...] = ()) -> Column:
+    """higher, lower or neutral: which end of a metric's ranking is the better one."""
+    return F.when(metric.isin(*neutral), "neutral").when(metric.isin(*lower), "lower").otherwise("higher")
+
+
+def competition_ranks(annual: DataFrame, agencies: DataFrame, lower: tuple[str, ...] = (), rated: tuple[str, ...] | None = None) -> DataFrame:
     """Ranks (1, 2, 2, 4) within metric and period, among all agencies and within the subdivision, on a USD basis.
 
-    Cohorts of fewer than LEAST_COHORT are not ranked.
+    Metrics in `lower` rank upwards from the least value; with `rated`, only these metrics are ranked. Agencies without a
+    subdivision are ranked among all only. Cohorts of fewer than LEAST_COHORT are not ranked. Both windows run on one
+    partitioning, by metric and period.
     """
-    rows = annual.join(agencies.select("agency_id", "subdivision", "currency"), "agency_id")
+    rows = annual if rated is None else annual.filter(F.col("metric").isin(*rated))
+    rows = rows.join(agencies.select("agency_id", "subdivision", "currency"), "agency_id")
     convert = F.col("metric").isin(*CURRENCY_METRICS) & (F.coalesce("currency", F.lit("CAD")) == "CAD")
     rows = rows.withColumn("basis", F.when(convert, F.col("value") * CAD_TO_USD).otherwise(F.col("value")))
-
-    def ranked(kind: str, *more: str) -> DataFrame:
-        cohort = Window.partitionBy("metric", "start_year", *more)
-        out = rows.withColumn("rank", F.rank().over(cohort.orderBy(F.desc("basis")))).withColumn("of", F.count("*").over(cohort))
-        return out.filter(F.col("of") >= LEAST_COHORT).select("agency_id", "metric", "start_year", F.lit(kind).alias("comparison"), "rank", "of", "basis")
-
-    return ranked("all").unionByName(ranked("subdivision", "subdivision"))
+    rows = rows.withColumn("_order", F.when(F.col("metric").isin(*lower), F.col("basis")).otherwise(-F.col("basis")))
+    every, near = Window.partitionBy("metric", "start_year"), Window.partitionBy("metric", "start_year", "subdivision")
+    rows = rows.withColumns({"_rank": F.rank().over(every.orderBy("_order")), "_of": F.count("*").over(every)})
+    rows = rows.withColumns({"_near": F.rank().over(near.orderBy("_order")), "_near_of": F.count("*").over(near)})
+    one = lambda kind, rank, of: F.struct(F.lit(kind).alias("comparison"), F.col(rank).alias("rank"), F.col(of).alias("of"))
+    both = F.inline(F.array_compact(F.array(one("all", "_rank", "_of"), F.when(F.col("subdivision").isNotNull(), one("subdivision", "_near", "_near_of")))))
+    return rows.select("agency_id", "metric", "start_year", "basis", both).filter(F.col("of") >= LEAST_COHORT)
 
 
 def year_over_year(annual: DataFrame) -> DataFrame:
-    """Each annual value against that of the year before (gaps do not match)."""
-    before = annual.select("agency_id", "metric", (F.col("start_year") + 1).alias("start_year"), F.col("value").alias("prior"))
-    out = annual.join(before, ["agency_id", "metric", "start_year"], "left").withColumn("change_pct", percent_change(F.col("value"), F.col("prior")))
+    """Each annual value (one a year) against that of the year before; gaps do not match."""
+    by = Window.partitionBy("agency_id", "metric").orderBy("start_year")
+    prior = F.when(F.lag("start_year").over(by) == F.col("start_year") - 1, F.lag("value").over(by))
+    out = annual.withColumn("prior", prior).withColumn("change_pct", percent_change(F.col("value"), F.col("prior")))
     sign = F.when(F.col("change_pct") > 0, "up").when(F.col("change_pct") < 0, "down").when(F.col("change_pct") == 0, "flat")
     return out.select("agency_id", "metric", "start_year", "value", "prior", "change_pct", sign.alias("direction"))
 
 
-def statement(annual: DataFrame, years: list[int]) -> DataFrame:
-    """Long to wide: one row for each agency and metric, one column a year, null where there is no value."""
+def axis_years(annual: DataFrame) -> DataFrame:
+    """The years that a statement shows, with the first label seen of each."""
+    return annual.groupBy("start_year").agg(F.min("label").alias("label"))
+
+
+def statement_grid(annual: DataFrame, years: DataFrame) -> DataFrame:
+    """A row for each agency, metric and year of the axis, null where there is no value."""
+    slots = annual.select("agency_id", "metric").distinct().crossJoin(F.broadcast(years.select("start_year")))  # some tens of years
+    return slots.join(annual.select("agency_id", "metric", "start_year", "value"), ["agency_id", "metric", "start_year"], "left")
+
+
+def statement(annual: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """Long to wide: one row for each agency and metric, one column a year, null where there is no value. Without `years` the
+    columns are those of `axis_years`."""
     return annual.groupBy("agency_id", "metric").pivot("start_year", years).agg(F.first("value"))
 
 

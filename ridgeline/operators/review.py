@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.periods import close
+from ridgeline.operators.lifecycle import number_in_order
 
 #: Bases that are no actual figures.
 PLANNED = ("budget", "forecast")
@@ -81,3 +82,12 @@ def paragraph_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 20
     rows = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("paragraph", "body"))
     before = F.sum(F.length("body")).over(Window.partitionBy(id_col).orderBy("paragraph").rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("chunk", F.floor(F.coalesce(before, F.lit(0)) / size).cast("long"))
+
+
+def page_runs(pages: DataFrame, by: str, page: str) -> DataFrame:
+    """(by, first, last, label): runs of neighbouring page numbers, one row each."""
+    rows = pages.select(by, F.col(page).alias("_page")).distinct()
+    rows = number_in_order(rows, [by], F.floor(F.col("_page") / 4096), ["_page"], "_nth")
+    runs = rows.groupBy(by, (F.col("_page") - F.col("_nth")).alias("_run")).agg(F.min("_page").alias("first"), F.max("_page").alias("last"))
+    label = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))
+    return runs.select(by, "first", "last", label.alias("label"))

@@ -28,7 +28,7 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _annual(spark: SparkSession, d: str) -> DataFrame:
-    return op.fiscal_rollup(_facts(spark, d), agency(spark, d)).filter("period_type = 'annual'").select("agency_id", "metric", "start_year", "value")
+    return fiscal_rollup(spark, d).filter("period_type = 'annual'").select("agency_id", "metric", "start_year", "value")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ def monthly_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fiscal_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return op.fiscal_rollup(_facts(spark, d), agency(spark, d))
+    return op.fiscal_rollup_wide(monthly(spark, d), agency(spark, d), METRICS)
 
 
 def calendar_quarters(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,8 @@ def year_over_year(spark: SparkSession, d: str) -> DataFrame:
 
 
 def financial_statement(spark: SparkSession, d: str) -> DataFrame:
-    return op.statement(_annual(spark, d), list(range(1995, 2002)))
+    annual = fiscal_rollup(spark, d).filter("period_type = 'annual'")
+    return op.statement_grid(annual, op.axis_years(annual))
 
 
 def derived_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +77,7 @@ def restatement_chain(spark: SparkSession, d: str) -> DataFrame:
 
 def change_classes(spark: SparkSession, d: str) -> DataFrame:
     rows, key, newest = _events(spark, d), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]
-    current = op.latest(rows.filter("ts < '2024-01-15' AND user_id % 10 <> 0"), key, newest)
+    current = op.latest(rows.filter("ts < '2024-01-15'"), key, newest)
     incoming = op.latest(rows.filter("ts >= '2024-01-15'"), key, newest)
     return op.classify_changes(incoming, current, key, "bucket")
 
@@ -159,7 +160,8 @@ SQL = {
             CASE WHEN p.value <> 0 THEN floor((v.value - p.value) / abs(p.value) * 1000 + 0.5) / 10 END AS change_pct
             FROM v LEFT JOIN v p ON p.agency_id = v.agency_id AND p.metric = v.metric AND p.start_year = v.start_year - 1)
         SELECT *, CASE WHEN change_pct > 0 THEN 'up' WHEN change_pct < 0 THEN 'down' WHEN change_pct = 0 THEN 'flat' END AS direction FROM c""",
-    "financial_statement": "SELECT agency_id, metric, " + ", ".join(f'max(value) FILTER (start_year = {y}) AS "{y}"' for y in range(1995, 2002)) + f" FROM ({ANNUAL_SQL}) GROUP BY agency_id, metric",
+    "financial_statement": f"""WITH v AS ({ANNUAL_SQL}), s AS (SELECT DISTINCT agency_id, metric FROM v), y AS (SELECT DISTINCT start_year FROM v)
+        SELECT agency_id, metric, start_year, value FROM s CROSS JOIN y LEFT JOIN v USING (agency_id, metric, start_year)""",
     "derived_metrics": f"""WITH m AS ({M_SQL}) SELECT agency_id, month, 'recovery_ratio' AS metric, farebox_revenue / operating_expenses AS value, 'farebox_revenue / operating_expenses' AS equation FROM m WHERE operating_expenses <> 0
         UNION ALL SELECT agency_id, month, 'cost_per_trip', operating_expenses / ridership, 'operating_expenses / ridership' FROM m WHERE ridership <> 0
         UNION ALL SELECT agency_id, month, 'trips_per_hour', ridership / revenue_service_hours, 'ridership / revenue_service_hours' FROM m
@@ -168,7 +170,7 @@ SQL = {
         k AS (SELECT *, row_number() OVER w AS version, lead(ts) OVER w AS valid_to FROM c WHERE n = 1 OR last IS DISTINCT FROM bucket WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
         SELECT user_id, event_type, version, ts AS valid_from, valid_to, bucket, valid_to IS NULL AS is_current FROM k""",
     "change_classes": f"""WITH e AS ({EVENTS_SQL}),
-        c AS (SELECT * FROM e WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1),
+        c AS (SELECT * FROM e WHERE ts < TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1),
         i AS (SELECT * FROM e WHERE ts >= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)
         SELECT i.user_id, i.event_type, i.bucket AS new_value, c.bucket AS old_value, CASE WHEN c.user_id IS NULL THEN 'insert' WHEN c.bucket IS NOT DISTINCT FROM i.bucket THEN 'identical' ELSE 'changed' END AS change
         FROM i LEFT JOIN c ON i.user_id IS NOT DISTINCT FROM c.user_id AND i.event_type IS NOT DISTINCT FROM c.event_type""",

@@ -9,6 +9,7 @@ from ridgeline.functions import text as tx
 from ridgeline.functions.periods import close, fiscal_label, fiscal_start_year
 from ridgeline.operators import facts as op
 from ridgeline.operators import lifecycle as life
+from ridgeline.operators import review as rv
 from ridgeline.operators import solver
 from ridgeline.plans.catalog import AGENCY_SQL, ANNUAL_SQL, EVENTS_SQL, LONG_SQL, M_SQL, SQL as BASE_SQL, _annual, _events, _facts
 from ridgeline.plans.catalog import competition_ranks as _ranks
@@ -20,12 +21,12 @@ NEWEST = "ORDER BY ts DESC, event_id DESC"
 
 def _two_loads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows, newest = _events(spark, d), [F.desc("ts"), F.desc("event_id")]
-    sides = (op.latest(rows.filter(c), KEY, newest) for c in ("ts < '2024-01-15' AND user_id % 10 <> 0", "ts >= '2024-01-15'"))
+    sides = (op.latest(rows.filter(c), KEY, newest) for c in ("ts < '2024-01-15'", "ts >= '2024-01-15'"))
     return tuple(s.select(*KEY, F.col("bucket").alias("value"), F.col("ts").alias("at")) for s in sides)
 
 
 LOADS_SQL = f"""e AS ({EVENTS_SQL}),
-    o AS (SELECT * FROM e WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type {NEWEST}) = 1),
+    o AS (SELECT * FROM e WHERE ts < TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id, event_type {NEWEST}) = 1),
     n AS (SELECT * FROM e WHERE ts >= TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id, event_type {NEWEST}) = 1),
     j AS (SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(o.event_type, n.event_type) AS event_type, o.bucket AS ov, n.bucket AS nv, o.ts AS oat, n.ts AS nat,
           o.ts IS NOT NULL AND n.ts IS NOT NULL AND o.bucket IS DISTINCT FROM n.bucket AS changed
@@ -62,8 +63,8 @@ def scoped_wipe(spark: SparkSession, d: str) -> DataFrame:
 
 def upsert_ignore(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    new = c.filter("c_custkey % 3 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment"), "c_acctbal")
-    return life.upsert(c.filter("c_custkey % 2 = 0"), new, "c_custkey", update=False)
+    new = c.select("c_custkey", F.lit("NEW").alias("c_mktsegment"), "c_acctbal")
+    return life.upsert(c.filter("c_acctbal >= 0"), new, "c_custkey", update=False)
 
 
 def coalesce_update(spark: SparkSession, d: str) -> DataFrame:
@@ -229,13 +230,8 @@ def part_slugs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_range_label(spark: SparkSession, d: str) -> DataFrame:
-    """The even-hashed pages of each source as runs: '1-2, 4'."""
-    rows = table(spark, d, "documents").filter("n_chars % 3 <> 0").select("source", F.col("doc_id").alias("p")).distinct()
-    rows = rows.withColumn("run", F.col("p") - F.row_number().over(Window.partitionBy("source").orderBy("p")))
-    runs = rows.groupBy("source", "run").agg(F.min("p").alias("a"), F.max("p").alias("b"))
-    label = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
-    sorted_ = F.array_sort(F.collect_list(F.struct("a", label.alias("label"))))
-    return runs.groupBy("source").agg(F.array_join(F.transform(sorted_, lambda r: r["label"]), ", ").alias("pages"))
+    """The pages of each source as runs, one row a run: '1-2', '4'."""
+    return rv.page_runs(table(spark, d, "documents"), "source", "doc_id")
 
 
 def file_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -245,8 +241,8 @@ def file_hash(spark: SparkSession, d: str) -> DataFrame:
 def image_batches(spark: SparkSession, d: str) -> DataFrame:
     """Pages with little text in batches of five by source."""
     rows = table(spark, d, "documents").filter(F.length("text") < 400).select("source", "doc_id")
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return rows.withColumn("batch", F.floor((nth - 1) / 5).cast("int")).groupBy("source", "batch").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("pages"))
+    rows = life.number_in_order(rows, ["source"], F.floor(F.col("doc_id") / 4096), ["doc_id"])
+    return rows.withColumn("batch", F.floor((F.col("nth") - 1) / 5).cast("int")).groupBy("source", "batch").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("pages"))
 
 
 def financials_csv_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -310,8 +306,7 @@ SQL = {
         SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.user_id IS NOT DISTINCT FROM s.user_id AND o.event_type IS NOT DISTINCT FROM s.event_type)""",
     "scoped_wipe": """WITH v AS (SELECT event_id, event_type AS source, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS restates FROM events), k AS (SELECT * FROM v WHERE source <> 'error')
         SELECT event_id, source, CASE WHEN restates IN (SELECT event_id FROM k) THEN restates END AS restates FROM k""",
-    "upsert_ignore": """SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 2 = 0
-        UNION ALL SELECT c_custkey, 'NEW', c_acctbal FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 <> 0""",
+    "upsert_ignore": "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_mktsegment ELSE 'NEW' END AS c_mktsegment, c_acctbal FROM customer",
     "coalesce_update": "SELECT c_custkey, CASE WHEN c_custkey % 15 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer",
     "period_dedupe_min_id": "SELECT o_orderkey, o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, min(o_orderkey) OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate)) AS canonical_id FROM orders",
     "conversion_funnel_once": "SELECT user_id, event_type, ts AS first_at, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
@@ -345,8 +340,8 @@ SQL = {
     "parsed_numbers": """SELECT l_linenumber % 3 AS kind, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CASE WHEN l_linenumber % 3 = 0 THEN -1 ELSE 1 END) AS DOUBLE) AS total, count(*) AS n FROM lineitem GROUP BY 1""",
     "part_slugs": """SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
         p_partkey || CASE WHEN p_partkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN p_partkey % 10 = 1 THEN 'st' WHEN p_partkey % 10 = 2 THEN 'nd' WHEN p_partkey % 10 = 3 THEN 'rd' ELSE 'th' END AS nth FROM part""",
-    "page_range_label": """WITH d AS (SELECT DISTINCT source, doc_id AS p FROM documents WHERE n_chars % 3 <> 0), r AS (SELECT source, p, p - row_number() OVER (PARTITION BY source ORDER BY p) AS run FROM d),
-        g AS (SELECT source, min(p) AS a, max(p) AS b FROM r GROUP BY source, run) SELECT source, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS pages FROM g GROUP BY source""",
+    "page_range_label": """WITH d AS (SELECT DISTINCT source, doc_id AS p FROM documents), r AS (SELECT source, p, p - row_number() OVER (PARTITION BY source ORDER BY p) AS run FROM d)
+        SELECT source, min(p) AS first, max(p) AS last, CASE WHEN min(p) = max(p) THEN CAST(min(p) AS VARCHAR) ELSE min(p) || '-' || max(p) END AS label FROM r GROUP BY source, run""",
     "file_hash": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
     "image_batches": """WITH d AS (SELECT source, doc_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 5) AS INT) AS batch FROM documents WHERE length(text) < 400)
         SELECT source, batch, min(doc_id) AS first, max(doc_id) AS last, count(*) AS pages FROM d GROUP BY source, batch""",

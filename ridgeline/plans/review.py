@@ -112,18 +112,19 @@ def blast_radius(spark: SparkSession, d: str) -> DataFrame:
 
 
 def remap_guard(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").filter("event_id % 3 = 0").select(*KEY).distinct()
+    rows = table(spark, d, "events").select(*KEY).distinct()
     return rv.remap(rows, spark.createDataFrame([("signup", "view"), ("error", "fault")], "old string, new string"), ["user_id"], "event_type")
 
 
 def suppression_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """Why an agency's metric has no rank: no comparable period, then pending (no population), then too small a cohort."""
-    annual = _annual(spark, d).filter("start_year = 1999")
-    of = annual.join(agency(spark, d).select("agency_id", "subdivision"), "agency_id").groupBy("metric", "subdivision").agg(F.count("*").alias("of"))
-    base = agency(spark, d).select("agency_id", "subdivision", "population", F.explode(F.array(*map(F.lit, METRICS))).alias("metric"))
-    out = base.join(annual.select("agency_id", "metric", "value"), ["agency_id", "metric"], "left").join(of, ["metric", "subdivision"], "left")
+    """Why an agency's metric has no rank in a year: no comparable period, then pending (no population), then too small a cohort."""
+    annual = _annual(spark, d)
+    of = annual.join(agency(spark, d).select("agency_id", "subdivision"), "agency_id").groupBy("metric", "subdivision", "start_year").agg(F.count("*").alias("of"))
+    years = annual.select("start_year").distinct()
+    base = agency(spark, d).select("agency_id", "subdivision", "population", F.explode(F.array(*map(F.lit, METRICS))).alias("metric")).crossJoin(F.broadcast(years))  # some tens of years
+    out = base.join(annual.select("agency_id", "metric", "start_year", "value"), ["agency_id", "metric", "start_year"], "left").join(of, ["metric", "subdivision", "start_year"], "left")
     reason = F.when(F.col("value").isNull(), "no_comparable_period").when(F.col("population").isNull(), "pending").when(F.col("of") < op.LEAST_COHORT, "below_min")
-    return out.select("agency_id", "metric", reason.alias("reason"))
+    return out.select("agency_id", "metric", "start_year", reason.alias("reason"))
 
 
 def display_points(spark: SparkSession, d: str) -> DataFrame:
@@ -230,7 +231,7 @@ def load_totals_delta(spark: SparkSession, d: str) -> DataFrame:
 
 def brand_sets(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part")
-    return rv.code_sets(parts.filter("p_partkey % 16 < 5"), parts.filter("p_partkey % 16 > 12"), "p_brand")
+    return rv.code_sets(parts.filter("p_size < 8"), parts.filter("p_size >= 8"), "p_brand")
 
 
 def upload_integrity(spark: SparkSession, d: str) -> DataFrame:
@@ -297,8 +298,9 @@ def tokens_by_lang(spark: SparkSession, d: str) -> DataFrame:
 
 def statement_unpivoted(spark: SparkSession, d: str) -> DataFrame:
     """The wide statement back as rows; empty cells are no rows, and headers give the year."""
-    years = list(range(1995, 2002))
-    wide = op.statement(_annual(spark, d), years).select("agency_id", "metric", *[F.col(str(y)).alias(f"FY{y}-{(y + 1) % 100:02d}") for y in years])
+    wide = op.statement(_annual(spark, d))
+    years = wide.columns[2:]
+    wide = wide.select("agency_id", "metric", *[F.col(y).alias(f"FY{y}-{(int(y) + 1) % 100:02d}") for y in years])
     rows = wide.unpivot(["agency_id", "metric"], wide.columns[2:], "header", "value").filter("value IS NOT NULL")
     return rows.select("agency_id", "metric", F.regexp_extract("header", "([0-9]{4})", 1).cast("long").alias("start_year"), "value")
 
@@ -308,7 +310,7 @@ def latest_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered_flags(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").filter("event_id % 6 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("f"))
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("f"))
     return rows.select("user_id", F.array_join(rv.ordered_flags(F.col("f"), ("purchase", "signup")), ",").alias("flags"))
 
 
@@ -325,10 +327,9 @@ def units_and_notes(spark: SparkSession, d: str) -> DataFrame:
 
 def page_windows(spark: SparkSession, d: str) -> DataFrame:
     """Pages of a source in windows of 100, with their place in the window."""
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, d, "documents").select("doc_id", "source", F.floor(nth / 100).cast("long").alias("window_no"), (nth % 100).cast("long").alias("place"))
+    rows = life.number_in_order(table(spark, d, "documents").select("doc_id", "source"), ["source"], F.floor(F.col("doc_id") / 4096), ["doc_id"])
+    nth = F.col("nth") - 1
+    return rows.select("doc_id", "source", F.floor(nth / 100).cast("long").alias("window_no"), (nth % 100).cast("long").alias("place"))
 
 
 def suite_accuracy(spark: SparkSession, d: str) -> DataFrame:
@@ -398,14 +399,15 @@ SQL = {
     "blast_radius": f"""WITH v AS (SELECT agency_id, count(*) AS n FROM ({ANNUAL_SQL}) GROUP BY 1), r AS (SELECT agency_id, count(*) AS n FROM ({BASE_SQL['competition_ranks']}) GROUP BY 1),
         o AS (SELECT l_suppkey AS agency_id, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1)
         SELECT a.agency_id, coalesce(v.n, 0) AS n_annual, coalesce(r.n, 0) AS n_ranks, coalesce(o.n, 0) AS n_open FROM ({AGENCY_SQL}) a LEFT JOIN v USING (agency_id) LEFT JOIN r USING (agency_id) LEFT JOIN o USING (agency_id)""",
-    "remap_guard": """WITH e AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0),
+    "remap_guard": """WITH e AS (SELECT DISTINCT user_id, event_type FROM events),
         m AS (SELECT *, CASE event_type WHEN 'signup' THEN 'view' WHEN 'error' THEN 'fault' END AS new FROM e)
         SELECT user_id, event_type, CASE WHEN h THEN event_type ELSE coalesce(new, event_type) END AS new_code, h AS collides
         FROM (SELECT m.*, EXISTS (SELECT 1 FROM e WHERE e.user_id = m.user_id AND e.event_type = m.new) AS h FROM m)""",
-    "suppression_reasons": f"""WITH v AS (SELECT * FROM ({ANNUAL_SQL}) WHERE start_year = 1999), a AS ({AGENCY_SQL}), m AS (SELECT unnest({list(METRICS)}) AS metric),
-        o AS (SELECT metric, subdivision, count(*) AS n FROM v JOIN a USING (agency_id) GROUP BY ALL)
-        SELECT a.agency_id, m.metric, CASE WHEN v.value IS NULL THEN 'no_comparable_period' WHEN population IS NULL THEN 'pending' WHEN o.n < 5 THEN 'below_min' END AS reason
-        FROM a CROSS JOIN m LEFT JOIN v ON v.agency_id = a.agency_id AND v.metric = m.metric LEFT JOIN o ON o.metric = m.metric AND o.subdivision = a.subdivision""",
+    "suppression_reasons": f"""WITH v AS ({ANNUAL_SQL}), a AS ({AGENCY_SQL}), m AS (SELECT unnest({list(METRICS)}) AS metric), y AS (SELECT DISTINCT start_year FROM v),
+        o AS (SELECT metric, subdivision, start_year, count(*) AS n FROM v JOIN a USING (agency_id) GROUP BY ALL)
+        SELECT a.agency_id, m.metric, y.start_year, CASE WHEN v.value IS NULL THEN 'no_comparable_period' WHEN population IS NULL THEN 'pending' WHEN o.n < 5 THEN 'below_min' END AS reason
+        FROM a CROSS JOIN m CROSS JOIN y LEFT JOIN v ON v.agency_id = a.agency_id AND v.metric = m.metric AND v.start_year = y.start_year
+        LEFT JOIN o ON o.metric = m.metric AND o.subdivision = a.subdivision AND o.start_year = y.start_year""",
     "display_points": f"SELECT agency_id, metric, label, value FROM ({FISCAL_SQL}) QUALIFY row_number() OVER (PARTITION BY agency_id, metric ORDER BY period_type, start_year DESC) = 1",
     "directory_cards": f"""WITH l AS (SELECT agency_id, metric, max_by(value, start_year) AS v, max(start_year) AS year FROM ({ANNUAL_SQL}) GROUP BY ALL),
         n AS (SELECT agency_id, year, metric || ' ' || {_COMPACT.format(v='v')} AS card, row_number() OVER (PARTITION BY agency_id ORDER BY list_position({list(METRICS)}, metric)) AS nth FROM l)
@@ -434,7 +436,7 @@ SQL = {
     "load_totals_delta": """WITH e AS (SELECT event_type, ts < TIMESTAMP '2024-01-15' AS old, CAST(value AS DECIMAL(18,2)) AS v FROM events)
         SELECT event_type, count(*) FILTER (old) AS n_before, CAST(sum(v) FILTER (old) AS DOUBLE) AS total_before, count(*) FILTER (NOT old) AS n_after, CAST(sum(v) FILTER (NOT old) AS DOUBLE) AS total_after,
         count(*) FILTER (NOT old) - count(*) FILTER (old) AS n_delta FROM e GROUP BY event_type""",
-    "brand_sets": """WITH a AS (SELECT DISTINCT p_brand FROM part WHERE p_partkey % 16 < 5), b AS (SELECT DISTINCT p_brand FROM part WHERE p_partkey % 16 > 12)
+    "brand_sets": """WITH a AS (SELECT DISTINCT p_brand FROM part WHERE p_size < 8), b AS (SELECT DISTINCT p_brand FROM part WHERE p_size >= 8)
         SELECT coalesce(a.p_brand, b.p_brand) AS p_brand, CASE WHEN b.p_brand IS NULL THEN 'missing' WHEN a.p_brand IS NULL THEN 'extra' ELSE 'both' END AS place FROM a FULL JOIN b ON a.p_brand = b.p_brand""",
     "upload_integrity": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 3 = 0 THEN 'mismatch' ELSE 'ok' END AS state FROM documents",
     "star_totals": f"""SELECT p_type, subdivision, year(l_shipdate) AS year, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n
@@ -451,10 +453,10 @@ SQL = {
     "first_rejects": """WITH r AS (SELECT user_id, event_id, CASE WHEN value IS NULL THEN 'empty field' WHEN value < 20 THEN 'bad value' WHEN event_type = 'error' THEN 'bad type' END AS reason FROM events)
         SELECT user_id, reason, event_id FROM r WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1""",
     "tokens_by_lang": """SELECT lang, count(*) AS n, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'))) AS BIGINT) AS tokens, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'))) AS DOUBLE) * 5 / 1000000 AS cost FROM documents GROUP BY lang""",
-    "statement_unpivoted": f"SELECT agency_id, metric, CAST(start_year AS BIGINT) AS start_year, value FROM ({ANNUAL_SQL}) WHERE start_year BETWEEN 1995 AND 2001",
+    "statement_unpivoted": f"SELECT agency_id, metric, CAST(start_year AS BIGINT) AS start_year, value FROM ({ANNUAL_SQL})",
     "latest_names": "SELECT p_brand, max_by(p_name, p_partkey) AS name, max(p_size) AS size FROM part GROUP BY p_brand",
     "ordered_flags": """SELECT user_id, string_agg(event_type, ',' ORDER BY CASE event_type WHEN 'purchase' THEN '0' WHEN 'signup' THEN '1' ELSE event_type END) AS flags
-        FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 6 = 0) GROUP BY user_id""",
+        FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id""",
     "period_ids": """WITH m AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders), k AS (SELECT month, (year(month) - 1995) * 12 + month(month) AS id FROM m WHERE month < DATE '1998-01-01')
         SELECT month, id, false AS created FROM k UNION ALL SELECT month, (SELECT coalesce(max(id), 0) FROM k) + row_number() OVER (ORDER BY month), true FROM m WHERE month >= DATE '1998-01-01'""",
     "units_and_notes": f"""SELECT agency_id, currency || ' per trip' AS unit, concat_ws('; ', CASE WHEN population IS NULL THEN 'no population' END, CASE WHEN fye <> 12 THEN 'year ends in month ' || CAST(fye AS VARCHAR) END) AS note FROM ({AGENCY_SQL})""",

@@ -19,10 +19,13 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 def statistical_feed(rows: DataFrame, agencies: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
     """ref_date (YYYY-MM), label, measure, scale, value, status; agencies: label, agency_id; metrics: measure, metric.
 
-    Unknown labels and measures, missing values and bad months are rejects with a reason. The two maps are small by nature,
+    Unknown labels and measures, missing values and bad months are rejects with a reason; a scale that is neither blank nor
+    known stops the load, as any guess would be off by a thousand. The two maps are small by nature,
     and Spark decides on broadcasting them by their size.
     """
-    scale = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), F.trim("scale")), F.lit(1))
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), F.trim("scale"))
+    unknown = F.raise_error(F.concat(F.lit("unknown scale: "), F.col("scale"))).cast("int")
+    scale = F.when(F.coalesce(F.trim("scale"), F.lit("")) == "", 1).when(known.isNotNull(), known).otherwise(unknown)
     out = rows.join(agencies, "label", "left").join(metrics, "measure", "left")
     out = out.withColumn("month", F.expr("try_to_date(concat(ref_date, '-01'), 'yyyy-MM-dd')"))
     out = out.withColumn("number", F.expr("try_cast(value AS decimal(28,6))"))
