@@ -34,8 +34,12 @@ def rank_label(rank: Column, of: Column, least: int = 5) -> Column:
     return F.when(good, F.concat(ordinal(rank), F.lit(" of "), of.cast("string"))).otherwise("not yet ranked")
 
 
+#: Letters with accents and what stands for them in slugs.
+ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+
+
 def slug(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), *ACCENTS), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
 def csv_cell(text: Column) -> Column:
@@ -59,3 +63,43 @@ def compact(value: Column) -> Column:
     million = F.concat((F.floor(value / 100000) / 10).cast("string"), F.lit("M"))
     thousand = F.concat(F.floor(value / 1000).cast("string"), F.lit("K"))
     return F.when(value >= 1000000, million).when(value >= 100000, thousand).otherwise((F.floor(value * 100 + 0.5) / 100).cast("decimal(18,2)").cast("string"))
+
+
+def printed_digits(quote: Column, printed: Column) -> Column:
+    """Whether a quote holds a value's digits, first as printed, then without points and spaces."""
+    bare = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    return quote.contains(printed) | ((F.length(bare(printed)) >= 2) & bare(quote).contains(bare(printed)))
+
+
+def conflict_candidates(note: Column) -> Column:
+    """The values that a note 'conflict: 1200 | 1300' lists, as doubles; null unless all of them are numbers."""
+    listed = F.regexp_extract(note, "conflict: ([^;]*)", 1)
+    values = F.transform(F.split(listed, "[|]"), lambda x: F.replace(F.trim(x), F.lit(","), F.lit("")).try_cast("double"))
+    return F.when((listed != "") & ~F.exists(values, lambda x: x.isNull()), values)
+
+
+def declared_scale(text: Column) -> Column:
+    """1000 or 1000000 where a text declares its amounts to be in thousands or millions, else 1."""
+    low = F.lower(text)
+    return F.when(low.rlike("in thousands|[(]000s?[)]|000s omitted"), 1000).when(low.rlike("in millions"), 1000000).otherwise(1)
+
+
+def is_heading(line: Column) -> Column:
+    return line.rlike("^#{1,6} ")
+
+
+def direction_word(metric: Column, lower: tuple[str, ...], neutral: tuple[str, ...] = ()) -> Column:
+    """'higher is better', 'lower is better' or 'no better end'."""
+    return F.when(metric.isin(*neutral), "no better end").when(metric.isin(*lower), "lower is better").otherwise("higher is better")
+
+
+def file_kind(stem: Column, rules: dict[str, str], exact: dict[str, str]) -> Column:
+    """What a file's stem tells: an exact stem first, then the longest prefix of the rules, else null."""
+    out = F.lit(None).cast("string")
+    for prefix in sorted(rules, key=len):  # the longest is tested first
+        out = F.when(stem.startswith(prefix), rules[prefix]).otherwise(out)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in exact.items() for x in kv]), stem), out)
+
+
+def file_year(stem: Column) -> Column:
+    return F.regexp_extract(stem, "(19|20)[0-9]{2}", 0).try_cast("int")

@@ -8,6 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.functions import text as tx
 from ridgeline.functions.periods import close
 from ridgeline.operators.lifecycle import number_in_order
 
@@ -91,3 +92,16 @@ def page_runs(pages: DataFrame, by: str, page: str) -> DataFrame:
     runs = rows.groupBy(by, (F.col("_page") - F.col("_nth")).alias("_run")).agg(F.min("_page").alias("first"), F.max("_page").alias("last"))
     label = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))
     return runs.select(by, "first", "last", label.alias("label"))
+
+
+#: What a stated scale multiplies by; any other counts as units.
+SCALES = {"thousands": 1000.0, "millions": 1000000.0}
+
+
+def row_value(printed: Column, scale: Column, negative: Column, quote: Column, confidence: Column) -> list[Column]:
+    """value and confidence of a printed row: a quote that contradicts caps the confidence at 0.3, a missing one at 0.5."""
+    by = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), scale), F.lit(1.0))
+    value = tx.parse_number(printed) * by * F.when(negative, -1).otherwise(1)
+    support = tx.quote_supports(quote, printed)
+    sure = F.when(support == "mismatch", F.least(confidence, F.lit(0.3))).when(support == "missing", F.least(confidence, F.lit(0.5))).otherwise(confidence)
+    return [value.alias("value"), sure.alias("confidence")]

@@ -7,6 +7,7 @@ The passes are unrolled: a pass that finds anything settles at least one equatio
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,30 +19,42 @@ from ridgeline.functions.periods import close
 
 @dataclass(frozen=True)
 class Equation:
-    """kind 'sum': total = parts added; kind 'ratio': total = parts[0] / parts[1]."""
+    """kind 'sum': total = parts added, less those of `minus`; kind 'ratio': total = parts[0] / parts[1]."""
 
     code: str
     kind: str
     total: str
     parts: tuple[str, ...]
+    minus: tuple[str, ...] = ()
 
     @property
     def operands(self) -> tuple[str, ...]:
-        return (self.total, *self.parts)
+        return (self.total, *self.parts, *self.minus)
+
+    def display(self) -> str:
+        if self.kind == "ratio":
+            return f"{self.parts[0]} / {self.parts[1]}"
+        return " + ".join(self.parts) + "".join(f" - {m}" for m in self.minus)
 
     def value_of(self, metric: str) -> Column:
         """The metric from the other operands; null where one is null or a divisor is zero."""
         col = F.col
         if self.kind == "sum":
+            added, taken = [col(p) for p in self.parts if p != metric], [col(m) for m in self.minus if m != metric]
             if metric == self.total:
-                return reduce(lambda a, b: a + b, map(col, self.parts))
-            return reduce(lambda a, b: a - b, [col(p) for p in self.parts if p != metric], col(self.total))
+                return reduce(lambda a, b: a - b, taken, reduce(lambda a, b: a + b, added))
+            if metric in self.parts:
+                return reduce(lambda a, b: a + b, taken, reduce(lambda a, b: a - b, added, col(self.total)))
+            return reduce(lambda a, b: a - b, taken, reduce(lambda a, b: a + b, added)) - col(self.total)
         over, under = self.parts
         if metric == self.total:
             return F.try_divide(col(over), col(under))
         return col(self.total) * col(under) if metric == over else F.try_divide(col(over), col(self.total))
 
 
+#: Qualities from the strongest to the weakest; an unknown one counts as the strongest.
+QUALITIES = {"verified": 0, "preliminary": 1, "estimated": 2, "imputed": 3}
+
 EQUATIONS = (
     Equation("cost_per_trip", "ratio", "cost_per_trip", ("operating_expenses", "ridership")),
     Equation("expense_split", "sum", "operating_expenses", ("farebox_revenue", "operating_deficit")),
@@ -50,6 +63,107 @@ EQUATIONS = (
 )
 
 
+#: The identities and ratios of an agency's statements and service figures, by code.
+STATEMENT_EQUATIONS = (
+    Equation("expense_revenue_subsidy", "sum", "operating_expenses", ("total_revenue_excluding_subsidy", "subsidy")),
+    Equation("expense_components", "sum", "operating_expenses", ("labour_cost", "energy_fuel_cost", "materials_services_cost", "amortization", "other_operating_expenses")),
+    Equation("earned_revenue_components", "sum", "total_revenue_excluding_subsidy", ("farebox_revenue", "other_revenue")),
+    Equation("total_revenue_def", "sum", "total_revenue", ("total_revenue_excluding_subsidy", "subsidy")),
+    Equation("annual_surplus_deficit_def", "sum", "annual_surplus_deficit", ("total_revenue",), ("total_expenses",)),
+    Equation("average_fare_def", "ratio", "average_fare", ("farebox_revenue", "ridership")),
+    Equation("cost_per_hour_def", "ratio", "cost_per_hour", ("operating_expenses", "revenue_service_hours")),
+    Equation("cost_per_rider_def", "ratio", "cost_per_rider", ("operating_expenses", "ridership")),
+    Equation("farebox_recovery_def", "ratio", "farebox_recovery_ratio", ("farebox_revenue", "operating_expenses")),
+    Equation("subsidy_per_rider_def", "ratio", "subsidy_per_rider", ("subsidy", "ridership")),
+    Equation("trips_per_revenue_hour_def", "ratio", "trips_per_revenue_hour", ("ridership", "revenue_service_hours")),
+    Equation("net_debt_def", "sum", "net_debt", ("total_liabilities",), ("total_financial_assets",)),
+    Equation("total_assets_identity", "sum", "total_assets", ("total_financial_assets", "total_non_financial_assets")),
+    Equation("accumulated_surplus_identity", "sum", "accumulated_surplus", ("total_assets",), ("total_liabilities",)),
+    Equation("debt_to_assets_def", "ratio", "debt_to_assets", ("total_liabilities", "total_assets")),
+    Equation("net_debt_per_capita_def", "ratio", "net_debt_per_capita", ("net_debt", "service_area_population")),
+    Equation("financial_assets_components", "sum", "total_financial_assets", ("cash_and_investments", "other_financial_assets")),
+    Equation("liabilities_components", "sum", "total_liabilities", ("long_term_debt", "other_liabilities")),
+    Equation("non_financial_assets_components", "sum", "total_non_financial_assets", ("tangible_capital_assets", "other_non_financial_assets")),
+)
+#: Attributes that are read but never solved for.
+ATTRIBUTES = ("service_area_population",)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df by a reliable checkpoint, so that a loop's plan stays small; on local masters without a folder one is made."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if base is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-ridgeline-"))
+    return df.checkpoint()
+
+
+def solve_all(wide: DataFrame, keys: list[str], equations: tuple[Equation, ...] = STATEMENT_EQUATIONS, rel: float = 0.02, quality: bool = False) -> DataFrame:
+    """`fixpoint` for large catalogs: a pass at a time until none finds anything, however long the chain.
+
+    (keys, metric, value, equation, conflict, weakness): with `quality`, columns metric__q of `wide` hold how weak each
+    observed value is, and a solved one is as weak as the weakest operand that it came from.
+    """
+    metrics = [m for m in dict.fromkeys(m for e in equations for m in e.operands)]
+    have = [F.col(m).cast("double").alias(m) if m in wide.columns else F.lit(None).cast("double").alias(m) for m in metrics]
+    weak = [(F.col(f"{m}__q") if quality and f"{m}__q" in wide.columns else F.lit(0)).cast("int").alias(f"{m}__q") for m in metrics]
+    state = wide.select(*keys, *have, *weak, *[F.lit(None).cast("string").alias(f"{m}__from") for m in metrics], *[F.lit(False).alias(f"{m}__odd") for m in metrics])
+    ordered = sorted(equations, key=lambda e: e.code)
+    while True:
+        new, moved = {}, []
+        for m in (m for m in metrics if m not in ATTRIBUTES):
+            found = [(e, e.value_of(m)) for e in ordered if m in e.operands]
+            first = F.coalesce(*[v for _, v in found])
+            pick = lambda of: F.coalesce(*[F.when(v.isNotNull(), of(e)) for e, v in found])  # noqa: B023, E731
+            agreed = reduce(lambda a, b: a & b, [F.coalesce(close(v, first, rel), F.lit(True)) for _, v in found])
+            open_ = F.col(m).isNull() & first.isNotNull()
+            new[m] = F.when(open_ & agreed, first).otherwise(F.col(m))
+            new[f"{m}__from"] = F.when(open_ & agreed, pick(lambda e: F.lit(e.code))).otherwise(F.col(f"{m}__from"))
+            new[f"{m}__q"] = F.when(open_ & agreed, pick(lambda e, m=m: F.greatest(F.lit(0), *[F.col(f"{o}__q") for o in e.operands if o != m]))).otherwise(F.col(f"{m}__q"))
+            new[f"{m}__odd"] = open_ & ~agreed
+            moved.append(open_ & agreed)
+        state = settle(state.withColumns(new | {"_moved": reduce(lambda a, b: a | b, moved)}))
+        if state.filter("_moved").limit(1).count() == 0:
+            break
+    cells = [
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.col(f"{m}__from").alias("equation"), F.col(f"{m}__odd").alias("conflict"), F.col(f"{m}__q").alias("weakness"))
+        for m in metrics
+        if m not in ATTRIBUTES
+    ]
+    return state.select(*keys, F.inline(F.array(*cells))).filter("value IS NOT NULL OR conflict")
+
+
+def edges(solved: DataFrame, keys: list[str], equations: tuple[Equation, ...] = STATEMENT_EQUATIONS) -> DataFrame:
+    """(keys, metric, equation, input): the lineage of solved values."""
+    inputs = F.create_map(*[x for e in equations for x in (F.lit(e.code), F.array(*map(F.lit, e.operands)))])
+    out = solved.filter("equation IS NOT NULL").select(*keys, "metric", "equation", F.explode(F.element_at(inputs, F.col("equation"))).alias("input"))
+    return out.filter("input <> metric")
+
+
+def recompute(values: DataFrame, keys: list[str], rated: tuple[str, ...], equations: tuple[Equation, ...] = STATEMENT_EQUATIONS) -> DataFrame:
+    """Derived values of every key (such as agency, period, mode and scope), from its sourced ones.
+
+    values: keys, metric, value, quality, cost_basis, derived. Values derived before are left out. Total-basis expenses are
+    put on the operating basis by taking amortization off; where that is not published they stand, and what is derived in
+    that key is tainted. Returns keys, metric, value, equation, quality (the weakest of the inputs'), comparable (rated and
+    not tainted).
+    """
+    metrics = list(dict.fromkeys(m for e in equations for m in e.operands))
+    seed = values.filter(~F.col("derived") & F.col("metric").isin(*metrics))
+    weakness = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for q, k in QUALITIES.items() for x in (q, k)]), F.col("quality")), F.lit(0))
+    cell = lambda m, v: F.max(F.when(F.col("metric") == m, v))
+    total = F.bool_or((F.col("metric") == "operating_expenses") & (F.col("cost_basis") == "psab_total"))
+    wide = seed.groupBy(*keys).agg(F.coalesce(total, F.lit(False)).alias("_total"), *[f for m in metrics for f in (cell(m, F.col("value")).alias(m), cell(m, weakness).alias(f"{m}__q"))])
+    less = F.col("_total") & F.col("amortization").isNotNull()
+    wide = wide.withColumns({"operating_expenses": F.when(less, F.col("operating_expenses") - F.col("amortization")).otherwise(F.col("operating_expenses")), "_tainted": F.col("_total") & F.col("amortization").isNull(), "_less": less})
+    wide = wide.withColumn("amortization", F.when(~F.col("_less"), F.col("amortization")))
+    out = solve_all(wide, [*keys, "_tainted"], equations, quality=True).filter("equation IS NOT NULL")
+    names = F.element_at(F.array(*[F.lit(q) for q, _ in sorted(QUALITIES.items(), key=lambda x: x[1])]), F.col("weakness") + 1)
+    return out.select(*keys, "metric", "value", "equation", names.alias("quality"), (F.col("metric").isin(*rated) & ~F.col("_tainted")).alias("comparable"))
+
+
 def fixpoint(wide: DataFrame, keys: list[str], equations: tuple[Equation, ...] = EQUATIONS, rel: float = 0.02) -> DataFrame:
     """(keys, metric, value, equation, conflict): each metric that has a value or a conflict; equation is null if observed."""
     metrics = list(dict.fromkeys(m for e in equations for m in e.operands))

@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from ridgeline.plans import catalog, extended, review
+from ridgeline.plans import catalog, extended, review, stores
 
-QUERIES = catalog.QUERIES | extended.QUERIES | review.QUERIES
-SQL = catalog.SQL | extended.SQL | review.SQL
+QUERIES = catalog.QUERIES | extended.QUERIES | review.QUERIES | stores.QUERIES
+SQL = catalog.SQL | extended.SQL | review.SQL | stores.SQL

@@ -57,3 +57,28 @@ def mode_feed(rows: DataFrame, agencies: DataFrame, since: str = "0000-00") -> D
     found = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(f"try_cast({c} AS decimal(28,6))").alias("v"), F.lit(k).alias("k")) for m, c, k in cells])
     out = rows.select("agency_id", F.to_date(F.concat(F.substring("month", 1, 7), F.lit("-01"))).alias("month"), F.inline(found)).filter("v IS NOT NULL")
     return out.groupBy("agency_id", "month", "metric", "k").agg(F.sum("v").alias("v")).select("agency_id", "month", "metric", (F.col("v").cast("double") * F.col("k")).alias("value"))
+
+
+def fiscal_year_of_end(end_year, fye):
+    """The start year of the fiscal year that ends in `end_year`."""
+    return end_year - (fye != 12).cast("int")
+
+
+#: The annual feed's measures: metric, column, factor.
+ANNUAL_CELLS = (("farebox_revenue", "fares", 1.0), ("operating_expenses", "expenses", 1.0), ("ridership", "trips", 1.0), ("vehicle_km", "miles", MILES_TO_KM), ("revenue_service_hours", "hours", 1.0))
+
+
+def annual_feed(rows: DataFrame, agencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """source_id, report_year and the measures as text, by mode and type of service: sums a report year, which names the year
+    that a fiscal year ends in. agencies: source_id, agency_id, fye. Empty cells are not reported; the rejects are the ids
+    that no agency has, once each."""
+    known = rows.join(agencies, "source_id")
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(f"try_cast({c} AS decimal(28,6))").alias("v"), F.lit(k).alias("k")) for m, c, k in ANNUAL_CELLS])
+    out = known.select("agency_id", "fye", F.col("report_year").cast("int").alias("report_year"), F.inline(cells)).filter("v IS NOT NULL")
+    out = out.groupBy("agency_id", "fye", "report_year", "metric", "k").agg(F.sum("v").alias("v"))
+    good = out.select("agency_id", "metric", fiscal_year_of_end(F.col("report_year"), F.col("fye")).alias("start_year"), (F.col("v").cast("double") * F.col("k")).alias("value"))
+    return good, rows.join(agencies, "source_id", "left_anti").select("source_id").distinct()
+
+
+#: Feeds by name: what turns a feed's rows into facts (and, where it has any, rejects).
+ADAPTERS = {"statistical": statistical_feed, "epoch": epoch_feed, "mode": mode_feed, "annual": annual_feed}

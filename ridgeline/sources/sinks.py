@@ -9,9 +9,24 @@ from ridgeline.functions.text import csv_cell
 
 
 def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The cells of each row as one line; written by `write_csv` with a byte order mark and CRLF."""
     return rows.select(F.concat_ws(",", *[csv_cell(F.col(f"`{c}`").cast("string")) for c in columns]).alias("line"))
 
 
 def replace_cohorts(rows: DataFrame, path: str, by: list[str]) -> None:
     """Only the partitions (cohorts) that rows holds are rewritten; a repeated write gives the same table."""
     rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def write_csv(rows: DataFrame, columns: list[str], path: str) -> None:
+    """CSV files with a byte order mark before the header, CRLF line ends, quotes doubled and null as an empty cell."""
+    named = [F.col(f"`{c}`").alias("\ufeff" + c if k == 0 else c) for k, c in enumerate(columns)]
+    out = rows.select(*named).write.mode("overwrite").option("header", True).option("lineSep", "\r\n")
+    out.option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+
+
+def formula_grid(wide: DataFrame, keys: list[str], columns: list[str], row: str) -> DataFrame:
+    """A sheet's rows: the cells and a live sum over them; `row` holds the row's number on the sheet."""
+    first, last = (chr(ord("A") + len(keys) + k) for k in (0, len(columns) - 1))
+    total = F.concat(F.lit(f"=SUM({first}"), F.col(row).cast("string"), F.lit(f":{last}"), F.col(row).cast("string"), F.lit(")"))
+    return wide.select(*keys, *columns, total.alias("total"))

@@ -123,3 +123,56 @@ def test_streams(spark, tmp_path):
         streams.start_upserts(source(), ["user_id", "event_type"], ["ts", "event_id"], out, str(tmp_path / "c3")).awaitTermination(120)
     got = streams.newest(spark, out, ["user_id", "event_type"], ["ts", "event_id"]).collect()
     assert sorted((r.user_id, r.event_id) for r in got) == [(1, 4), (2, 5)]
+
+
+def test_an_unknown_scale_stops_the_load(spark):
+    rows = spark.createDataFrame([("2024-01", "A", "Trips", "dozens", "1", "")], "ref_date string, label string, measure string, scale string, value string, status string")
+    good, _ = feeds.statistical_feed(rows, spark.createDataFrame([("A", 5)], "label string, agency_id long"), spark.createDataFrame([("Trips", "ridership")], "measure string, metric string"))
+    with pytest.raises(Exception, match="unknown scale: dozens"):
+        good.collect()
+
+
+def test_annual_feed_sums_and_names_the_year_of_its_start(spark):
+    rows = [("1", "2023", "5", "10", "7", "1", ""), ("1", "2023", "6", "", "3", "", ""), ("2", "2023", "1", "1", "1", "1", "1"), ("9", "2023", "1", "1", "1", "1", "1"), ("9", "2022", "1", "1", "1", "1", "1")]
+    rows = spark.createDataFrame(rows, "source_id string, report_year string, fares string, expenses string, trips string, miles string, hours string")
+    good, bad = feeds.annual_feed(rows, spark.createDataFrame([("1", 4, 6), ("2", 5, 12)], "source_id string, agency_id long, fye int"))
+    got = {(r.agency_id, r.metric): (r.start_year, round(r.value, 6)) for r in good.collect()}
+    assert got[(4, "farebox_revenue")] == (2022, 11.0) and got[(4, "ridership")] == (2022, 10.0) and (4, "revenue_service_hours") not in got
+    assert got[(5, "vehicle_km")] == (2023, 1.609344) and [r.source_id for r in bad.collect()] == ["9"]
+
+
+def test_csv_file_has_a_mark_and_line_ends(spark, tmp_path):
+    rows = spark.createDataFrame([('a, "b"', None), ("c", 1.5)], "name string, value double").coalesce(1)
+    sinks.write_csv(rows, ["name", "value"], str(tmp_path / "out"))
+    text = next((tmp_path / "out").glob("part-*.csv")).read_bytes().decode("utf-8")
+    assert text == '\ufeffname,value\r\n"a, ""b""",\r\nc,1.5\r\n'
+
+
+def test_repository_appends_and_replaces_cohorts(spark, tmp_path):
+    from ridgeline.operators.stores import Repository
+
+    store = Repository(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "v int, k string, p int")
+    store.append("values", rows)
+    store.append("values", rows)
+    assert store.read("values").count() == 4
+    store.replace("ranks", rows, ["p", "k"])
+    store.replace("ranks", spark.createDataFrame([(9, "a", 1)], "v int, k string, p int"), ["p", "k"])
+    assert sorted((r.v, r.k) for r in store.read("ranks").collect()) == [(2, "b"), (9, "a")]
+
+
+def test_promotion_keeps_rows_with_null_cells(spark):
+    schema = "k long, value long, at timestamp, quality string, id long"
+    now = spark.createDataFrame([(1, None, None, "a", 10), (2, 5, None, "a", 11), (3, 7, None, "a", 12)], schema)
+    new = spark.createDataFrame([(1, None, None, "a", 20), (2, 5, None, "b", 21), (None, None, None, None, 22)], schema)
+    got = lifecycle.promote(now, new, ["k"], "value", also=("quality",), id_col="id").collect()
+    assert sorted((r.id, r.restates, r.is_current, r.action) for r in got) == [(10, None, True, "kept"), (11, None, False, "superseded"), (12, None, True, "kept"), (21, 11, True, "restated"), (22, None, True, "inserted")]
+
+
+def test_solver_goes_both_ways_and_reports_conflicts(spark):
+    schema = "k int, total_assets double, total_liabilities double, total_financial_assets double, accumulated_surplus double, net_debt double, total_non_financial_assets double"
+    rows = [(1, None, 40.0, 30.0, 60.0, None, None), (2, None, 40.0, 30.0, 60.0, None, 10.0), (3, 100.0, None, None, None, None, None)]
+    got = {(r.k, r.metric): r for r in solver.solve_all(spark.createDataFrame(rows, schema), ["k"]).collect()}
+    assert (got[(1, "total_assets")].value, got[(1, "net_debt")].value, got[(1, "total_non_financial_assets")].value, got[(1, "debt_to_assets")].value) == (100.0, 10.0, 70.0, 0.4)
+    assert got[(2, "total_assets")].conflict and got[(2, "total_assets")].value is None
+    assert {m for k, m in got if k == 3} == {"total_assets"}
