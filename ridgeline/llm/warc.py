@@ -86,11 +86,12 @@ def record_bytes(page, url, payload: bytes | None, size: int, digest: str, refer
     return press.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + press.flush()
 
 
-def write(records: DataFrame, to: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Write and commit the archive; returns its manifest (shard, roll, temporary, name, records, bytes, sha256)."""
+def write(records: DataFrame, to: str, roll_bytes: int = ROLL_BYTES, total: int | None = None) -> DataFrame:
+    """Write and commit the archive; returns its manifest (shard, part, roll, temporary, name, records, bytes, sha256). total: the
+    payloads' bytes, if known; they set the number of tasks."""
     spark = records.sparkSession
     ship(spark)
-    total = records.agg(F.sum("size")).first()[0] or 0
+    total = total if total is not None else records.agg(F.sum("size")).first()[0] or 0
     ordered = records.repartitionByRange(max(1, -(-total // TASK_BYTES)), "shard", "part").sortWithinPartitions("shard", "part", "id", "digest", F.col("refers").desc_nulls_last(), "url")
 
     def run(batches):
@@ -238,4 +239,5 @@ def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
     spark = pages.sparkSession
     to = f"{shared_dir(spark)}/ridgeline/warc-{uuid.uuid4().hex}"
     to = to if ":" in to.split("/")[0] else f"file://{to}"
-    return read(spark, write(plan_records(pages), to), to, payloads)
+    total = pages.agg(F.sum(F.octet_length(blank(F.col("html"))))).first()[0] or 0
+    return read(spark, write(plan_records(pages), to, total=total), to, payloads)
