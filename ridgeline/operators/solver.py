@@ -36,20 +36,22 @@ class Equation:
             return f"{self.parts[0]} / {self.parts[1]}"
         return " + ".join(self.parts) + "".join(f" - {m}" for m in self.minus)
 
-    def value_of(self, metric: str) -> Column:
+    def value_sql(self, metric: str) -> str:
         """The metric from the other operands; null where one is null or a divisor is zero."""
-        col = F.col
         if self.kind == "sum":
-            added, taken = [col(p) for p in self.parts if p != metric], [col(m) for m in self.minus if m != metric]
+            added, taken = [p for p in self.parts if p != metric], [m for m in self.minus if m != metric]
             if metric == self.total:
-                return reduce(lambda a, b: a - b, taken, reduce(lambda a, b: a + b, added))
+                return " - ".join([" + ".join(added), *taken])
             if metric in self.parts:
-                return reduce(lambda a, b: a + b, taken, reduce(lambda a, b: a - b, added, col(self.total)))
-            return reduce(lambda a, b: a - b, taken, reduce(lambda a, b: a + b, added)) - col(self.total)
+                return " + ".join([" - ".join([self.total, *added]), *taken])
+            return " - ".join([" + ".join(added), *taken, self.total])
         over, under = self.parts
         if metric == self.total:
-            return F.try_divide(col(over), col(under))
-        return col(self.total) * col(under) if metric == over else F.try_divide(col(over), col(self.total))
+            return f"try_divide({over}, {under})"
+        return f"{self.total} * {under}" if metric == over else f"try_divide({over}, {self.total})"
+
+    def value_of(self, metric: str) -> Column:
+        return F.expr(self.value_sql(metric))
 
 
 #: Qualities from the strongest to the weakest; an unknown one counts as the strongest.
@@ -100,6 +102,37 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _pass(state: DataFrame, metrics: list[str], equations: tuple[Equation, ...], rel: float, weakness: bool = True) -> DataFrame:
+    """The state after one pass over all equations; _moved tells whether a row found anything.
+
+    Proposals, the first of them and their agreement are columns of their own, each computed once: written out in one
+    another they would grow with the square of a metric's equations.
+    """
+    ordered = sorted(equations, key=lambda e: e.code)
+    found = {m: {e: f"{m}__by_{e.code}" for e in ordered if m in e.operands} for m in metrics if m not in ATTRIBUTES}
+    kept = [c for c in state.columns if c != "_moved"]
+    s = state.selectExpr("*", *[f"CASE WHEN {m} IS NULL THEN {e.value_sql(m)} END AS {v}" for m, es in found.items() for e, v in es.items()])
+    s = s.selectExpr("*", *[f"coalesce({', '.join(es.values())}) AS {m}__first" for m, es in found.items()])
+    near = lambda a, b: f"coalesce(abs({a} - {b}) <= {rel}D * greatest(abs({a}), abs({b})), true)"
+    s = s.selectExpr("*", *[" AND ".join([f"{m}__first IS NOT NULL", *(near(v, f"{m}__first") for v in es.values())]) + f" AS {m}__take" for m, es in found.items()])
+    new = {}
+    for m, es in found.items():
+        case = lambda of, m=m, es=es: f"CASE WHEN NOT {m}__take THEN {of(None)} " + " ".join(f"WHEN {v} IS NOT NULL THEN {of(e)}" for e, v in es.items()) + " END"
+        new[m] = f"if({m}__take, {m}__first, {m})"
+        new[f"{m}__from"] = case(lambda e, m=m: f"'{e.code}'" if e else f"{m}__from")
+        new[f"{m}__odd"] = f"{m}__first IS NOT NULL AND NOT {m}__take"
+        if weakness:
+            new[f"{m}__q"] = case(lambda e, m=m: f"greatest({', '.join(['0', '0', *(f'{o}__q' for o in e.operands if o != m)])})" if e else f"{m}__q")
+    return s.selectExpr(*[f"{new[c]} AS {c}" if c in new else f"`{c}`" for c in kept], " OR ".join(f"{m}__take" for m in found) + " AS _moved")
+
+
+def _cells(state: DataFrame, keys: list[str], metrics: list[str], weakness: bool = True) -> DataFrame:
+    cells = [
+        f"struct('{m}' AS metric, {m} AS value, {m}__from AS equation, {m}__odd AS conflict" + (f", {m}__q AS weakness" if weakness else "") + ")" for m in metrics if m not in ATTRIBUTES
+    ]
+    return state.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({', '.join(cells)}))").filter("value IS NOT NULL OR conflict")
+
+
 def solve_all(wide: DataFrame, keys: list[str], equations: tuple[Equation, ...] = STATEMENT_EQUATIONS, rel: float = 0.02, quality: bool = False) -> DataFrame:
     """`fixpoint` for large catalogs: a pass at a time until none finds anything, however long the chain.
 
@@ -107,32 +140,16 @@ def solve_all(wide: DataFrame, keys: list[str], equations: tuple[Equation, ...]
     observed value is, and a solved one is as weak as the weakest operand that it came from.
     """
     metrics = [m for m in dict.fromkeys(m for e in equations for m in e.operands)]
-    have = [F.col(m).cast("double").alias(m) if m in wide.columns else F.lit(None).cast("double").alias(m) for m in metrics]
-    weak = [(F.col(f"{m}__q") if quality and f"{m}__q" in wide.columns else F.lit(0)).cast("int").alias(f"{m}__q") for m in metrics]
-    state = wide.select(*keys, *have, *weak, *[F.lit(None).cast("string").alias(f"{m}__from") for m in metrics], *[F.lit(False).alias(f"{m}__odd") for m in metrics])
-    ordered = sorted(equations, key=lambda e: e.code)
+    there = set(wide.columns)
+    state = wide.selectExpr(*[f"`{k}`" for k in keys], *[x for m in metrics for x in (
+        f"CAST({m if m in there else 'NULL'} AS DOUBLE) AS {m}", f"CAST({f'{m}__q' if quality and f'{m}__q' in there else '0'} AS INT) AS {m}__q",
+        f"CAST(NULL AS STRING) AS {m}__from", f"false AS {m}__odd",
+    )])
     while True:
-        new, moved = {}, []
-        for m in (m for m in metrics if m not in ATTRIBUTES):
-            found = [(e, e.value_of(m)) for e in ordered if m in e.operands]
-            first = F.coalesce(*[v for _, v in found])
-            pick = lambda of: F.coalesce(*[F.when(v.isNotNull(), of(e)) for e, v in found])  # noqa: B023, E731
-            agreed = reduce(lambda a, b: a & b, [F.coalesce(close(v, first, rel), F.lit(True)) for _, v in found])
-            open_ = F.col(m).isNull() & first.isNotNull()
-            new[m] = F.when(open_ & agreed, first).otherwise(F.col(m))
-            new[f"{m}__from"] = F.when(open_ & agreed, pick(lambda e: F.lit(e.code))).otherwise(F.col(f"{m}__from"))
-            new[f"{m}__q"] = F.when(open_ & agreed, pick(lambda e, m=m: F.greatest(F.lit(0), *[F.col(f"{o}__q") for o in e.operands if o != m]))).otherwise(F.col(f"{m}__q"))
-            new[f"{m}__odd"] = open_ & ~agreed
-            moved.append(open_ & agreed)
-        state = settle(state.withColumns(new | {"_moved": reduce(lambda a, b: a | b, moved)}))
+        state = settle(_pass(state, metrics, equations, rel))
         if state.filter("_moved").limit(1).count() == 0:
             break
-    cells = [
-        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.col(f"{m}__from").alias("equation"), F.col(f"{m}__odd").alias("conflict"), F.col(f"{m}__q").alias("weakness"))
-        for m in metrics
-        if m not in ATTRIBUTES
-    ]
-    return state.select(*keys, F.inline(F.array(*cells))).filter("value IS NOT NULL OR conflict")
+    return _cells(state, keys, metrics)
 
 
 def edges(solved: DataFrame, keys: list[str], equations: tuple[Equation, ...] = STATEMENT_EQUATIONS) -> DataFrame:
@@ -167,23 +184,11 @@ def recompute(values: DataFrame, keys: list[str], rated: tuple[str, ...], equati
 def fixpoint(wide: DataFrame, keys: list[str], equations: tuple[Equation, ...] = EQUATIONS, rel: float = 0.02) -> DataFrame:
     """(keys, metric, value, equation, conflict): each metric that has a value or a conflict; equation is null if observed."""
     metrics = list(dict.fromkeys(m for e in equations for m in e.operands))
-    have = [F.col(m).cast("double").alias(m) if m in wide.columns else F.lit(None).cast("double").alias(m) for m in metrics]
-    none = F.lit(None).cast("string")
-    state = wide.select(*keys, *have, *[none.alias(f"{m}__from") for m in metrics], *[F.lit(False).alias(f"{m}__odd") for m in metrics])
+    there = set(wide.columns)
+    state = wide.selectExpr(*[f"`{k}`" for k in keys], *[x for m in metrics for x in (f"CAST({m if m in there else 'NULL'} AS DOUBLE) AS {m}", f"CAST(NULL AS STRING) AS {m}__from", f"false AS {m}__odd")])
     for _ in equations:
-        new = {}
-        for m in metrics:
-            found = [(e.code, e.value_of(m)) for e in sorted(equations, key=lambda e: e.code) if m in e.operands]
-            first = F.coalesce(*[v for _, v in found])
-            code = F.coalesce(*[F.when(v.isNotNull(), F.lit(c)) for c, v in found])
-            agreed = reduce(lambda a, b: a & b, [F.coalesce(close(v, first, rel), F.lit(True)) for _, v in found])
-            open_ = F.col(m).isNull() & first.isNotNull()
-            new[m] = F.when(open_ & agreed, first).otherwise(F.col(m))
-            new[f"{m}__from"] = F.when(open_ & agreed, code).otherwise(F.col(f"{m}__from"))
-            new[f"{m}__odd"] = open_ & ~agreed
-        state = state.withColumns(new)
-    cells = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.col(f"{m}__from").alias("equation"), F.col(f"{m}__odd").alias("conflict")) for m in metrics]
-    return state.select(*keys, F.inline(F.array(*cells))).filter("value IS NOT NULL OR conflict")
+        state = _pass(state, metrics, equations, rel, weakness=False)
+    return _cells(state, keys, metrics, weakness=False)
 
 
 def failed_checks(wide: DataFrame, keys: list[str], equations: tuple[Equation, ...] = EQUATIONS, rel: float = 0.02) -> DataFrame:

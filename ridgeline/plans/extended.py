@@ -51,8 +51,10 @@ def audit_trail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fill_gaps_promote(spark: SparkSession, d: str) -> DataFrame:
-    staged = table(spark, d, "events").filter("ts >= '2024-01-15'").select(*KEY, F.col("event_id").alias("id"), (F.col("event_id") % 11 / 10).alias("confidence"))
-    return life.fill_gaps(_two_loads(spark, d)[0], staged, KEY)
+    """Readings of the first day are current; of all later ones the surest fill the keys that these lack."""
+    e = table(spark, d, "events").select(*KEY, F.col("event_id").alias("id"), (F.col("event_id") % 11 / 10).alias("confidence"), "ts")
+    current, staged = (e.filter(c).drop("ts") for c in ("ts < '2024-01-02'", "ts >= '2024-01-02'"))
+    return life.fill_gaps(current, staged, KEY)
 
 
 def scoped_wipe(spark: SparkSession, d: str) -> DataFrame:
@@ -301,9 +303,9 @@ SQL = {
     "promote_diff": f"WITH {LOADS_SQL} SELECT * FROM p",
     "promote_idempotent": f"WITH {LOADS_SQL} SELECT 'kept' AS action, count(*) AS n FROM p WHERE is_current",
     "audit_trail": f"""WITH {LOADS_SQL} SELECT user_id, event_type, value, "at", action FROM p WHERE action IN ('inserted', 'restated')""",
-    "fill_gaps_promote": f"""WITH {LOADS_SQL}, s AS (SELECT user_id, event_type, event_id AS id, event_id % 11 / 10 AS confidence FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_id % 11 / 10 >= 0.8
+    "fill_gaps_promote": """WITH s AS (SELECT user_id, event_type, event_id AS id, event_id % 11 / 10 AS confidence FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND event_id % 11 / 10 >= 0.8
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY confidence DESC, event_id DESC) = 1)
-        SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.user_id IS NOT DISTINCT FROM s.user_id AND o.event_type IS NOT DISTINCT FROM s.event_type)""",
+        SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.ts < TIMESTAMP '2024-01-02' AND o.user_id IS NOT DISTINCT FROM s.user_id AND o.event_type IS NOT DISTINCT FROM s.event_type)""",
     "scoped_wipe": """WITH v AS (SELECT event_id, event_type AS source, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS restates FROM events), k AS (SELECT * FROM v WHERE source <> 'error')
         SELECT event_id, source, CASE WHEN restates IN (SELECT event_id FROM k) THEN restates END AS restates FROM k""",
     "upsert_ignore": "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_mktsegment ELSE 'NEW' END AS c_mktsegment, c_acctbal FROM customer",
