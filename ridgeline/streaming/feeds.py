@@ -23,19 +23,55 @@ def once(events: DataFrame, key: str = "event_id", late: str = "2 days") -> Data
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def start_upserts(changes: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str) -> StreamingQuery:
+def _best(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
+
+
+def _folders(spark: SparkSession, path: str) -> tuple[dict[int, str], dict[int, str]]:
+    """The complete folders under path, by number: bases (base=N stands for all batches before N) and batches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, dict[int, str]] = {"base": {}, "batch": {}}
+    for entry in fs.listStatus(at(path)) if fs.exists(at(path)) else []:
+        kind, _, n = entry.getPath().getName().partition("=")
+        if kind in found and fs.exists(at(entry.getPath(), "_SUCCESS")):
+            found[kind][int(n)] = entry.getPath().toString()
+    return found["base"], found["batch"]
+
+
+def _since(bases: dict[int, str], batches: dict[int, str], before: int | None = None) -> list[str]:
+    """What the current table is read from (as of batch `before`): the last base and the batches that it lacks."""
+    last = max((n for n in bases if before is None or n < before), default=None)
+    return ([] if last is None else [bases[last]]) + [p for n, p in sorted(batches.items()) if n >= (last or 0) and (before is None or n < before)]
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        at(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at(p), True)
+
+
+def start_upserts(changes: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, compact_every: int = 32) -> StreamingQuery:
     """Keep each batch's newest reading of every key under path/batch=N; a batch that is run again replaces its own folder.
 
-    `newest` reads the current table from them.
+    After each `compact_every` batches the base before and the batches since become one new base, path/base=N, and what only
+    the base before it stood on goes, so that the folders that `newest` reads stay few. A base counts once it is whole (has its _SUCCESS file); one
+    generation stays behind it, for readers that began before, and for a base that was cut short and is written again.
     """
 
     def write(batch: DataFrame, n: int) -> None:
-        best = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("r")).select("r.*")
-        best.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        spark = batch.sparkSession
+        _best(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        if (n + 1) % compact_every == 0:
+            bases, batches = _folders(spark, path)
+            parts = _since(bases, batches, n + 1)
+            _best(spark.read.schema(batch.schema).parquet(*parts), keys, order).write.mode("overwrite").parquet(f"{path}/base={n + 1}")
+            kept = max((b for b in bases if b < n + 1), default=0)
+            _drop(spark, [p for b, p in bases.items() if b < kept] + [p for b, p in batches.items() if b < kept])
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def newest(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    rows = spark.read.parquet(path).drop("batch")
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
+    """The current table of a feed kept by `start_upserts`."""
+    return _best(spark.read.parquet(*_since(*_folders(spark, path))), keys, order)

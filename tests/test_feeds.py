@@ -125,6 +125,20 @@ def test_streams(spark, tmp_path):
     assert sorted((r.user_id, r.event_id) for r in got) == [(1, 4), (2, 5)]
 
 
+def test_batches_become_bases(spark, tmp_path):
+    path, out, day = str(tmp_path / "events"), str(tmp_path / "versions"), lambda d: dt.datetime(2024, 1, d)
+    _events(spark, path, [[(k, day(k), k % 3, "a", float(k))] for k in range(1, 10)])
+    keys, order = ["user_id", "event_type"], ["ts", "event_id"]
+    changes = streams.read_events(spark, path, "event_id long, ts timestamp, user_id long, event_type string, value double", 1)
+    streams.start_upserts(changes, keys, order, out, str(tmp_path / "c"), compact_every=2).awaitTermination(120)
+    bases, batches = streams._folders(spark, out)
+    assert sorted(bases) == [6, 8] and sorted(batches) == [6, 7, 8]  # one generation stays behind the last base
+    want = [(0, 9), (1, 7), (2, 8)]
+    assert sorted((r.user_id, r.event_id) for r in streams.newest(spark, out, keys, order).collect()) == want
+    (tmp_path / "versions" / "base=8" / "_SUCCESS").unlink()  # a base that was cut short does not count
+    assert sorted((r.user_id, r.event_id) for r in streams.newest(spark, out, keys, order).collect()) == want
+
+
 def test_an_unknown_scale_stops_the_load(spark):
     rows = spark.createDataFrame([("2024-01", "A", "Trips", "dozens", "1", "")], "ref_date string, label string, measure string, scale string, value string, status string")
     good, _ = feeds.statistical_feed(rows, spark.createDataFrame([("A", 5)], "label string, agency_id long"), spark.createDataFrame([("Trips", "ridership")], "measure string, metric string"))
