@@ -137,7 +137,7 @@ def top_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unreported_agencies(spark: SparkSession, d: str) -> DataFrame:
-    late = table(spark, d, "lineitem").filter("l_shipdate >= '2001-06-01'")
+    late = table(spark, d, "lineitem").filter("l_shipdate >= '2001-11-01'")
     return agency(spark, d).join(late, F.col("agency_id") == F.col("l_suppkey"), "left_anti").select("agency_id", "agency_name")
 
 
@@ -195,7 +195,7 @@ SQL = {
         SELECT *, CASE WHEN scanned > 0.5 THEN 'vision' ELSE 'text' END AS route FROM s""",
     "top_pages": """WITH s AS (SELECT source, doc_id, CAST(5 * len(regexp_extract_all(lower(text), 'the')) + least(len(regexp_extract_all(text, '[0-9]+')), 40) AS BIGINT) AS score FROM documents)
         SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS nth FROM s QUALIFY nth <= 3""",
-    "unreported_agencies": f"SELECT agency_id, agency_name FROM ({AGENCY_SQL}) a WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = agency_id AND l_shipdate >= TIMESTAMP '2001-06-01')",
+    "unreported_agencies": f"SELECT agency_id, agency_name FROM ({AGENCY_SQL}) a WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = agency_id AND l_shipdate >= TIMESTAMP '2001-11-01')",
     "hourly_events": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
 QUERIES = {name: globals()[name] for name in SQL}
