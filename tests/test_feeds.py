@@ -190,3 +190,57 @@ def test_solver_goes_both_ways_and_reports_conflicts(spark):
     assert (got[(1, "total_assets")].value, got[(1, "net_debt")].value, got[(1, "total_non_financial_assets")].value, got[(1, "debt_to_assets")].value) == (100.0, 10.0, 70.0, 0.4)
     assert got[(2, "total_assets")].conflict and got[(2, "total_assets")].value is None
     assert {m for k, m in got if k == 3} == {"total_assets"}
+
+
+def test_solver_against_passes_by_hand(spark):
+    """Random cells of the whole catalog, some of them made to disagree: values, equations, conflicts and weakness."""
+    eqs = sorted(solver.STATEMENT_EQUATIONS, key=lambda e: e.code)
+    metrics = list(dict.fromkeys(m for e in solver.STATEMENT_EQUATIONS for m in e.operands))
+
+    def proposal(e, m, v):
+        if any(v[o] is None for o in e.operands if o != m):
+            return None
+        if e.kind == "sum":
+            off = v.get(e.total) if m != e.total else None
+            plus, less = [v[p] for p in e.parts if p != m], [v[p] for p in e.minus if p != m]
+            return sum(plus) - sum(less) if m == e.total else off - sum(plus) + sum(less) if m in e.parts else sum(plus) - sum(less) - off
+        over, under = e.parts
+        if m == over:
+            return v[e.total] * v[under]
+        by = v[under] if m == e.total else v[e.total]
+        return v[over] / by if by else None
+
+    def solve(v, q):
+        source, odd = {}, set()
+        while True:
+            found, odd = {}, set()
+            for m in metrics:
+                if v[m] is None and m not in solver.ATTRIBUTES:
+                    got = [(e, p) for e in eqs if m in e.operands and (p := proposal(e, m, v)) is not None]
+                    if got and all(abs(p - got[0][1]) <= 0.02 * max(abs(p), abs(got[0][1])) for _, p in got):
+                        found[m] = got[0]
+                    elif got:
+                        odd.add(m)
+            if not found:
+                return v, q, source, odd
+            weak = {m: max(0, *(q[o] for o in e.operands if o != m)) for m, (e, _) in found.items()}
+            for m, (e, p) in found.items():
+                v[m], source[m], q[m] = p, e.code, weak[m]
+
+    draw, rows = random.Random(3), []
+    for k in range(60):
+        cells = [float(draw.choice((0, 2, 3, 10, 50, 1000, -7))) if draw.random() < 0.4 else None for _ in metrics]
+        rows.append((k, *cells, *[draw.randrange(4) for _ in metrics]))
+    schema = "k long, " + ", ".join(f"{m} double" for m in metrics) + ", " + ", ".join(f"{m}__q int" for m in metrics)
+    got = {(r.k, r.metric): r for r in solver.solve_all(spark.createDataFrame(rows, schema), ["k"], quality=True).collect()}
+    seen = set()
+    for k, *cells in rows:
+        v, q, source, odd = solve(dict(zip(metrics, cells)), dict(zip(metrics, cells[len(metrics) :])))
+        for m in (m for m in metrics if m not in solver.ATTRIBUTES):
+            r = got.get((k, m))
+            assert (r is not None) == (v[m] is not None or m in odd)
+            if r is not None:
+                assert (r.value is None) == (v[m] is None) and (r.value is None or r.value == pytest.approx(v[m], rel=1e-9, abs=1e-6))
+                assert (r.equation, r.conflict, r.weakness) == (source.get(m), m in odd, q[m])
+                seen.add((r.equation is not None, r.conflict))
+    assert {(True, False), (False, True), (False, False)} <= seen
