@@ -1,9 +1,9 @@
 """Personal data: base kinds by pattern, and terms that reveal them by corpus co-occurrence; DataFrame functions only.
 
 Base kinds (email, ip, card, phone) are found by patterns and checks. Each distinct value is a protected entity. A word
-that stands on an entity's lines, or up to `WINDOW` lines above or below, reveals it by
+that stands on an entity's lines, or up to `window` lines above or below (None: anywhere in its documents), reveals it by
 PMI(entity; term) / IC(entity) = 1 + ln p(entity | term) / -ln p(entity), with p counted over the documents of the whole
-corpus; terms that share at least `SUPPORT` documents with an entity (copies of a line count in each) and whose disclosure
+corpus, of which a row that repeats id and text is one; terms that share at least `SUPPORT` documents with an entity (copies of a line count in each) and whose disclosure
 is `DISCLOSURE` or more are spans too, wherever they occur, and are removed with the entities.
 Words within base spans are not counted, so a name beside its address is scored like any other word.
 
@@ -13,7 +13,8 @@ the plain ones do, but possessively and only at the start of a run, so that very
 Entities in fewer than `SUPPORT` documents have no terms: a smaller `support` protects them, at the price of terms by chance.
 
 Defined cases: null texts are empty (sanitised: null stays null); very long texts are taken whole; equal disclosures tie by
-kind; rows of equal ids get the same terms; empty tables give empty results; extra columns are ignored by `find` and kept
+kind; repeated rows (of equal id and text) count as one document, so they change no term, and get equal results each; rows
+of equal ids and different texts are documents of their own; empty tables give empty results; extra columns are ignored by `find` and kept
 by `sanitize`, whatever their names.
 """
 
@@ -33,7 +34,7 @@ PATTERNS = {
 #: What every text with a match of the kind holds; spares the pattern for most texts.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 SUPPORT = 3
-#: Lines above and below an entity's own that count as beside it.
+#: Lines above and below an entity's own that count as beside it, unless another `window` is given.
 WINDOW = 3
 DISCLOSURE = 0.9
 TERM = r"\p{L}++"
@@ -89,17 +90,18 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(TERM), F.lit(0)))
 
 
-def revealing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def revealing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE, window: int | None = WINDOW) -> DataFrame:
     """(term, kind, disclosure): words that reveal a protected entity somewhere in the corpus."""
     text = blank(F.col(text_col))
     hit = F.lit(False)
     for k, p in PATTERNS.items():
         hit = hit | (F.contains(text, F.lit(NEEDS[k])) & text.rlike(p) if NEEDS[k] else text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"))
-    around = f"array_join(slice(_l, greatest(i + 1 - {WINDOW}, 1), i + 1 + {WINDOW} - greatest(i - {WINDOW}, 0)), '\\n')"
+    around = "array_join(_l, '\\n')" if window is None else f"array_join(slice(_l, greatest(i + 1 - {window}, 1), i + 1 + {window} - greatest(i - {window}, 0)), '\\n')"
     near = F.expr(f"filter(transform(_l, (x, i) -> struct(x as _line, if(x rlike '[0-9@]', {around}, null) as _around)), x -> x._around is not null)")
-    lines = docs.filter(hit).select(F.xxhash64(F.col(id_col), text).alias("_key"), F.split(text, "\n").alias("_l"))
+    key = F.xxhash64(F.col(id_col), text).alias("_key")
+    lines = docs.filter(hit).select(key, F.split(text, "\n").alias("_l"))
     lines = _with_base(lines.select("_key", F.inline(near)), F.col("_line"))
-    kinds = F.concat(*[F.transform(F.col(f"_{k}"), lambda x, k=k: F.struct(F.lit(k).alias("kind"), F.lower(x["m"]).alias("value"))) for k in PATTERNS])
+    kinds = F.concat(*[F.expr(f"transform(_{k}, x -> struct('{k}' as kind, lower(x.m) as value))") for k in PATTERNS])
     near = lines.select("_key", "_around", F.explode(F.array_distinct(kinds)).alias("_entity"))
     seen = near.groupBy("_entity").agg(F.count("*").alias("_few")).filter(F.col("_few") >= support)  # a first sieve; documents are counted below
     near = cut(near.join(small_broadcast(seen.select("_entity")), "_entity", "left_semi"), "pii-lines")
@@ -108,9 +110,14 @@ def revealing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = both.groupBy("_entity", "_key").agg(F.array_distinct(F.flatten(F.collect_list("_words"))).alias("_words"))  # a document counts once
     both = both.select("_entity", F.explode("_words").alias("term")).groupBy("_entity", "term").agg(F.count("*").alias("_n_both")).filter(F.col("_n_both") >= support)
     both = cut(both.join(of, "_entity"), "pii-pairs")
+    copies = cut(docs.select(key).groupBy("_key").agg(F.count("*").alias("_rows")).groupBy(F.when(F.col("_rows") > 1, F.col("_key")).alias("_key")).agg(F.sum("_rows").alias("_rows"), F.count("*").alias("_n")), "pii-rows")
+    n = copies.agg(F.sum("_n")).first()[0]  # documents
+    again = copies.filter("_key IS NOT NULL").select("_key", (F.col("_rows") - 1).alias("_more"))  # rows that repeat one
     df = docs.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("_n_term"))
-    n = docs.count()
-    ic = F.log(F.lit(float(max(n, 1))) / F.col("_n_entity"))
+    more = docs.select(key, text.alias("_t")).join(small_broadcast(again), "_key").dropDuplicates(["_key"])
+    more = more.select("_more", F.explode(_words(F.col("_t"))).alias("term")).groupBy("term").agg(F.sum(-F.col("_more")).alias("_n_term"))
+    df = df.unionByName(more).groupBy("term").agg(F.sum("_n_term").alias("_n_term"))
+    ic = F.log(F.lit(float(n or 1)) / F.col("_n_entity"))
     share = F.when(ic > 0, 1 + F.log(F.least(F.lit(1.0), F.col("_n_both") / F.col("_n_term"))) / ic).otherwise(0.0)
     out = both.join(df, "term").withColumn("disclosure", share).filter(F.col("disclosure") >= disclosure)
     return out.groupBy("term").agg(F.max_by("_entity.kind", F.struct("disclosure", "_entity.kind")).alias("kind"), F.max("disclosure").alias("disclosure"))
@@ -132,19 +139,19 @@ def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return out.withColumn("_terms", _spans("_text", "_m", "_p")).drop("_any", "_pattern", "_m", "_p")
 
 
-def _marked(docs: DataFrame, own: Column, id_col: str, text_col: str) -> DataFrame:
+def _marked(docs: DataFrame, own: Column, id_col: str, text_col: str, window: int | None) -> DataFrame:
     """_doc (own), _id, _text, and the spans of each kind and of terms; no column of docs stands beside them."""
     rows = docs.select(own.alias("_doc"), F.col(id_col).alias("_id"), blank(F.col(text_col)).alias("_text"))
-    return _with_terms(_with_base(rows, F.col("_text")), revealing_terms(docs, id_col, text_col))
+    return _with_terms(_with_base(rows, F.col("_text")), revealing_terms(docs, id_col, text_col, window=window))
 
 
 def _joined(kind: str, spans: str) -> str:
     return f"transform({spans}, x -> concat('{kind}:', x.s, ':', x.e))"
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = WINDOW) -> DataFrame:
     """Per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
-    rows = _marked(docs, F.lit(None), id_col, text_col)
+    rows = _marked(docs, F.lit(None), id_col, text_col, window)
     base = ", ".join(_joined(k, f"_{k}") for k in PATTERNS)
     return rows.select(
         F.col("_id").alias(id_col),
@@ -155,9 +162,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int | None = WINDOW) -> DataFrame:
     """The documents with base spans generalised to their kind, as [EMAIL], and revealing terms removed."""
-    rows = _marked(docs, nested(docs), id_col, text_col)
+    rows = _marked(docs, nested(docs), id_col, text_col, window)
     tagged = ", ".join(f"transform({s}, x -> struct(x.s as s, x.e as e, '{w}' as w))" for s, w in [*((f"_{k}", f"[{k.upper()}]") for k in PATTERNS), ("_terms", "")])
     rows = rows.withColumn("_all", F.expr(f"array_sort(concat({tagged}))"))
     last = "element_at(a, -1)"
