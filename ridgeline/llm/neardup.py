@@ -230,16 +230,17 @@ def _all_pairs(rows: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.nda
 def _large_pairs(rows: np.ndarray, sig: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """The same for a large bucket, by pigeonhole over the chunks that its rows do not share anyway.
 
-    A pair within the guaranteed signature distance differs in at most WIDTH - 2 components of one of these chunks, if there
-    are enough of them, so it shares two components of it."""
+    A pair that shares less than `held` components in each of these chunks differs in WIDTH - held + 1 or more of each, which
+    is beyond DISTANCE if there are enough of them: then all others share `held` components of a chunk."""
     shared = (sig[rows] == sig[rows[0]]).all(0).reshape(CHUNKS, WIDTH).sum(1) >= WIDTH - ERRORS
     chunks = np.flatnonzero(~shared)
-    if len(rows) <= LARGE or CHUNKS * (ERRORS + 1) - 1 >= len(chunks) * (WIDTH - 1):
+    held = next((k for k in (2, 1) if len(chunks) * (WIDTH - k + 1) > DISTANCE), 0)
+    if len(rows) <= LARGE or not held:
         return _all_pairs(rows, comp, n, sketch, percent)
     found = []
     for c in chunks:
-        for p, q in combinations(range(c * WIDTH, (c + 1) * WIDTH), 2):
-            key = (sig[rows, p].astype(np.uint32) << np.uint32(B)) | sig[rows, q]
+        for places in combinations(range(c * WIDTH, (c + 1) * WIDTH), held):
+            key = _keys_of(sig[rows], 0, list(places))
             order = np.argsort(key, kind="stable")
             bounds = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]]))
             here = rows[order]
