@@ -10,10 +10,10 @@ A query whose probed lists hold fewer than k rows asks again in all lists, so k
 Vectors are sent once for each block of queries (a twentieth of the rows ask, so that moves less than sending both vectors
 of each reranked pair).
 
-Defined cases: null vectors, null or non-finite components, zero vectors and vectors of another length than the commonest
-(of which no inner product with most of the rows exists) take no part; of repeated query ids one vector (the least) asks;
-rows of the query's own id are no candidates; ties go to the smaller id; fewer candidates than k are all returned; empty
-tables give empty results; extra columns are ignored.
+Defined cases: null vectors, null or non-finite components and zero vectors take no part; as vectors of different lengths
+have no inner product, each length is a table of its own, indexed one after another, whose queries search its rows; of
+repeated query ids one vector (the least) of each length asks; rows of the query's own id are no candidates; ties go to the
+smaller id; fewer candidates than k are all returned; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ TARGET = 0.96
 CODES = 256
 
 
-def valid(vec: Column, dim: int) -> Column:
+def valid(vec: Column) -> Column:
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(vec) == dim) & fine & F.exists(vec, lambda x: x != 0), F.lit(False))
+    return F.coalesce(fine & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
 def _kmeans(x: np.ndarray, k: int, rng, rounds: int = 8) -> np.ndarray:
@@ -120,19 +120,17 @@ def _best(index: Index, which: int, q_ids, q, ids, codes, x, k: int, rerank: int
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_lists: int | None = None, probes: int | None = 0, rerank: int = RERANK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query by inner product. probes: 0 as the sample asks, None all."""
-    spark = vectors.sparkSession
-    ship(spark)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = vectors.filter(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.size(vec_col).alias("d")).count()
-    common = lengths.filter("d > 0").orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return empty
-    dim = common["d"]
-    shape = lambda df: df.filter(valid(F.col(vec_col), dim) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    rows, asks = shape(vectors), shape(queries).groupBy("id").agg(F.min("vec").alias("vec"))
-    n = rows.count()
-    if not n:
-        return empty
+    ship(vectors.sparkSession)
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shape = lambda df: df.filter(valid(F.col(vec_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    rows, asks = shape(vectors), shape(queries).groupBy("id", F.size("vec").alias("d")).agg(F.min("vec").alias("vec"))
+    for d, n in sorted(tuple(r) for r in rows.groupBy(F.size("vec").alias("d")).count().collect()):  # one row a length
+        out = out.unionByName(_search(rows.filter(F.size("vec") == d), asks.filter(F.col("d") == d).select("id", "vec"), n, k, n_lists, probes, rerank))
+    return out
+
+
+def _search(rows: DataFrame, asks: DataFrame, n: int, k: int, n_lists: int | None, probes: int | None, rerank: int) -> DataFrame:
+    """`search` over n rows (id, vec) of one length."""
     sample = rows.orderBy(F.xxhash64("id", F.lit(2)), "id").limit(SAMPLE).select("vec").toArrow()
     lists = n_lists or int(min(1024, max(1, math.sqrt(n) / 2)))
     sample = _matrix(sample.column(0).combine_chunks())
@@ -203,7 +201,7 @@ def recall(vectors: DataFrame, queries: DataFrame, found: DataFrame, k: int = 20
     dim = queries.filter(F.col(vec_col).isNotNull()).select(F.size(vec_col)).first()
     if dim is None:
         return found.select("query_id", F.lit(1.0).alias("recall")).limit(0)
-    shape = lambda df: df.filter(valid(F.col(vec_col), dim[0])).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    shape = lambda df: df.filter((F.size(vec_col) == dim[0]) & valid(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     asks = shape(queries).toArrow()
     q_ids, q = asks.column("id").to_numpy(), _matrix(asks.column("vec").combine_chunks())
 
