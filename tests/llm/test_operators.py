@@ -132,6 +132,23 @@ def test_ann(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ann_of_several_lengths(spark):
+    """Each length of vectors is searched by itself, exactly; rows repeat, and extra columns bear working names."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8 if i % 3 else 5)]) for i in range(200)] + [(201, [1.0]), (220, [2.0]), (222, [-1.0]), (240, []), (260, [float("inf")] * 8)]
+    rows += [rows[20]] * 3
+    df = spark.createDataFrame([(i, v, "x", "y", "z") for i, v in rows], "vec_id long, embedding array<float>, id string, vec string, code string")
+    got = ann.search(df, df.filter("vec_id % 20 = 0"), n_lists=4, probes=None, rerank=300).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    x = [(i, np.array(np.float32(v), float)) for i, v in rows if v and np.isfinite(v).all()]
+    for q, v in {i: v for i, v in x if i % 20 == 0}.items():
+        want = sorted((-(w * v).sum(), i) for i, w in x if i != q and len(w) == len(v))[:20]
+        assert [i for _, i, _ in sorted(found.pop(q))] == [i for _, i in want]
+    assert not found
+
+
 def test_ann_recall_at_its_defaults(spark):
     """The production setting against brute force over all rows."""
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
@@ -215,6 +232,32 @@ def test_pii_terms(spark):
     assert "lorblax" not in pii.sanitize(df).filter("doc_id = 99").first().text.lower()
 
 
+def test_pii_of_repeated_rows(spark):
+    """Documents counted once however often a row stands: the terms, by brute force over the distinct rows."""
+    rng = random.Random(8)
+    rows = [(i, f"call zorblax or {rng.choice('abc')}quix now {i} at z@corp.example.com") for i in range(6)] + [(10 + i, "call me now at noon") for i in range(40)] + [(99, "who is Zorblax?")]
+    rows += [(3, "another text of id 3 by Zorblax")]  # an id of two documents
+    told = lambda rs, **k: {(r.term, r.kind): round(r.disclosure, 12) for r in pii.revealing_terms(spark.createDataFrame(rs, "doc_id long, text string"), disclosure=0.0, **k).collect()}
+    once = told(rows)
+    assert ("zorblax", "email") in once and told(rows * 3) == once and told(rows + rows[:4] * 7 + rows[20:30] * 2) == once
+    near = {w for i, t in rows[:6] for w in re.findall(r"[^\W\d_]+", re.sub(BASE["email"], " ", t).lower())}
+    n, has = len(rows), {w: sum(w in re.findall(r"[^\W\d_]+", re.sub(BASE["email"], " ", t).lower()) for _, t in rows) for w in near}
+    both = {w: sum(w in re.findall(r"[^\W\d_]+", re.sub(BASE["email"], " ", t).lower()) for _, t in rows[:6]) for w in near}
+    want = {(w, "email"): round(1 + np.log(both[w] / has[w]) / np.log(n / 6), 12) for w in near if both[w] >= 3}
+    assert once.keys() == {k for k, v in want.items() if v >= 0} and all(abs(once[k] - want[k]) < 1e-9 for k in once)
+    thrice = spark.createDataFrame(rows[:-1] * 3, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(thrice).collect()}
+    assert got[99] == "term:7:14" and "zorblax" not in pii.sanitize(thrice).filter("doc_id = 99").first().text.lower()
+
+
+def test_pii_window(spark):
+    far = "\n".join(["z@corp.example.com", *["."] * 5, "Zorblax"])
+    rows = [(i, f"{i}\n{far}") for i in range(6)] + [(10 + i, "other words") for i in range(40)] + [(99, "Zorblax")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    last = lambda **k: {r.doc_id: r.spans for r in pii.find(df, **k).collect()}[99]
+    assert (last(), last(window=5), last(window=6), last(window=None)) == ("", "", "term:0:7", "term:0:7")
+
+
 def test_pii_names_beside_their_address(spark):
     rows = [(i, f"note {i} from Jane Doe <jane.doe@acme.org> of Acme") for i in range(6)] + [(10 + i, f"a note {i} of another kind from us") for i in range(40)]
     rows += [(98, "jane.doe@acme.org"), (99, "ask Jane or Mr Doe at Acme")]
@@ -467,6 +510,55 @@ def test_near_duplicates_in_large_buckets(docs, monkeypatch):
     assert sorted(map(tuple, neardup.near_duplicates(docs).collect())) == want
 
 
+@pytest.mark.parametrize("alike", [0, 1, 2, 3, 4, 6])
+def test_pairs_of_large_buckets_are_whole(alike):
+    """A bucket of 700 rows that agree in some chunks, default constants: no pair within DISTANCE is lost, wherever its
+    components differ."""
+    rng = np.random.default_rng(alike)
+    sig = rng.integers(0, 2**16, (700, neardup.COMPONENTS), dtype=np.uint16)
+    sig[:, : alike * neardup.WIDTH] = sig[0, : alike * neardup.WIDTH]
+    n, comp, sketch = np.full(700, 100_000), np.arange(700), np.zeros((700, neardup.SKETCH), np.uint8)
+    free, pairs = np.arange(alike * neardup.WIDTH, neardup.COMPONENTS), []
+    for k in range(300):
+        a, b = 2 * k, 2 * k + 1
+        sig[b] = sig[a]
+        most = min(neardup.DISTANCE, len(free))
+        if k % 2:  # evenly over the chunks, where the pigeonhole holds least
+            places = np.concatenate([free[j :: neardup.WIDTH] for j in range(neardup.WIDTH)])[: most - k % 4]
+        else:
+            places = rng.choice(free, most, replace=False)
+        sig[b, places] += np.uint16(1)
+        pairs.append((a, b))
+    found = {tuple(sorted(p)) for x, y in neardup._large_pairs(np.arange(700), sig, comp, n, sketch, 80) for p in zip(x.tolist(), y.tolist())}
+    assert set(pairs) <= found
+
+
+def test_near_duplicates_of_the_test_table(spark):
+    """All links of sf0.01 by brute force over all pairs with a shingle in common: none is lost, none is made up."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets, holders = {}, {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
+        sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    both = Counter((a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1 :])
+    top = {i: i for i in sets}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for (a, b), n in both.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((root(a), root(b)))
+            top[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert got == {i: (len(s), root(i)) for i, s in sets.items()} and len({c for _, c in got.values()}) < len(rows)
+
+
 def test_near_duplicates_in_small_blocks(docs, monkeypatch):
     want = sorted(map(tuple, neardup.near_duplicates(docs).collect()))
     monkeypatch.setattr(neardup, "BLOCK", 5)
