@@ -28,7 +28,7 @@ FAMILIES = (
     ("total_non_financial_assets", "tangible_capital_assets", "other_non_financial_assets"),
 )
 #: Metrics whose accounting basis tells cohorts of a scope apart.
-EXPENSES = ("operating_expenses", "labour_cost", "energy_fuel_cost", "materials_services_cost", "amortization", "other_operating_expenses")
+EXPENSES = ("operating_expenses", "labour_cost", "energy_fuel_cost", "materials_services_cost", "other_operating_expenses", "total_expenses")
 
 
 def cohort_failures(values: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ import tempfile
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions.periods import close
@@ -91,14 +91,22 @@ STATEMENT_EQUATIONS = (
 ATTRIBUTES = ("service_area_population",)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; on local masters without one it is made."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-ridgeline-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """df by a reliable checkpoint, so that a loop's plan stays small; on local masters without a folder one is made."""
+    """df by a reliable checkpoint in the shared folder, so that a loop's plan stays small."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if base is None and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-ridgeline-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -85,14 +85,6 @@ def conversion_funnel_once(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
-def lineage_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Derived metrics to all their direct and indirect inputs: the equations' edges, walked to the end."""
-    edges = spark.createDataFrame([(e.code, p) for e in solver.EQUATIONS if e.kind == "ratio" for p in e.parts] + [("operating_deficit", "operating_expenses"), ("operating_deficit", "recovery_ratio")], "metric string, input string")
-    edges.createOrReplaceTempView("lineage_edges_view")
-    return spark.sql("""WITH RECURSIVE walk (metric, input) AS (SELECT metric, input FROM lineage_edges_view
-        UNION ALL SELECT w.metric, e.input FROM walk w JOIN lineage_edges_view e ON e.metric = w.input) SELECT DISTINCT metric, input FROM walk""")
-
-
 def _partly_hidden(spark: SparkSession, d: str) -> DataFrame:
     """Monthly rows that lack trips in every third month (cost per trip is there instead) and, where the agency's id is a
     multiple of 4, expenses (fares and deficit are there instead)."""
@@ -312,9 +304,6 @@ SQL = {
     "coalesce_update": "SELECT c_custkey, CASE WHEN c_custkey % 15 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer",
     "period_dedupe_min_id": "SELECT o_orderkey, o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, min(o_orderkey) OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate)) AS canonical_id FROM orders",
     "conversion_funnel_once": "SELECT user_id, event_type, ts AS first_at, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
-    "lineage_closure": """WITH RECURSIVE e(metric, input) AS (VALUES ('cost_per_trip', 'operating_expenses'), ('cost_per_trip', 'ridership'), ('recovery_ratio', 'farebox_revenue'), ('recovery_ratio', 'operating_expenses'),
-        ('trips_per_hour', 'ridership'), ('trips_per_hour', 'revenue_service_hours'), ('operating_deficit', 'operating_expenses'), ('operating_deficit', 'recovery_ratio')),
-        w AS (SELECT * FROM e UNION SELECT w.metric, e.input FROM w JOIN e ON e.metric = w.input) SELECT DISTINCT metric, input FROM w""",
     "solve_chain_fixpoint": _solve(),
     "cross_check_failures": f"SELECT agency_id, month, 'cost_per_trip' AS equation, 'cross_source_disagreement' AS flag FROM ({M_SQL}) WHERE agency_id % 7 = 0 AND ridership <> 0",
     "row_flags": f"""WITH y AS ({BASE_SQL['year_over_year']}), f AS (SELECT agency_id, metric, start_year, concat_ws(',', CASE WHEN prior <> 0 AND abs(value - prior) > 0.5 * abs(prior) THEN 'yoy_spike' END,

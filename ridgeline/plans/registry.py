@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from ridgeline.plans import catalog, extended, review, stores
+from ridgeline.plans import catalog, documents, extended, figures, review, stores
 
-QUERIES = catalog.QUERIES | extended.QUERIES | review.QUERIES | stores.QUERIES
-SQL = catalog.SQL | extended.SQL | review.SQL | stores.SQL
+QUERIES = catalog.QUERIES | extended.QUERIES | review.QUERIES | stores.QUERIES | documents.QUERIES | figures.QUERIES
+SQL = catalog.SQL | extended.SQL | review.SQL | stores.SQL | documents.SQL | figures.SQL

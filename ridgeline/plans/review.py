@@ -204,9 +204,10 @@ def file_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def schema_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Digest of a table's sorted column names: a changed schema shows."""
-    names = [(t, "\n".join(sorted(table(spark, d, t).columns))) for t in ("documents", "events", "labels", "pages")]
-    return spark.createDataFrame(names, "name string, columns string").select("name", F.sha2("columns", 256).alias("fingerprint"))
+    """Digest of the sorted fields of an event type's properties: a feed whose fields change shows."""
+    rows = table(spark, d, "events").select("event_type", F.explode(F.json_object_keys("props")).alias("field")).distinct()
+    fields = rows.groupBy("event_type").agg(F.array_join(F.sort_array(F.collect_list("field")), "\n").alias("f"))  # a feed's fields
+    return fields.select(F.col("event_type").alias("name"), F.sha2("f", 256).alias("fingerprint"))
 
 
 def statement_routes(spark: SparkSession, d: str) -> DataFrame:
@@ -426,8 +427,8 @@ SQL = {
         CASE WHEN o_orderkey % 3 <> 0 THEN least(CAST(0.8 AS DOUBLE), o_orderkey % 10 / 10) ELSE CAST(0.8 AS DOUBLE) END AS confidence FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 7 <> 0""",
     "quote_checks": """SELECT l_orderkey % 5 AS kind, CASE l_orderkey % 5 WHEN 0 THEN 'missing' WHEN 4 THEN 'mismatch' ELSE 'supported' END AS support, count(*) AS n FROM lineitem GROUP BY ALL""",
     "file_classes": """SELECT page_id, CASE WHEN contains(url, '?page=') THEN 'paged' WHEN contains(url, '#') THEN 'anchor' ELSE 'plain' END AS kind, TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS number FROM pages""",
-    "schema_fingerprints": """SELECT table_name AS name, sha256(string_agg(column_name, chr(10) ORDER BY column_name)) AS fingerprint FROM information_schema.columns
-        WHERE table_name IN ('documents', 'events', 'labels', 'pages') GROUP BY table_name""",
+    "schema_fingerprints": """SELECT event_type AS name, sha256(string_agg(field, chr(10) ORDER BY field)) AS fingerprint
+        FROM (SELECT DISTINCT event_type, unnest(json_keys(props)) AS field FROM events) GROUP BY event_type""",
     "statement_routes": """WITH t AS (SELECT doc_id, contains(lower(coalesce(text, '')), 'sha') AS a, contains(lower(coalesce(text, '')), 'rin') AS b FROM documents)
         SELECT doc_id, CASE WHEN a AND b THEN 'both' WHEN a THEN 'operations' WHEN b THEN 'position' ELSE 'general' END AS route FROM t""",
     "paragraph_chunks": """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(p) AS body, generate_subscripts(p, 1) - 1 AS i FROM s),

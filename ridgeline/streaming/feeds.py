@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -51,16 +53,57 @@ def _drop(spark: SparkSession, paths: list[str]) -> None:
         at(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at(p), True)
 
 
+class Fenced(RuntimeError):
+    """Another query writes to this folder now."""
+
+
+def _file(spark: SparkSession, path: str, text: str | None = None) -> str | None:
+    """The text of a small file, or null if there is none; with text, the file is written anew."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if text is not None:
+        out = fs.create(at, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return text
+    return "".join(r.value for r in spark.read.text(path).collect()) if fs.exists(at) else None
+
+
+def _committed(spark: SparkSession, checkpoint: str) -> int:
+    """The last batch that a checkpoint has committed, or -1."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [e.getPath().getName() for e in fs.listStatus(at)] if fs.exists(at) else []
+    return max((int(n) for n in names if n.isdigit()), default=-1)
+
+
 def start_upserts(changes: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, compact_every: int = 32) -> StreamingQuery:
     """Keep each batch's newest reading of every key under path/batch=N; a batch that is run again replaces its own folder.
 
+    N goes on over all checkpoints: a query whose checkpoint is new, or after which another query wrote, goes on behind the
+    last folder and keeps that start in its checkpoint, so neither does it replace the other's batches nor are its own taken
+    for what a base has. The
+    query that started last writes: its name is in path/writer, and a query that finds another name there fails before it
+    writes (one that was past that look may still write the folder of its own number, which holds its own readings only).
+
     After each `compact_every` batches the base before and the batches since become one new base, path/base=N, and what only
     the base before it stood on goes, so that the folders that `newest` reads stay few. A base counts once it is whole (has its _SUCCESS file); one
     generation stays behind it, for readers that began before, and for a base that was cut short and is written again.
     """
-
-    def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
+    spark, name = changes.sparkSession, uuid.uuid4().hex
+    bases, batches = _folders(spark, path)
+    top, done = max([*bases, *(n + 1 for n in batches)], default=0), _committed(spark, checkpoint)
+    begun = _file(spark, f"{checkpoint}/ridgeline-first")
+    first = 0 if begun is None else int(begun)
+    if begun is None or top > first + done + 2:  # beyond a batch of its own that was written and not committed
+        first = top - done - 1
+        _file(spark, f"{checkpoint}/ridgeline-first", str(first))
+    _file(spark, f"{path}/writer", name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, n = batch.sparkSession, first + number
+        if _file(spark, f"{path}/writer") != name:
+            raise Fenced(f"another query writes to {path}")
         _best(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={n}")
         if (n + 1) % compact_every == 0:
             bases, batches = _folders(spark, path)
