@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +67,73 @@ def compact(value: Column) -> Column:
     return F.when(value >= 1000000, million).when(value >= 100000, thousand).otherwise((F.floor(value * 100 + 0.5) / 100).cast("decimal(18,2)").cast("string"))
 
 
+def _decimals(value: Column, most: int, least: int = 0) -> Column:
+    """Digits with grouped thousands, rounded half away from zero to `most` decimals; zeros beyond `least` are left out."""
+    out = F.format_number(F.round(value.cast("decimal(30,9)"), most), most)
+    if most == least:
+        return out
+    return F.regexp_replace(F.regexp_replace(out, "(?<=[.][0-9]{%d}[0-9]{0,9})0+$" % least, ""), "[.]$", "")
+
+
+def short_number(value: Column) -> Column:
+    """120K, 1.42M, 3B: the largest of thousands to trillions that leaves one or more, to two decimals."""
+    size, out = F.abs(value), F.concat(_decimals(value / 1e3, 2), F.lit("K"))
+    for least, by, letter in ((999_995.0, 1e6, "M"), (999_995e3, 1e9, "B"), (999_995e6, 1e12, "T")):  # what rounds up to the next
+        out = F.when(size >= least, F.concat(_decimals(value / by, 2), F.lit(letter))).otherwise(out)
+    return out
+
+
+#: From this size on numbers are shortened.
+SHORT_FROM = 100_000
+
+
+def format_value(value: Column, unit: Column, short: bool = False) -> Column:
+    """A value as its unit is printed; with `short`, numbers and money of 100,000 or more are shortened. Null stays null.
+
+    CAD and USD are both $, with cents only if there are any; percentages and trips an hour have one decimal at most, years
+    always one; other numbers have two at most.
+    """
+    size = F.abs(value)
+    number = F.when(F.lit(short) & (size >= SHORT_FROM), short_number(value)).otherwise(_decimals(value, 2))
+    sign = F.when(value < 0, "-").otherwise("")
+    money = F.when(F.lit(short) & (size >= SHORT_FROM), short_number(size)).when(size == F.floor(size), _decimals(size, 0)).otherwise(_decimals(size, 2, 2))
+    return (
+        F.when(unit.isin("CAD", "USD"), F.concat(sign, F.lit("$"), money)).when(unit == "%", F.concat(_decimals(value, 1), F.lit("%"))).when(unit == "count", number)
+        .when(unit == "hours", F.concat(number, F.lit(" hrs"))).when(unit == "km", F.concat(number, F.lit(" km"))).when(unit == "years", F.concat(F.replace(_decimals(value, 1, 1), F.lit(","), F.lit("")), F.lit(" yrs")))
+        .when(unit.isin("CAD/hr", "USD/hr"), F.concat(F.lit("$"), _decimals(value, 2), F.lit("/hr"))).when(unit == "trips/hr", _decimals(value, 1))
+        .otherwise(F.concat_ws(" ", _decimals(value, 2), F.nullif(unit, F.lit(""))))
+    )
+
+
+def format_change(percent: Column) -> Column:
+    """4.2%: the size alone, with one decimal; an arrow beside it tells the sign."""
+    return F.concat(F.replace(_decimals(F.abs(percent), 1, 1), F.lit(","), F.lit("")), F.lit("%"))
+
+
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters whose compatible decomposition has one ASCII character, and those whose has several, by rule."""
+    one, several = {}, {}
+    for code in [*range(0xA0, 0x2200), *range(0x2460, 0x2500), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if plain:
+            (one if len(plain) == 1 else several)[chr(code)] = plain
+    return one, several
+
+
+def ascii_fold(text: Column) -> Column:
+    """A text in ASCII: letters by their compatible decomposition (é is e, ﬁ is fi), everything that has none is left out."""
+    one, several = _folds()
+    rare = f"[{''.join(several)}]"
+    spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in several.items() for x in kv]), c), c)), "")
+    text = F.translate(F.when(text.rlike(rare), spelt).otherwise(text), "".join(one), "".join(one.values()))
+    return F.regexp_replace(text, "[^\\x00-\\x7F]", "")
+
+
+def ascii_slug(text: Column) -> Column:
+    """`slug` for any text: folded to ASCII first, so a letter without decomposition is left out and cuts no word."""
+    return F.regexp_replace(F.regexp_replace(F.lower(ascii_fold(text)), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
 def printed_digits(quote: Column, printed: Column) -> Column:
     """Whether a quote holds a value's digits, first as printed, then without points and spaces."""
     bare = lambda c: F.regexp_replace(c, "[^0-9]", "")

@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.operators.solver import STATEMENT_EQUATIONS, Equation, failed_checks, solve_all
+from ridgeline.operators.solver import ATTRIBUTES, STATEMENT_EQUATIONS, Equation, failed_checks, settle, solve_all
 
 #: Fixed values: (anchor, what it should be as added and taken parts, share of the anchor by which it may be off).
 IDENTITIES = (
@@ -31,16 +31,22 @@ FAMILIES = (
 EXPENSES = ("operating_expenses", "labour_cost", "energy_fuel_cost", "materials_services_cost", "other_operating_expenses", "total_expenses")
 
 
+def cohorts(values: DataFrame, keys: list[str]) -> DataFrame:
+    """values (keys, scope, basis, metric, value) by cohort: a scope's expenses by their basis, and all its other values in
+    each of these; without expenses a scope is one cohort, `operating`."""
+    expense = F.col("metric").isin(*EXPENSES)
+    bases = values.filter(expense).select(*keys, "scope", "basis").distinct()
+    bases = values.select(*keys, "scope").distinct().join(bases, [*keys, "scope"], "left").withColumn("basis", F.coalesce("basis", F.lit("operating")))
+    return values.withColumn("_own", F.when(expense, F.col("basis"))).drop("basis").join(bases, [*keys, "scope"]).filter(F.col("_own").isNull() | (F.col("_own") == F.col("basis")))
+
+
 def cohort_failures(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, scope, basis, metric): the values that take part in an identity, family or bound that does not hold.
 
     values: keys, scope, basis, metric, value. A scope's cohorts are one for each basis of its expense values; its other
     values join each of them. What lacks an operand is not checked.
     """
-    expense = F.col("metric").isin(*EXPENSES)
-    bases = values.filter(expense).select(*keys, "scope", "basis").distinct()
-    bases = values.select(*keys, "scope").distinct().join(bases, [*keys, "scope"], "left").withColumn("basis", F.coalesce("basis", F.lit("operating")))
-    rows = values.withColumn("_own", F.when(expense, F.col("basis"))).drop("basis").join(bases, [*keys, "scope"]).filter(F.col("_own").isNull() | (F.col("_own") == F.col("basis")))
+    rows = cohorts(values, keys)
     metrics = list(dict.fromkeys(m for _, what, parts, less, _ in IDENTITIES for m in (what, *parts, *less))) + [m for f in FAMILIES for m in f]
     by = [*keys, "scope", "basis"]
     wide = rows.groupBy(*by).agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in dict.fromkeys(metrics)])
@@ -66,6 +72,44 @@ def reconcile_document(values: DataFrame, keys: list[str], equations: tuple[Equa
     return read.unionByName(solved.select(*keys, "metric", "value", F.lit("derived").alias("kind"), "equation"))
 
 
+#: Equations that the cohorts' identities and families check already.
+CHECKED_BY_COHORTS = (
+    "expense_components", "expense_revenue_subsidy", "earned_revenue_components", "annual_surplus_deficit_def", "total_assets_identity", "accumulated_surplus_identity",
+    "net_debt_def", "financial_assets_components", "liabilities_components", "non_financial_assets_components",
+)
+
+
+def reconcile_statement(values: DataFrame, keys: list[str], equations: tuple[Equation, ...] = STATEMENT_EQUATIONS) -> DataFrame:
+    """(keys, scope, basis, metric, value, kind, equation, flags): a document's readings (keys, scope, basis, metric, value),
+    each with the flags of what it takes part in, and what the sums determine but nobody printed.
+
+    Readings are `read`, with sum_mismatch from their cohorts' identities and the flags of the other equations that do not
+    hold once a cohort is solved. Sums' back-solves are `derived`, with the scope and basis of their cohort; ratios are left
+    to the recomputation.
+    """
+    by = [*keys, "scope", "basis"]
+    metrics = list(dict.fromkeys(m for e in equations for m in e.operands))
+    rows = cohorts(values, keys)
+    wide = rows.groupBy(*by).agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
+    solved = settle(solve_all(wide, by, equations))
+    whole = solved.groupBy(*by).agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
+    whole = whole.drop(*ATTRIBUTES).join(wide.select(*by, *ATTRIBUTES), by)
+    others = tuple(e for e in equations if e.code not in CHECKED_BY_COHORTS)
+    operands = F.create_map(*[x for e in equations for x in (F.lit(e.code), F.array(*map(F.lit, e.operands)))])
+    failed = failed_checks(whole, by, others).select(*by, F.explode(F.element_at(operands, F.col("equation"))).alias("metric"), "flag")
+    flags = cohort_failures(values, keys).withColumn("flag", F.lit("sum_mismatch")).unionByName(failed)
+    # back to the readings of a cohort: expenses have its basis, all others are in each cohort of their scope
+    expense = F.col("metric").isin(*EXPENSES)
+    flags = flags.withColumn("_basis", F.when(expense, F.col("basis"))).groupBy(*keys, "scope", "_basis", "metric").agg(F.array_sort(F.collect_set("flag")).alias("flags"))
+    read = values.withColumn("_basis", F.when(expense, F.coalesce("basis", F.lit("operating"))))
+    flags = flags.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "scope", "metric")], F.col("_basis").alias("_of"), "flags")
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in (*keys, "scope", "metric")], F.col("_basis").eqNullSafe(F.col("_of")))
+    read = read.join(flags, same, "left").select(*by, "metric", "value", F.lit("read").alias("kind"), F.lit(None).cast("string").alias("equation"), F.coalesce("flags", F.array().cast("array<string>")).alias("flags"))
+    sums = [e.code for e in equations if e.kind == "sum"]
+    derived = solved.filter(F.col("equation").isin(*sums)).select(*by, "metric", "value", F.lit("derived").alias("kind"), "equation", F.array().cast("array<string>").alias("flags"))
+    return read.unionByName(derived)
+
+
 def validate(rows: DataFrame, *validators: Callable[[], Column], into: str = "flags") -> DataFrame:
     """Adds the flags that the validators (each a column of one flag or null) find, in their order."""
     return rows.withColumn(into, F.array_distinct(F.array_compact(F.array(*[v() for v in validators]))))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.operators.solver import settle
+
 
 def _same(left: str, right: str, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
@@ -93,6 +95,17 @@ def number_in_order(rows: DataFrame, by: list[str], bucket: Column, order: list[
     return out.drop("_bucket", "_of", "_before", *[f"_{k}" for k in by])
 
 
+def number_sorted(rows: DataFrame, order: list, name: str = "nth") -> DataFrame:
+    """Adds the row's place (from 1) in any order: rows are sorted over all tasks in ranges, numbered in each, and moved up by
+    the sizes of the ranges before, of which there are as many as tasks. Equal rows are numbered in no particular order."""
+    ranged = rows.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id() % (1 << 33)).alias("_in"))
+    ranged = settle(ranged)
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a task
+    sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(sizes), "_part").withColumn(name, (F.col("_before") + F.col("_in") + 1).cast("long")).drop("_part", "_in", "_before")
+
+
 def stage(pending: DataFrame, rows: DataFrame, bucket: Column, order: list[str], id_col: str = "id") -> DataFrame:
     """Rows to append to pending, with ids that go on from its largest in the given order; their status is pending."""
     top = pending.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import text as tx
 from ridgeline.functions.periods import close
-from ridgeline.operators.lifecycle import number_in_order
+from ridgeline.operators.lifecycle import number_in_order, number_sorted
 
 #: Bases that are no actual figures.
 PLANNED = ("budget", "forecast")
@@ -62,13 +62,10 @@ def code_sets(wanted: DataFrame, got: DataFrame, code: str) -> DataFrame:
 
 
 def get_or_create(have: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """(key, id, created): known keys keep their id, new ones are numbered on from the largest, in key order.
-
-    Meant for dimensions such as periods: the new keys are numbered in one task.
-    """
+    """(key, id, created): known keys keep their id, new ones are numbered on from the largest, in key order."""
     top = have.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    new = wanted.select(key).distinct().join(have, key, "left_anti")
-    new = new.crossJoin(F.broadcast(top)).select(key, (F.col("_top") + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key))).alias("id"), F.lit(True).alias("created"))
+    new = number_sorted(wanted.select(key).distinct().join(have, key, "left_anti").select(key), [key], "_nth")
+    new = new.crossJoin(F.broadcast(top)).select(key, (F.col("_top") + F.col("_nth")).alias("id"), F.lit(True).alias("created"))  # one row
     return have.select(key, "id", F.lit(False).alias("created")).unionByName(new)
 
 

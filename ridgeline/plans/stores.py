@@ -145,8 +145,7 @@ def direction_labels(spark: SparkSession, d: str) -> DataFrame:
 def locale_sorted(spark: SparkSession, d: str) -> DataFrame:
     """Agencies by name as readers sort it, case and accents aside, with their place."""
     rows = agency(spark, d).select("agency_id", "agency_name")
-    ordered = life.number_in_order(rows, [], F.lit(0), [F.collate("agency_name", "UNICODE_CI"), "agency_id"])  # a page's directory
-    return ordered.select("agency_id", F.col("nth").cast("long").alias("nth"))
+    return life.number_sorted(rows, [F.collate("agency_name", "UNICODE_CI"), "agency_id"]).select("agency_id", "nth")
 
 
 def periods_seen(spark: SparkSession, d: str) -> DataFrame:

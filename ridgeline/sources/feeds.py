@@ -12,8 +12,8 @@ PRELIMINARY = ("p", "E")
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All columns as strings; a byte order mark in front of the header does no harm, as the schema names the columns."""
-    return spark.read.csv(path, header=True, enforceSchema=True, schema=", ".join(f"`{c}` string" for c in columns))
+    """All columns as strings; a byte order mark in front of the header does no harm, as the schema names the columns; doubled quotes are one."""
+    return spark.read.csv(path, header=True, enforceSchema=True, escape='"', schema=", ".join(f"`{c}` string" for c in columns))
 
 
 def statistical_feed(rows: DataFrame, agencies: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
