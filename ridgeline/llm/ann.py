@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Coarse centroids and the residuals' codebooks are fitted on a bounded sample (`SAMPLE` vectors of least hash); every valid
-row is indexed. A query probes its best lists; in each, the inner product is read from asymmetric tables (query against
-codebooks), the best `RERANK` rows are scored exactly on the original vectors in double precision, and a query's lists are
-merged at last. Lists are dealt in blocks of at most `BLOCK_ROWS` rows and `BLOCK_QUERIES` queries, so a list that holds a
+row is indexed. A query probes its best lists and those of its k nearest in the sample; in each, the inner product is read
+from asymmetric tables (query against codebooks), and the best `RERANK` rows are scored exactly on the original vectors in
+double precision, as are all others that may be among the k nearest: the k-th score within the sample is a floor of the true
+one, and the tables' largest error on the sample's neighbours is allowed for. So near copies that the tables cannot tell
+apart are all scored. A query's lists are merged at last. Lists are dealt in blocks of at most `BLOCK_ROWS` rows and `BLOCK_QUERIES` queries, so a list that holds a
 third of all rows is many small groups.
 
 A query whose probed lists hold fewer than k rows asks again in all lists, so k are found wherever there are as many.
@@ -32,7 +34,7 @@ BLOCK_ROWS = 4096
 BLOCK_QUERIES = 2048
 RERANK = 60
 #: Share of the true neighbours whose lists are probed, measured on the sample.
-TARGET = 0.96
+TARGET = 0.94
 CODES = 256
 
 
@@ -62,6 +64,8 @@ class Index:
         self.parts = max(p for p in range(1, min(parts, dim) + 1) if dim % p == 0)
         self.coarse = _kmeans(x, min(n_lists, len(x)), rng)
         rest = (x - self.coarse[self.list_of(x)]).reshape(len(x), self.parts, -1)
+        #: The largest error of the tables for a query of length 1, measured by `probes_for`.
+        self.error = 0.0
         self.books = [_kmeans(np.ascontiguousarray(rest[:, p]), min(CODES, len(x)), rng) for p in range(self.parts)]
 
     def list_of(self, x: np.ndarray) -> np.ndarray:
@@ -74,6 +78,22 @@ class Index:
     def probe(self, q: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")[:, :n]
 
+    def probes(self, q: np.ndarray, n: int, sample: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which query probes which list, and each query's floor: less than that is not among its k nearest (itself aside)."""
+        mine = np.zeros((len(q), len(self.coarse)), bool)
+        np.put_along_axis(mine, self.probe(q, n), True, 1)
+        floor = np.full(len(q), -np.inf)
+        if len(sample) > k:
+            of = self.list_of(sample)
+            for s in range(0, len(q), 256):
+                score = q[s : s + 256] @ sample.T
+                near = np.argpartition(-score, k, axis=1)[:, : k + 1]  # it may be one of them
+                floor[s : s + 256] = np.take_along_axis(score, near, 1).min(1)
+                part = mine[s : s + 256]
+                np.put_along_axis(part, of[near], True, 1)
+        i, at = np.nonzero(mine)
+        return i, at, floor - self.error * np.linalg.norm(q, axis=1)
+
     def probes_for(self, sample: np.ndarray, k: int, target: float = TARGET) -> int:
         """The fewest probes that find `target` of the k nearest within the sample, over 256 of its vectors."""
         x = sample.astype(np.float32)
@@ -83,11 +103,20 @@ class Index:
         near = np.argsort(-score, axis=1)[:, : min(k, len(x) - 1)]
         if not near.size:
             return len(self.coarse)
+        told = self.approximate_pairs(np.repeat(q, near.shape[1], 0), x[near.ravel()])
+        size = np.maximum(np.linalg.norm(q, axis=1), 1e-30)[:, None]
+        self.error = float(np.abs((np.take_along_axis(score, near, 1) - told.reshape(near.shape)) / size).max())
         rank = np.empty((len(q), len(self.coarse)), int)
         np.put_along_axis(rank, self.probe(q, len(self.coarse)), np.arange(len(self.coarse))[None, :], 1)
         need = np.sort(np.take_along_axis(rank, self.list_of(x)[near], 1).ravel())
         return int(need[min(len(need) - 1, math.ceil(target * len(need)) - 1)]) + 1
 
+    def approximate_pairs(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Inner products of queries with one row each, as the tables tell them."""
+        lists = self.list_of(x)
+        codes, split = self.encode(x, lists), q.reshape(len(q), self.parts, -1)
+        return (q * self.coarse[lists]).sum(1) + sum((split[:, p] * b[codes[:, p]]).sum(1) for p, b in enumerate(self.books))
+
     def approximate(self, q: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Inner products of queries with the coded rows of one list."""
         split = q.reshape(len(q), self.parts, -1)
@@ -102,7 +131,7 @@ def _matrix(column) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
-def _best(index: Index, which: int, q_ids, q, ids, codes, x, k: int, rerank: int):
+def _best(index: Index, which: int, q_ids, q, floor, ids, codes, x, k: int, rerank: int):
     """Lists of (id, score), best first, of each query among the rows of one block (rows in order of id)."""
     approx = index.approximate(q.astype(np.float32), which, codes)
     approx[q_ids[:, None] == ids[None, :]] = -np.inf
@@ -112,6 +141,8 @@ def _best(index: Index, which: int, q_ids, q, ids, codes, x, k: int, rerank: int
         above = np.flatnonzero(approx[i] > least[i])
         level = np.flatnonzero(approx[i] == least[i])[: n - len(above)]  # of ties the smaller ids
         at = np.concatenate([above, level])
+        if floor[i] < least[i]:
+            at = np.union1d(at, np.flatnonzero(approx[i] >= floor[i]))
         at = at[ids[at] != q_ids[i]]
         score = (x[at] * q[i]).sum(axis=1)
         order = np.lexsort([ids[at], -score])[:k]
@@ -136,7 +167,9 @@ def _search(rows: DataFrame, asks: DataFrame, n: int, k: int, n_lists: int | Non
     sample = _matrix(sample.column(0).combine_chunks())
     index = Index(sample, lists)
     lists = len(index.coarse)
-    n_probes = lists if probes is None else min(lists, probes or index.probes_for(sample, k))
+    fitted = index.probes_for(sample, k)
+    n_probes = lists if probes is None else min(lists, probes or fitted)
+    sample = sample.astype(np.float32)
 
     def encode(batches):
         for b in batches:
@@ -151,7 +184,7 @@ def _search(rows: DataFrame, asks: DataFrame, n: int, k: int, n_lists: int | Non
     every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
     def group(table: pa.Table) -> pa.Table:
         kind, ids = table.column("kind").to_numpy(), table.column("id").to_numpy()
-        x = _matrix(table.column("vec").combine_chunks())
+        x, floor = _matrix(table.column("vec").combine_chunks()), table.column("floor").to_numpy()
         here = np.flatnonzero(kind == 1)
         here = here[np.argsort(ids[here], kind="stable")]
         ask = np.flatnonzero(kind == 0)
@@ -160,7 +193,7 @@ def _search(rows: DataFrame, asks: DataFrame, n: int, k: int, n_lists: int | Non
             codes = np.frombuffer(b"".join(table.column("code").take(pa.array(here)).to_pylist()), np.uint8).reshape(len(here), -1)
             for s in range(0, len(ask), 256):
                 q = ask[s : s + 256]
-                for i, (found, score) in zip(q, _best(index, table.column("list")[0].as_py(), ids[q], x[q], ids[here], codes, x[here], k, rerank), strict=True):
+                for i, (found, score) in zip(q, _best(index, table.column("list")[0].as_py(), ids[q], x[q], floor[q], ids[here], codes, x[here], k, rerank), strict=True):
                     for c, v in zip(out, (int(ids[i]), found, score), strict=True):
                         c.append(v)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64())), "scores": pa.array(out[2], pa.list_(pa.float64()))})
@@ -171,16 +204,15 @@ def _search(rows: DataFrame, asks: DataFrame, n: int, k: int, n_lists: int | Non
         def probe(batches):
             for b in batches:
                 if b.num_rows:
-                    at = index.probe(_matrix(b.column(1)).astype(np.float32), n_probes)
-                    take = pa.array(np.repeat(np.arange(b.num_rows), n_probes))
-                    yield pa.RecordBatch.from_arrays([pa.array(at.ravel().astype(np.int32)), b.column(0).take(take), b.column(1).take(take)], names=["list", "id", "vec"])
+                    i, at, floor = index.probes(_matrix(b.column(1)).astype(np.float32), n_probes, sample, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(floor[i].astype(np.float64))], names=["list", "id", "vec", "floor"])
 
-        probing = cut(asks.mapInArrow(probe, "list int, id long, vec array<double>"), "ann-probes")
+        probing = cut(asks.mapInArrow(probe, "list int, id long, vec array<double>, floor double"), "ann-probes")
         # at most `lists` rows each
         blocks = coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_rows"))
         blocks = cut(blocks.join(F.broadcast(probing.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("_asks"))), "list"), "ann-blocks")
-        a = coded.join(F.broadcast(blocks), "list").select("list", own("_rows").alias("block"), every("_asks").alias("part"), F.lit(1).alias("kind"), "id", "code", "vec")
-        b = probing.join(F.broadcast(blocks), "list").select("list", every("_rows").alias("block"), own("_asks").alias("part"), F.lit(0).alias("kind"), "id", F.lit(None).cast("binary").alias("code"), "vec")
+        a = coded.join(F.broadcast(blocks), "list").select("list", own("_rows").alias("block"), every("_asks").alias("part"), F.lit(1).alias("kind"), "id", "code", "vec", F.lit(0.0).alias("floor"))
+        b = probing.join(F.broadcast(blocks), "list").select("list", every("_rows").alias("block"), own("_asks").alias("part"), F.lit(0).alias("kind"), "id", F.lit(None).cast("binary").alias("code"), "vec", "floor")
         found = a.unionByName(b).groupBy("list", "block", "part").applyInArrow(group, "query_id long, ids array<long>, scores array<double>")
         found = found.select("query_id", F.expr("transform(arrays_zip(ids, scores), x -> struct(-x.scores as s, x.ids as i))").alias("hits"))
         return found.groupBy("query_id").agg(F.expr(f"slice(array_sort(flatten(collect_list(hits))), 1, {k})").alias("hits"))  # n_probes * blocks * k hits at most
