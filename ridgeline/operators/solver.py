@@ -153,11 +153,14 @@ def solve_all(wide: DataFrame, keys: list[str], equations: tuple[Equation, ...]
         f"CAST({m if m in there else 'NULL'} AS DOUBLE) AS {m}", f"CAST({f'{m}__q' if quality and f'{m}__q' in there else '0'} AS INT) AS {m}__q",
         f"CAST(NULL AS STRING) AS {m}__from", f"false AS {m}__odd",
     )])
-    while True:
+    settled = []
+    while True:  # a row in which a pass finds nothing is done: the next pass takes up the others only
         state = settle(_pass(state, metrics, equations, rel))
-        if state.filter("_moved").limit(1).count() == 0:
+        settled.append(state.filter("NOT _moved"))
+        state = state.filter("_moved")
+        if state.limit(1).count() == 0:
             break
-    return _cells(state, keys, metrics)
+    return _cells(reduce(DataFrame.unionByName, settled), keys, metrics)
 
 
 def edges(solved: DataFrame, keys: list[str], equations: tuple[Equation, ...] = STATEMENT_EQUATIONS) -> DataFrame:
