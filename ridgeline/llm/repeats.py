@@ -5,10 +5,11 @@ windows choose the same anchor at the same place, so suffixes need be sorted onl
 that occur twice. A run of windows with one anchor is a context. Equal contexts are one leaf of the tree with all their
 occurrences, and repeat wholly. Different ones are gathered by anchor; their right-hand sides are sorted (suffix array) with
 their common prefixes, and a stack scan builds the interval tree bottom-up. Joining two intervals at a depth tests
-left-extension diversity: the members, held in order of their reversed left-hand sides, gain new neighbours, and each such
-pair is a maximal repeat of both members. The members of an interval of the suffix array that also form an interval in order
-of their left-hand sides, with such a pair in it, are a maximal repeat group, which `repeat_groups` returns with all its occurrences; a repeat longer than a context (LENGTH to about
-2 LENGTH - GRAM bytes) comes as the chain of its overlapping stretches.
+left-extension diversity: the members, held in order of their reversed left-hand sides, gain new neighbours. The members of
+an interval of the suffix array that also form an interval in order of their left-hand sides, with such a pair in it, are a
+maximal repeat group with all its occurrences: `remove_repeats` takes what the groups of each context cover, and
+`repeat_groups` returns them; a repeat longer than a context (LENGTH to about 2 LENGTH - GRAM bytes) comes as the chain of
+its overlapping stretches.
 
 A group of over MAX_GROUP different contexts is split before it is sorted: LENGTH equal bytes around an anchor hold half of
 what the gram leaves on its left or on its right, so the group falls into those of equal bytes on the right and those of
@@ -92,19 +93,19 @@ def _scan(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return rows.select("rk", "t").mapInArrow(run, "h long, c long, rk long, pk long")
 
 
-def interval_tree(rank: list[int], lcp: list[int], want_nodes: bool = False):
+def interval_tree(rank: list[int], lcp: list[int]):
     """Stack scan of a suffix array: pairs (rank, rank, depth) that become left neighbours as intervals join, and nodes
-    (depth, members, the node's pairs).
+    (depth, first and last place in suffix order, the ranges of the pairs that its own joins made).
 
     rank: the members' places in order of their left-hand sides, in suffix order; lcp[i]: of i-1 and i, -1 between groups.
     """
     pairs: list[tuple[int, int, int]] = []
-    nodes: list[tuple[int, list[int], list[tuple[int, int, int]]]] = []
-    stack: list[list] = []  # [members in order of rank, depth shared with the interval above, depth and pairs of its own]
+    nodes: list[tuple[int, int, int, list[tuple[int, int]]]] = []
+    stack: list[list] = []  # [members in order of rank, depth shared with the interval above, depth and pairs of its own, first place]
 
-    def join() -> None:
+    def join(last: int) -> None:
         above = stack.pop()[0]
-        below, depth, (own_depth, own) = stack[-1]
+        below, depth, (own_depth, own), first = stack[-1]
         small, large = (above, below) if len(above) < len(below) else (below, above)
         known = len(pairs)
         for r in small:
@@ -114,21 +115,21 @@ def interval_tree(rank: list[int], lcp: list[int], want_nodes: bool = False):
             if k < len(large):
                 pairs.append((r, large[k], depth))
             large.insert(k, r)
-        own = (own if own_depth == depth else []) + pairs[known:] if want_nodes else own
+        own = [*(own if own_depth == depth else ()), (known, len(pairs))]
         stack[-1][0], stack[-1][2] = large, (depth, own)
-        if want_nodes and (len(stack) < 2 or stack[-2][1] < depth):
-            nodes.append((depth, list(large), own))
+        if len(stack) < 2 or stack[-2][1] < depth:
+            nodes.append((depth, first, last, own))
 
-    for r, depth in zip(rank, lcp, strict=True):
+    for i, (r, depth) in enumerate(zip(rank, lcp, strict=True)):
         while len(stack) > 1 and stack[-2][1] >= depth:
-            join()
+            join(i - 1)
         if depth < 0:
             stack.clear()
         elif stack:
             stack[-1][1] = depth
-        stack.append([[r], -1, (-1, [])])
+        stack.append([[r], -1, (-1, []), i])
     while len(stack) > 1:
-        join()
+        join(len(rank) - 1)
     return pairs, nodes
 
 
@@ -155,6 +156,27 @@ def _common(m: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np
     return out
 
 
+class _Least:
+    """Least values of ranges of an array, by a table of the ranges whose length is a power of two."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while len(self.levels[-1]) > 1 << (len(self.levels) - 1):
+            half = 1 << (len(self.levels) - 1)
+            last = self.levels[-1]
+            self.levels.append(np.minimum(last[: len(last) - half], last[half:]))
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of each range first..last, none of them empty."""
+        out = np.empty(len(first), self.levels[0].dtype)
+        level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            row = self.levels[k]
+            out[at] = np.minimum(row[first[at]], row[last[at] - (1 << int(k)) + 1])
+        return out
+
+
 def _intervals(common: list[int], least: int):
     """(depth, first, last) of the intervals of at least that depth; common[i]: of i and i+1."""
     stack: list[tuple[int, int]] = []
@@ -168,8 +190,9 @@ def _intervals(common: list[int], least: int):
             stack.append((depth, first))
 
 
-def suffix_groups(group: np.ndarray, left: list[bytes], right: list[bytes], length: int, want_nodes: bool = False):
-    """Repeats among contexts of equal anchors: (x, y, left, right) of maximal pairs at least `length` long, and nodes.
+def suffix_groups(group: np.ndarray, left: list[bytes], right: list[bytes], length: int):
+    """Maximal repeat groups among contexts of equal anchors: (left, right, members) that agree in so many bytes before and
+    from the anchor on, at least `length` together, and of which two become neighbours where intervals of the suffix array join.
 
     left, right: the bytes before each anchor and from it on; group: which anchors are equal (ascending)."""
     r_bytes, r_size = _padded(right, max(map(len, right)))
@@ -177,24 +200,28 @@ def suffix_groups(group: np.ndarray, left: list[bytes], right: list[bytes], leng
     order, by_left = _order(group, r_bytes), _order(group, l_bytes)
     rank = np.empty(len(order), np.int64)
     rank[by_left] = np.arange(len(order))
+    rank = rank[order]  # of the suffixes in order
     lcp = np.full(len(order), -1)
     lcp[1:] = _common(r_bytes, r_size, order[:-1], order[1:])
     lcp[1:][group[order[1:]] != group[order[:-1]]] = -1
-    pairs, nodes = interval_tree(rank[order].tolist(), lcp.tolist(), want_nodes)
+    beside = np.full(len(order), -1)  # what neighbours in order of the left-hand sides have in common
+    beside[1:] = _common(l_bytes, l_size, by_left[:-1], by_left[1:])
+    beside[1:][group[by_left[1:]] != group[by_left[:-1]]] = -1
+    shared_left = _Least(beside)
+    pairs, nodes = interval_tree(rank.tolist(), lcp.tolist())
     x, y, depth = np.array(pairs, np.int64).reshape(-1, 3).T
-    x, y = by_left[x], by_left[y]
-    common = _common(l_bytes, l_size, x, y)
-    ok = common + depth >= length
-    found = []
-    for depth_of, members, own in nodes:
-        members = np.array(members)
-        at = by_left[members]
-        near = _common(l_bytes, l_size, at[:-1], at[1:])
-        p, q = np.sort(np.searchsorted(members, np.array(own)[:, :2]), axis=1).T
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    long = np.append(0, np.cumsum(shared_left.of(x + 1, y) + depth >= length)) if len(x) else np.zeros(1, np.int64)
+    for depth_of, first, last, own in nodes:
+        if not any(long[hi] > long[lo] for lo, hi in own):  # no pair of its own is a repeat of `length`
+            continue
+        members = np.sort(rank[first : last + 1])
+        near = shared_left.of(members[:-1] + 1, members[1:])
+        mine = np.concatenate([np.arange(lo, hi) for lo, hi in own])
+        p, q = np.searchsorted(members, x[mine]), np.searchsorted(members, y[mine])
         for shared, low, high in _intervals(near.tolist(), length - depth_of):
             if ((p >= low) & (q <= high)).any():  # members of different intervals of the suffix array
-                found.append((shared, depth_of, at[low : high + 1]))
-    return (x[ok], y[ok], common[ok], depth[ok]), found
+                yield shared, depth_of, by_left[members[low : high + 1]]
 
 
 def _whole_groups(batches, least: int = 20_000):
@@ -261,23 +288,25 @@ def _split(contexts: DataFrame, length: int, gram: int) -> tuple[DataFrame, Data
             return small, whole
 
 
-def _groups_of(t: pa.Table, length: int, want_nodes: bool):
+def _groups_of(t: pa.Table, length: int):
     key = t.column("key").to_numpy()
     group = np.cumsum(np.append(0, key[1:] != key[:-1]))
-    return suffix_groups(group, t.column("left").to_pylist(), t.column("right").to_pylist(), length, want_nodes)
+    return suffix_groups(group, t.column("left").to_pylist(), t.column("right").to_pylist(), length)
 
 
 def _tree_marks(contexts: DataFrame, length: int) -> DataFrame:
-    """(rk, s, e): the maximal repeats of the contexts that occur once."""
+    """(rk, s, e): of each context that occurs once, what its repeat groups cover. All of them hold its anchor, so that is one
+    stretch, from the farthest on the left to the farthest on the right."""
 
     def run(batches):
         for t in _whole_groups(batches):
-            (x, y, left, right), _ = _groups_of(t, length, False)
-            a, once, rk = t.column("a").to_numpy(), t.column("n").to_numpy() == 1, t.column("rk").to_numpy()
-            who, left, right = np.append(x, y), np.append(left, left), np.append(right, right)
-            take = once[who]
-            who, left, right = who[take], left[take], right[take]
-            yield pa.RecordBatch.from_arrays([pa.array(rk[who]), pa.array(a[who] - left), pa.array(a[who] + right)], names=["rk", "s", "e"])
+            left, right = np.zeros(t.num_rows, np.int64), np.zeros(t.num_rows, np.int64)
+            for before, after, members in _groups_of(t, length):
+                left[members] = np.maximum(left[members], before)
+                right[members] = np.maximum(right[members], after)
+            a, rk = t.column("a").to_numpy(), t.column("rk").to_numpy()
+            at = np.flatnonzero((left + right > 0) & (t.column("n").to_numpy() == 1))
+            yield pa.RecordBatch.from_arrays([pa.array(rk[at]), pa.array(a[at] - left[at]), pa.array(a[at] + right[at])], names=["rk", "s", "e"])
 
     return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "rk long, s long, e long")
 
@@ -346,10 +375,9 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
 
     def run(batches):
         for t in _whole_groups(batches):
-            _, found = _groups_of(t, length, True)
             h, c, lefts, rights = (t.column(x).to_pylist() for x in ("h", "c", "left", "right"))
             out = []
-            for left, right, at in found:
+            for left, right, at in _groups_of(t, length):
                 one = lefts[at[0]][len(lefts[at[0]]) - left :] + rights[at[0]][:right]
                 name = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True)
                 out += [(name, left + right, h[i], c[i], left) for i in at]
