@@ -1,8 +1,13 @@
 """A training corpus from `documents`: quality, near-dedup, personal data, source mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame, which is written and read
-again as the next stage's docs. All but the last return the columns of documents. Null and empty texts, repeated rows and
-empty tables are defined by the stages' operators.
+again as the next stage's docs. All but the last return the columns of documents.
+
+Defined cases, by stage: null and empty texts are scored like others, linked with nothing, hold no personal data, have size 0
+and so leave at the mixture; very long texts are taken whole throughout; ties: a score of exactly the threshold is kept,
+of equal documents that of the smallest id stays, equal disclosures go by kind, rows of one id are mixed together; repeated
+rows are one group, of which one row stays; empty tables give empty results; extra columns are kept up to the last stage,
+whatever their names.
 """
 
 from __future__ import annotations
