@@ -16,8 +16,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,8 @@ B = 8
 WORDS = 5
 #: Documents in a range of ids that one task orders at a time.
 RANGE_ROWS = 1024
+#: Most quantiles of the ids.
+COARSE = 10_000
 _EMPTY = np.uint64(2**64 - 1)
 _TRIES = mix((np.arange(BINS, dtype=np.uint64)[:, None] + np.arange(4096, dtype=np.uint64)[None, :] * np.uint64(BINS)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BINS)
 
@@ -64,12 +67,37 @@ def text_signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
+def _ranges(ids: DataFrame) -> Column:
+    """The number of the range of ids that `_id` falls in, ascending with it; -1 for null ids.
+
+    Quantiles of the ids, COARSE at most, cut them into parts of like size, whatever the ids; each part is cut evenly between
+    its own least and greatest id into ranges of about RANGE_ROWS. So an id far from all others widens one part's ranges only.
+    """
+    n = ids.agg(F.count("_id")).first()[0]
+    parts = max(1, min(COARSE, n // RANGE_ROWS))
+    cuts = np.unique(np.array(ids.agg(F.percentile_approx("_id", [k / parts for k in range(1, parts)], 2 * COARSE)).first()[0] if parts > 1 and n else [], np.int64))
+    id_ = F.coalesce(F.col("_id").cast("long"), F.lit(0))
+    long = F.pandas_udf(lambda x: pd.Series(np.searchsorted(cuts, x.to_numpy(np.int64), "right").astype(np.int64)), T.LongType())
+    found = sorted(ids.filter("_id IS NOT NULL").groupBy(long(id_).alias("part")).agg(F.min("_id"), F.max("_id"), F.count("*")).collect())  # a row a part
+    if not found:
+        return F.lit(-1).cast("long")
+    low = np.array([int(r[1]) % 2**64 for r in found], np.uint64)
+    wide = [min(-(-(int(r[2]) - int(r[1]) + 1) * RANGE_ROWS // r[3]), int(r[2]) - int(r[1]) + 1, 2**64 - 1) for r in found]
+    first = np.cumsum([0, *((int(r[2]) - int(r[1])) // w + 1 for r, w in zip(found, wide, strict=True))])[:-1].astype(np.int64)
+    step, have = np.array(wide, np.uint64), np.array([r[0] for r in found])
+
+    def place(x: pd.Series) -> pd.Series:
+        x = x.to_numpy(np.int64)
+        k = np.minimum(np.searchsorted(have, np.searchsorted(cuts, x, "right")), len(have) - 1)  # nulls may be in none
+        return pd.Series(first[k] + ((x.astype(np.uint64) - low[k]) // step[k]).astype(np.int64))
+
+    return F.when(F.col("_id").isNull(), F.lit(-1).cast("long")).otherwise(F.pandas_udf(place, T.LongType())(id_))
+
+
 def _in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_range, _tail, id, text): documents in ranges of descending ids, each followed by the next range's first one."""
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    width = max(1, -(-(high - low + 1) * RANGE_ROWS // n)) if n else 1
     docs = docs.select(F.col(id_col).alias("_id"), blank(F.col(text_col)).alias("_text"))
-    docs = docs.withColumn("_range", F.coalesce(F.expr(f"(CAST(_id AS DECIMAL(20,0)) - {low or 0}BD) DIV {width}BD"), F.lit(-1)).cast("long"))
+    docs = docs.withColumn("_range", _ranges(docs.select("_id")))
     heads = docs.groupBy("_range").agg(F.max("_id").alias("_head")).withColumn("_block", F.floor(F.col("_range") / RANGE_ROWS))
     heads = cut(heads, "fingerprint-heads")  # one row for each range
     # the next range below: within blocks of ranges, and for a block's last one the first of the next block

@@ -87,3 +87,27 @@ def test_likeness_is_unbiased():
 def _one(text):
     data = np.frombuffer(text.encode(), np.uint8)
     return data, np.array([0, len(data)])
+
+
+def test_ranges_of_uneven_ids(spark, monkeypatch):
+    """Ids in far clusters, with outliers at both ends and nulls: ranges stay small, and the order holds across them."""
+    import hashlib
+
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 8)
+    monkeypatch.setattr(fingerprint, "COARSE", 16)
+    ids = [*range(0, 900, 3), *range(10**12, 10**12 + 300), 2**63 - 1, -(2**63), *range(-50, -20), *([7] * 12), None, None]
+    rows = [(i, f"text {k} of {i} " * (1 + k % 5)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    held = [r["count"] for r in fingerprint._in_order(df, "doc_id", "text").filter("_tail = 0").groupBy("_range").count().collect()]
+    assert sum(held) == len(rows) and max(held) <= 8 * 8
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    want = set()
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        want.add((i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()))
+    far = spark.createDataFrame([(-(2**63), "a"), (2**63 - 1, "b")], "doc_id long, text string")
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 1024)
+    assert [r.near_next for r in fingerprint.fingerprint_pairs(far).collect()] == [0.0, 0.0]
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 8)
+    got = fingerprint.fingerprint_pairs(df).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.n_chars, r.edited_sha256) for r in got} == want
