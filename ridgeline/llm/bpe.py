@@ -8,8 +8,9 @@ places, as long as none of these merges makes a pair of lower rank: the same mer
 
 Pieces are told apart by their bytes: hashes only gather the like ones of a slice, and each is compared with its group's
 first. Defined cases: null and empty texts have no tokens; the digest of no ids is that of empty bytes; very long texts and
-very long pieces are handled whole; repeated rows keep one result row each; extra columns are ignored; names of other
-columns never clash as only the id and the text are read.
+very long pieces are handled whole; of ties of rank the leftmost pair is merged; repeated rows keep one result row each;
+empty tables give empty results; extra columns are ignored; names of other columns never clash as only the id and the text
+are read.
 """
 
 from __future__ import annotations
