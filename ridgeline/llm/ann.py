@@ -131,22 +131,23 @@ def _matrix(column) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
-def _best(index: Index, which: int, q_ids, q, floor, ids, codes, x, k: int, rerank: int):
-    """Lists of (id, score), best first, of each query among the rows of one block (rows in order of id)."""
+#: Pairs of a query and a row that are scored at once.
+PAIRS = 1 << 16
+
+
+def _best(index: Index, which: int, q_ids, q, floor, ids, codes, x, k: int, rerank: int) -> tuple[np.ndarray, ...]:
+    """(query's number, id, score), best first, of each query's k best rows of one block (rows in order of id)."""
     approx = index.approximate(q.astype(np.float32), which, codes)
-    approx[q_ids[:, None] == ids[None, :]] = -np.inf
     n = min(rerank, approx.shape[1])
     least = np.partition(approx, approx.shape[1] - n, axis=1)[:, approx.shape[1] - n]
-    for i in range(len(q)):
-        above = np.flatnonzero(approx[i] > least[i])
-        level = np.flatnonzero(approx[i] == least[i])[: n - len(above)]  # of ties the smaller ids
-        at = np.concatenate([above, level])
-        if floor[i] < least[i]:
-            at = np.union1d(at, np.flatnonzero(approx[i] >= floor[i]))
-        at = at[ids[at] != q_ids[i]]
-        score = (x[at] * q[i]).sum(axis=1)
-        order = np.lexsort([ids[at], -score])[:k]
-        yield ids[at[order]], score[order]
+    i, at = np.nonzero(approx >= np.minimum(least, floor)[:, None])
+    other = ids[at] != q_ids[i]
+    i, at = i[other], at[other]
+    score = np.concatenate([np.zeros(0), *((x[at[s : s + PAIRS]] * q[i[s : s + PAIRS]]).sum(axis=1) for s in range(0, len(i), PAIRS))])
+    order = np.lexsort([ids[at], -score, i])
+    i, at, score = i[order], at[order], score[order]
+    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[top], ids[at[top]], score[top]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, n_lists: int | None = None, probes: int | None = 0, rerank: int = RERANK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -188,15 +189,18 @@ def _search(rows: DataFrame, asks: DataFrame, n: int, k: int, n_lists: int | Non
         here = np.flatnonzero(kind == 1)
         here = here[np.argsort(ids[here], kind="stable")]
         ask = np.flatnonzero(kind == 0)
-        out: tuple[list, list, list] = ([], [], [])
+        found: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(here):
             codes = np.frombuffer(b"".join(table.column("code").take(pa.array(here)).to_pylist()), np.uint8).reshape(len(here), -1)
             for s in range(0, len(ask), 256):
                 q = ask[s : s + 256]
-                for i, (found, score) in zip(q, _best(index, table.column("list")[0].as_py(), ids[q], x[q], floor[q], ids[here], codes, x[here], k, rerank), strict=True):
-                    for c, v in zip(out, (int(ids[i]), found, score), strict=True):
-                        c.append(v)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64())), "scores": pa.array(out[2], pa.list_(pa.float64()))})
+                i, best, score = _best(index, table.column("list")[0].as_py(), ids[q], x[q], floor[q], ids[here], codes, x[here], k, rerank)
+                found.append((q[i], best, score))
+        i, best, score = (np.concatenate(part) for part in zip(*found, strict=True))
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+        ends = pa.array(np.append(first, len(i)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(part)) for part in (best.astype(np.int64), score)]
+        return pa.table({"query_id": pa.array(ids[i[first]], pa.int64()), "ids": lists[0], "scores": lists[1]})
 
     def hits(asks: DataFrame, n_probes: int) -> DataFrame:
         """(query_id, hits): the k best rows of each query in its best lists."""
