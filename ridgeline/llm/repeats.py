@@ -7,9 +7,10 @@ occurrences, and repeat wholly. Different ones are gathered by anchor; their rig
 their common prefixes, and a stack scan builds the interval tree bottom-up. Joining two intervals at a depth tests
 left-extension diversity: the members, held in order of their reversed left-hand sides, gain new neighbours. The members of
 an interval of the suffix array that also form an interval in order of their left-hand sides, with such a pair in it, are a
-maximal repeat group with all its occurrences: `remove_repeats` takes what the groups of each context cover, and
-`repeat_groups` returns them; a repeat longer than a context (LENGTH to about 2 LENGTH - GRAM bytes) comes as the chain of
-its overlapping stretches.
+maximal repeat group with all its occurrences, which `repeat_groups` returns; a repeat longer than a context (LENGTH to about
+2 LENGTH - GRAM bytes) comes as the chain of its overlapping stretches. `remove_repeats` needs only what the groups cover,
+which their new neighbours tell: near copies have groups of all sizes within one another, whose occurrences would be
+quadratic.
 
 A group of over MAX_GROUP different contexts is split before it is sorted: LENGTH equal bytes around an anchor hold half of
 what the gram leaves on its left or on its right, so the group falls into those of equal bytes on the right and those of
@@ -190,38 +191,46 @@ def _intervals(common: list[int], least: int):
             stack.append((depth, first))
 
 
-def suffix_groups(group: np.ndarray, left: list[bytes], right: list[bytes], length: int):
-    """Maximal repeat groups among contexts of equal anchors: (left, right, members) that agree in so many bytes before and
-    from the anchor on, at least `length` together, and of which two become neighbours where intervals of the suffix array join.
-
-    left, right: the bytes before each anchor and from it on; group: which anchors are equal (ascending)."""
-    r_bytes, r_size = _padded(right, max(map(len, right)))
-    l_bytes, l_size = _padded([x[::-1] for x in left], max(1, *map(len, left)))
-    order, by_left = _order(group, r_bytes), _order(group, l_bytes)
-    rank = np.empty(len(order), np.int64)
-    rank[by_left] = np.arange(len(order))
-    rank = rank[order]  # of the suffixes in order
-    lcp = np.full(len(order), -1)
-    lcp[1:] = _common(r_bytes, r_size, order[:-1], order[1:])
-    lcp[1:][group[order[1:]] != group[order[:-1]]] = -1
-    beside = np.full(len(order), -1)  # what neighbours in order of the left-hand sides have in common
-    beside[1:] = _common(l_bytes, l_size, by_left[:-1], by_left[1:])
-    beside[1:][group[by_left[1:]] != group[by_left[:-1]]] = -1
-    shared_left = _Least(beside)
-    pairs, nodes = interval_tree(rank.tolist(), lcp.tolist())
-    x, y, depth = np.array(pairs, np.int64).reshape(-1, 3).T
-    x, y = np.minimum(x, y), np.maximum(x, y)
-    long = np.append(0, np.cumsum(shared_left.of(x + 1, y) + depth >= length)) if len(x) else np.zeros(1, np.int64)
-    for depth_of, first, last, own in nodes:
-        if not any(long[hi] > long[lo] for lo, hi in own):  # no pair of its own is a repeat of `length`
-            continue
-        members = np.sort(rank[first : last + 1])
-        near = shared_left.of(members[:-1] + 1, members[1:])
-        mine = np.concatenate([np.arange(lo, hi) for lo, hi in own])
-        p, q = np.searchsorted(members, x[mine]), np.searchsorted(members, y[mine])
-        for shared, low, high in _intervals(near.tolist(), length - depth_of):
-            if ((p >= low) & (q <= high)).any():  # members of different intervals of the suffix array
-                yield shared, depth_of, by_left[members[low : high + 1]]
+class _Tree:
+    """The interval tree of contexts of equal anchors, and the pairs that its joins make neighbours.
+
+    left, right: the bytes before each anchor and from it on; group: which anchors are equal (ascending). x, y: the pairs'
+    contexts; before, after: what they have in common on both sides of the anchor; long: whether that is `length` together.
+    """
+
+    def __init__(self, group: np.ndarray, left: list[bytes], right: list[bytes], length: int):
+        r_bytes, r_size = _padded(right, max(map(len, right)))
+        l_bytes, l_size = _padded([x[::-1] for x in left], max(1, *map(len, left)))
+        order, self.by_left = _order(group, r_bytes), _order(group, l_bytes)
+        rank = np.empty(len(order), np.int64)
+        rank[self.by_left] = np.arange(len(order))
+        self.rank = rank[order]  # of the suffixes in order
+        lcp = np.full(len(order), -1)
+        lcp[1:] = _common(r_bytes, r_size, order[:-1], order[1:])
+        lcp[1:][group[order[1:]] != group[order[:-1]]] = -1
+        beside = np.full(len(order), -1)  # what neighbours in order of the left-hand sides have in common
+        beside[1:] = _common(l_bytes, l_size, self.by_left[:-1], self.by_left[1:])
+        beside[1:][group[self.by_left[1:]] != group[self.by_left[:-1]]] = -1
+        self.shared_left = _Least(beside)
+        pairs, self.nodes = interval_tree(self.rank.tolist(), lcp.tolist())
+        x, y, self.after = np.array(pairs, np.int64).reshape(-1, 3).T
+        self.low, self.high = np.minimum(x, y), np.maximum(x, y)
+        self.before = self.shared_left.of(self.low + 1, self.high) if len(x) else np.zeros(0, np.int64)
+        self.x, self.y, self.long = self.by_left[self.low], self.by_left[self.high], self.before + self.after >= length
+
+    def groups(self, length: int):
+        """Maximal repeat groups (left, right, members), which agree in so many bytes before and from the anchor on."""
+        long = np.append(0, np.cumsum(self.long))
+        for depth, first, last, own in self.nodes:
+            if not any(long[hi] > long[lo] for lo, hi in own):  # no pair of its own is a repeat of `length`
+                continue
+            members = np.sort(self.rank[first : last + 1])
+            near = self.shared_left.of(members[:-1] + 1, members[1:])
+            mine = np.concatenate([np.arange(lo, hi) for lo, hi in own])
+            p, q = np.searchsorted(members, self.low[mine]), np.searchsorted(members, self.high[mine])
+            for shared, low, high in _intervals(near.tolist(), length - depth):
+                if ((p >= low) & (q <= high)).any():  # members of different intervals of the suffix array
+                    yield shared, depth, self.by_left[members[low : high + 1]]
 
 
 def _whole_groups(batches, least: int = 20_000):
@@ -288,22 +297,23 @@ def _split(contexts: DataFrame, length: int, gram: int) -> tuple[DataFrame, Data
             return small, whole
 
 
-def _groups_of(t: pa.Table, length: int):
+def _tree_of(t: pa.Table, length: int) -> _Tree:
     key = t.column("key").to_numpy()
     group = np.cumsum(np.append(0, key[1:] != key[:-1]))
-    return suffix_groups(group, t.column("left").to_pylist(), t.column("right").to_pylist(), length)
+    return _Tree(group, t.column("left").to_pylist(), t.column("right").to_pylist(), length)
 
 
 def _tree_marks(contexts: DataFrame, length: int) -> DataFrame:
-    """(rk, s, e): of each context that occurs once, what its repeat groups cover. All of them hold its anchor, so that is one
-    stretch, from the farthest on the left to the farthest on the right."""
+    """(rk, s, e): of each context that occurs once, what its repeats cover. All of them hold its anchor, so that is one stretch,
+    from the farthest on the left to the farthest on the right."""
 
     def run(batches):
         for t in _whole_groups(batches):
+            tree = _tree_of(t, length)
             left, right = np.zeros(t.num_rows, np.int64), np.zeros(t.num_rows, np.int64)
-            for before, after, members in _groups_of(t, length):
-                left[members] = np.maximum(left[members], before)
-                right[members] = np.maximum(right[members], after)
+            for who in (tree.x[tree.long], tree.y[tree.long]):
+                np.maximum.at(left, who, tree.before[tree.long])
+                np.maximum.at(right, who, tree.after[tree.long])
             a, rk = t.column("a").to_numpy(), t.column("rk").to_numpy()
             at = np.flatnonzero((left + right > 0) & (t.column("n").to_numpy() == 1))
             yield pa.RecordBatch.from_arrays([pa.array(rk[at]), pa.array(a[at] - left[at]), pa.array(a[at] + right[at])], names=["rk", "s", "e"])
@@ -377,7 +387,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
         for t in _whole_groups(batches):
             h, c, lefts, rights = (t.column(x).to_pylist() for x in ("h", "c", "left", "right"))
             out = []
-            for left, right, at in _groups_of(t, length):
+            for left, right, at in _tree_of(t, length).groups(length):
                 one = lefts[at[0]][len(lefts[at[0]]) - left :] + rights[at[0]][:right]
                 name = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True)
                 out += [(name, left + right, h[i], c[i], left) for i in at]
