@@ -51,12 +51,13 @@ def csv_cell(text: Column) -> Column:
 
 
 def quote_supports(quote: Column, printed: Column) -> Column:
-    """supported, mismatch or missing: whether a quote holds a printed value as it stands, with a decimal comma, or by
-    its significant digits (two at least) in one of its numbers."""
+    """supported, mismatch or missing: whether a quote holds a printed value as it stands, with a decimal comma, without
+    either's commas between thousands, or by its significant digits (two at least) in one of its numbers."""
     bare = F.regexp_replace(quote, "[\\s\\u00A0\\u202F]", "")
     digits = significant_digits(printed)
     tokens = F.transform(F.regexp_extract_all(bare, F.lit("[0-9][0-9.,]*"), F.lit(0)), significant_digits)
-    held = bare.contains(printed) | bare.contains(F.replace(printed, F.lit("."), F.lit(","))) | ((F.length(digits) >= 2) & F.array_contains(tokens, digits))
+    plain = lambda c: F.regexp_replace(c, "(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
+    held = bare.contains(printed) | plain(bare).contains(plain(printed)) | bare.contains(F.replace(printed, F.lit("."), F.lit(","))) | ((F.length(digits) >= 2) & F.array_contains(tokens, digits))
     return F.when(quote.isNull() | (bare == ""), "missing").when(held, "supported").otherwise("mismatch")
 
 

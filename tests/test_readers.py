@@ -95,3 +95,10 @@ def test_statements_carry_each_rules_flags(spark):
     derived = {r.metric: (r.value, r.equation) for r in out if r.kind == "derived"}
     assert derived["other_liabilities"] == (40.0, "liabilities_components") and derived["other_revenue"] == (100.0, "earned_revenue_components") and "cost_per_rider" not in derived
     assert derived["operating_expenses"] == (400.0, "expense_revenue_subsidy")
+
+
+def test_quotes_of_round_grouped_values(spark):
+    rows = [("a 7,000.00 b", "7000.00"), ("7000", "7,000"), ("(1,000,000)", "1000000"), ("1 000", "1000"), ("6,000.00", "7000.00"), ("1,5", "15"), ("7,00", "7.00"), ("about 7", "7000.00"), (" ", "1"), (None, "1")]
+    df = spark.createDataFrame(rows, "quote string, printed string")
+    got = [r[0] for r in df.select(tx.quote_supports(df.quote, df.printed)).collect()]
+    assert got == ["supported"] * 4 + ["mismatch", "supported", "supported", "mismatch", "missing", "missing"]
