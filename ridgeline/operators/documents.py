@@ -11,8 +11,8 @@ from ridgeline.functions.cues import longest_cues, overlaps_itself
 from ridgeline.operators.lifecycle import number_in_order
 
 #: A heading line, and a line's declared scale, in English or French.
-HEADING = r"(?m)^(#{1,6}[^\S\n]+\S.*)$"
-SCALE = r"(?im)^.*?(\((?:in[^\S\n]+|en[^\S\n]+)?(?:\$?[^\S\n]*000s?|thousands|milliers|millions)[^)\n]*\)).*$"
+HEADING = r"(?md)^(#{1,6}[^\S\n]+\S.*)$"
+SCALE = r"(?imd)^.*?(\((?:in[^\S\n]+|en[^\S\n]+)?(?:\$?[^\S\n]*000s?|thousands|milliers|millions)[^)\n]*\)).*$"
 #: A number with separators, how much a cue and at most how many numbers count.
 NUMBER, CUE_WEIGHT, MOST_NUMBERS = r"[0-9][0-9,.]*[0-9]", 5, 40
 #: Words of a page that holds figures of an agency's services and statements.
@@ -28,27 +28,30 @@ METRIC_CUES = [
 ]
 
 
-def context_chunks(docs: DataFrame, id_col: str, text_col: str, target_lines: int = 350) -> DataFrame:
+def context_chunks(
+    docs: DataFrame, id_col: str, text_col: str, target_lines: int = 350, heading: str = HEADING, scale: str = SCALE, blank: str = r"\s", ends: str | None = "\r\n?"
+) -> DataFrame:
     """(id, chunk, heading, scale, context, lines, body): a text's paragraphs packed greedily, each chunk with the last
     heading and the last declared scale before it.
 
     Paragraphs (runs of lines that are not blank) are never cut: a chunk has at most `target_lines` lines, counted before the
     blank line that joins the next paragraph, unless one paragraph has more. The packing is a fold over one text's
-    paragraphs, so nothing is shuffled. Null and blank texts have no chunk.
+    paragraphs, so nothing is shuffled. Null and blank texts have no chunk. A line ends at a line feed and at what `ends`
+    matches, and is blank if all its characters are of the class `blank`; patterns see line feeds as the only line ends.
     """
-    lines = F.regexp_replace(F.concat(F.lit("\n"), F.col(text_col), F.lit("\n")), "\r\n?", "\n")
-    last = lambda p: f"element_at(regexp_extract_all(b, '{p}', 1), -1)"
-    rows = docs.select(id_col, F.transform(F.split(lines, r"\n\s*\n"), lambda b: F.regexp_replace(b, r"^\n|\n$", "")).alias("_all"))
-    rows = rows.select(id_col, F.filter("_all", lambda b: b.rlike(r"\S")).alias("_b")).filter(F.size("_b") > 0)
+    lines = F.concat(F.lit("\n"), F.col(text_col), F.lit("\n"))
+    lines = F.regexp_replace(lines, ends, "\n") if ends else lines
+    rows = docs.select(id_col, F.transform(F.split(lines, rf"\n[{blank}\n]*\n"), lambda b: F.regexp_replace(b, r"\A\n|\n\z", "")).alias("_all"))
+    rows = rows.select(id_col, F.filter("_all", lambda b: b.rlike(rf"[^{blank}\n]")).alias("_b")).filter(F.size("_b") > 0)
     rows = rows.withColumn("_n", F.transform("_b", lambda b: F.regexp_count(b, F.lit("\n")) + 1))
     said = lambda pattern: F.transform("_b", lambda b, i: F.struct(i.alias("i"), F.try_element_at(F.regexp_extract_all(b, F.lit(pattern), F.lit(1)), F.lit(-1)).alias("said")))
-    rows = rows.withColumns({c: F.filter(said(p), lambda x: x["said"].isNotNull()) for c, p in (("_heads", HEADING), ("_scales", SCALE))})
+    rows = rows.withColumns({c: F.filter(said(p), lambda x: x["said"].isNotNull()) for c, p in (("_heads", heading), ("_scales", scale))})
     fits = f"a.held > 0 and a.held + n > {target_lines}"
     step = f"struct(a.i + 1 as i, if({fits} or a.held = 0, n, a.held + 1 + n) as held, if({fits}, concat(a.starts, array(a.i)), a.starts) as starts)"
     rows = rows.withColumn("_starts", F.expr(f"aggregate(_n, struct(0 as i, 0 as held, array(0) as starts), (a, n) -> {step}, a -> a.starts)"))
     rows = rows.select("*", F.posexplode("_starts").alias("chunk", "_from")).withColumn("_size", F.coalesce(F.try_element_at("_starts", F.col("chunk") + 2), F.size("_b")) - F.col("_from"))
     before = lambda c: F.try_element_at(F.filter(c, lambda x: x["i"] < F.col("_from")), F.lit(-1))["said"]
-    rows = rows.withColumns({"heading": F.trim(before("_heads")), "scale": before("_scales")})
+    rows = rows.withColumns({"heading": F.regexp_replace(before("_heads"), rf"[{blank}]+\z", ""), "scale": before("_scales")})
     parts = F.concat_ws("; ", F.concat(F.lit('section: "'), "heading", F.lit('"')), F.concat(F.lit('scale declaration: "'), "scale", F.lit('"')))
     body = F.slice("_b", F.col("_from") + 1, F.col("_size"))
     return rows.select(

@@ -8,6 +8,7 @@ import pytest
 from ridgeline.functions import cues as cu
 from ridgeline.operators import closures
 from ridgeline.operators import documents as dc
+from ridgeline.plans import documents as plans
 from ridgeline.sources import releases
 
 
@@ -213,3 +214,17 @@ def test_releases(spark, tmp_path, monkeypatch):
     assert [(r.table, r.rows) for r in store.snapshot(f"file://{tmp_path}/copy").collect()] == [("a", 7), ("b", 5)]
     assert len(store.sweep(keep=2)) == 4 and other.read("b").count() == 5  # the runs that failed or were late
     assert releases.Releases(spark, f"file://{tmp_path}/copy").read("a").count() == 7
+
+
+def test_context_chunks_of_odd_texts_match_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(5)
+    odd = [*map(chr, (13, 9, 11, 12, 0x85, 0x2028, 0x2029, 0x2009, 0xA0, 0x3000, 28, 0, 0x1F600)), "\r\n", "(millions)", "($000s)", "(IN THOUSANDS)", "(in thousands", ")", "####### q", ""]
+    parts = ["The cat. ", "Eau la vie", "a the b", "\n", "\n", "\n\n", "E", "Th", " la ", " ", "# x", "## ", "word", "(in thousands x)", ". "]
+    texts = ["".join(rng.choice([*parts, o, o, o]) for _ in range(rng.randint(0, 40))) for o in odd for _ in range(20)]
+    rows = [*enumerate(texts), (9_001, None), (9_002, ""), (None, "a\n\nb")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in plans.QUERIES["context_chunks"](spark, str(tmp_path)).collect()]
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got, key=str) == sorted(c.execute(plans.SQL["context_chunks"]).fetchall(), key=str) and len(got) > 300
