@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from ridgeline.llm import fingerprint, quality
 from ridgeline.llm.common import mix, shingle_hashes, text_slices
@@ -111,3 +112,39 @@ def test_ranges_of_uneven_ids(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 8)
     got = fingerprint.fingerprint_pairs(df).collect()
     assert len(got) == len(rows) and {(r.doc_id, r.n_chars, r.edited_sha256) for r in got} == want
+
+
+def test_every_labelled_row_is_in_the_fit(spark):
+    """Moments and threshold are those of all rows, and each row of either class is in pairs, whichever class is larger."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["the", "Quiet", "9", "WIN!!", "water."], 1 + i % 37))) for i in range(21_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows], "doc_id long, quality int")
+    kept = {r.doc_id for r in docs.filter(~quality.held_out(docs.doc_id)).collect()}
+    model = quality.train(docs, labels)
+    x = quality.labelled(docs, labels, "doc_id", "text", "quality").collect()
+    assert {r.id for r in x} == kept
+    all_ = np.stack([np.frombuffer(r.x, np.float32) for r in x])
+    y = np.array([r.y for r in x])
+    assert np.allclose(model.mean, all_.mean(0, dtype=float), atol=1e-6) and np.allclose(model.scale, np.maximum(all_.std(0, dtype=float), 1e-4), atol=1e-6)
+    assert abs(model.threshold - np.quantile(model.strength(all_), (y == 0).mean())) < 1e-9 and np.abs(model.weights).max() > 0
+    values = spark.createDataFrame([(float(v),) for v in (all_[:, 1] * 7).round(2)], "s double")
+    for k in (0, 5, 9_000, len(x) - 1):
+        assert quality.order_statistic(values, k, few=100) == np.sort((all_[:, 1] * 7).round(2).astype(float))[k]
+
+
+@pytest.mark.parametrize("flip", [0, 1])
+def test_pairs_hold_each_row(spark, flip):
+    rows = [(i, int(i % 10 > 0) ^ flip, bytes(np.full(quality.N_FEATURES, i, np.float32))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, y long, x binary")
+    model = quality.Ranker.of(np.zeros(quality.N_FEATURES), np.full(quality.N_FEATURES, 100.0))
+    n_good = sum(y for _, y, _ in rows)
+    got = {round(float(np.frombuffer(r.d, np.float32)[0]) * 100) for r in quality.differences(df, model, n_good, 300 - n_good).collect()}
+    good, bad = ([i for i, y, _ in rows if y == k] for k in (1, 0))
+    assert got == {a - b for a in good for b in bad}  # 270 rows meet all 30 others, as the table is small
+
+
+def test_features_are_of_one_row_alone():
+    texts = ["the quiet house stood AB", "CD the the quiet", "", "AB", "CD AB CD", None, "x"]
+    slices = lambda ts: np.concatenate([quality.features(data, offsets) for _, _, data, offsets in text_slices(pa.array(ts, pa.string()))])
+    assert np.array_equal(slices(texts), np.concatenate([slices([t]) for t in texts]))
