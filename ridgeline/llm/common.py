@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass holds at once (a longer document is one pass of its own).
 SLICE_BYTES = 1 << 18
+#: Bytes of an Arrow batch sent to Python, of which a task's JVM and worker hold several copies; Spark's own default is 64 MB.
+BATCH_BYTES, _BATCH, _SPARKS_OWN = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 WHITE = "\\x20\\x09-\\x0D"
 WORD = f"[^{WHITE}]+"
 
@@ -45,8 +47,11 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that do not have it on their path (once per context)."""
+    """Make this package importable in Python workers that do not have it on their path (once per context), and let batches
+    on their way there be of BATCH_BYTES, unless the caller has set a size: rows and results are the same."""
     sc = spark.sparkContext
+    if not sc.getConf().contains(_BATCH) and spark.conf.get(_BATCH) == _SPARKS_OWN:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     if getattr(sc, "_ridgeline_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
