@@ -8,6 +8,7 @@ The passes are unrolled: a pass that finds anything settles at least one equatio
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -110,6 +111,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder as a compressed table, for plans that read it several times."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _pass(state: DataFrame, metrics: list[str], equations: tuple[Equation, ...], rel: float, weakness: bool = True) -> DataFrame:
     """The state after one pass over all equations; _moved tells whether a row found anything.
 
