@@ -233,12 +233,13 @@ def workbook_read(spark: SparkSession, d: str) -> DataFrame:
     """Months written to sheets, a block of 18 columns a year, and read back; one header and some cells cannot be read."""
     rows = long_facts(monthly(spark, d), ["agency_id", "month"]).join(agency(spark, d).select("agency_id", "fye"), "agency_id")
     values = rows.select(F.col("agency_id").cast("string").alias("sheet"), "fye", "metric", F.year("month").alias("year"), F.month("month").alias("month"), F.when((F.month("month") == 5) & (F.col("agency_id") % 10 == 3), F.lit("n/a")).otherwise(F.col("value").cast("string")).alias("value"))
+    values = solver.kept(values)  # read by each kind of cell
     years = [r.y for r in values.select(F.col("year").alias("y")).distinct().orderBy("y").collect()]  # one row a year
     label = F.when(F.col("fye") == 12, F.col("year").cast("string")).otherwise(F.concat(F.lit("FY"), F.col("year").cast("string"), F.lit("-"), F.lpad(((F.col("year") + 1) % 100).cast("string"), 2, "0")))
     head = F.when((F.col("year") == years[1]) & (F.col("sheet").cast("int") % 10 == 4), F.lit("next year")).otherwise(label) if len(years) > 1 else label
     cells = workbook.sheet_of(values, head, list(METRICS), years)
     wide = workbook.grid(cells, workbook.FIRST_COLUMN - 1 + workbook.BLOCK * len(years))  # the sparse grid as it is on the sheet
-    return workbook.read_grid(workbook.sheet_cells(wide), list(METRICS), []).withColumn("value", F.round("value", 4))
+    return workbook.read_grid(solver.kept(workbook.sheet_cells(wide)), list(METRICS), []).withColumn("value", F.round("value", 4))
 
 
 WORKBOOK_SQL = f"""WITH v AS (SELECT agency_id, agency_id::VARCHAR AS sheet, metric, year(month)::INT AS year, month(month)::INT AS month, value FROM ({LONG_SQL})),

@@ -55,7 +55,8 @@ def read_grid(cells: DataFrame, monthly: list[str], annual: list[str]) -> DataFr
 
 def grid(cells: DataFrame, columns: int) -> DataFrame:
     """(sheet, row, c1, c2, ...): a sheet's rows from its cells (sheet, row, col, cell)."""
-    return cells.groupBy("sheet", "row").agg(*[F.max(F.when(F.col("col") == k, F.col("cell"))).alias(f"c{k}") for k in range(1, columns + 1)])
+    wide = cells.groupBy("sheet", "row").pivot("col", list(range(1, columns + 1))).agg(F.max("cell"))
+    return wide.toDF("sheet", "row", *[f"c{k}" for k in range(1, columns + 1)])
 
 
 def sheet_of(values: DataFrame, header: Column, order: list[str], years: list[int]) -> DataFrame:

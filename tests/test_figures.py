@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators import checks, solver
 from ridgeline.operators import validation as vd
+from ridgeline.plans import figures
 from ridgeline.sources import sinks, workbook
 from ridgeline.streaming import feeds as streams
 
@@ -158,3 +159,8 @@ def test_the_writer_that_started_last_writes(spark, tmp_path):
     finally:
         streams._best = real
     assert held <= {p.name for p in (tmp_path / "out").iterdir()}
+
+
+def test_workbook_reads_its_facts_once(spark):
+    got = figures.QUERIES["workbook_read"](spark, "/root/testdata/sf0.001")
+    assert got.count() > 0 and not [f for f in got.inputFiles() if "lineitem" in f]  # all cells come from rows that are kept
