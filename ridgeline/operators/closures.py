@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.operators.solver import settle
+from ridgeline.operators.solver import kept, settle
 
 
 def lineage_closure(edges: DataFrame, value: str = "value_id", source: str = "input_id") -> DataFrame:
@@ -14,13 +14,13 @@ def lineage_closure(edges: DataFrame, value: str = "value_id", source: str = "in
     Semi-naive: a round joins the pairs found last with the edges, and only pairs not seen before go on. So cycles end; in
     one, a value is an input of itself, which shows it. Edges with a null end are left out, repeated ones count once.
     """
-    edge = settle(edges.select(F.col(value).alias("_from"), F.col(source).alias("_to")).dropna().distinct())
+    edge = kept(edges.select(F.col(value).alias("_from"), F.col(source).alias("_to")).dropna().distinct())
     front = edge.withColumn("depth", F.lit(1))
     reached, depth = front, 1
     while True:
         depth += 1
         step = front.select("_from", F.col("_to").alias("_via")).join(edge.select(F.col("_from").alias("_via"), "_to"), "_via").select("_from", "_to").distinct()
-        front = settle(step.join(reached, ["_from", "_to"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = kept(step.join(reached, ["_from", "_to"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.limit(1).count() == 0:
             return reached.select(F.col("_from").alias(value), F.col("_to").alias(source), "depth")
         reached = reached.unionByName(front)

@@ -277,7 +277,7 @@ FORMULA_SQL = f"""WITH k AS (SELECT a, y, dense_rank() OVER (PARTITION BY a ORDE
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """(value_id, input_id): quarters of months, years of quarters, and ratios of years, of which one stands on another."""
-    rows = long_facts(monthly(spark, d), ["agency_id", "month"])
+    rows = long_facts(solver.kept(monthly(spark, d)), ["agency_id", "month"])  # read by each kind of edge
     name = lambda metric, period: F.concat_ws(":", metric, F.col("agency_id").cast("string"), period)
     m, y = F.date_format("month", "yyyy-MM"), F.year("month").cast("string")
     q = F.concat(y, F.lit("Q"), F.quarter("month").cast("string"))
